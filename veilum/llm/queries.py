@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilum.llm import mix, urls
+from veilum.llm import mix, pii, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,5 +19,9 @@ def op2_url_filter(spark, sf_dir):
     return urls.judge(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op1_mix_sources": op1_mix_sources, "op2_url_filter": op2_url_filter}
+def op3_pii_pseudonyms(spark, sf_dir):
+    return pii.op3(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_mix_sources": op1_mix_sources, "op2_url_filter": op2_url_filter, "op3_pii_pseudonyms": op3_pii_pseudonyms}
 ORACLE_SQL = {"op1_mix_sources": mix.OP1_SQL, "op2_url_filter": urls.OP2_SQL}

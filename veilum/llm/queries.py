@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilum.llm import mix, pii, urls
+from veilum.llm import mix, pii, substrings, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,5 +23,18 @@ def op3_pii_pseudonyms(spark, sf_dir):
     return pii.op3(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_mix_sources": op1_mix_sources, "op2_url_filter": op2_url_filter, "op3_pii_pseudonyms": op3_pii_pseudonyms}
-ORACLE_SQL = {"op1_mix_sources": mix.OP1_SQL, "op2_url_filter": urls.OP2_SQL}
+def op7_substring_dedup(spark, sf_dir):
+    return substrings.op7(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op1_mix_sources": op1_mix_sources,
+    "op2_url_filter": op2_url_filter,
+    "op3_pii_pseudonyms": op3_pii_pseudonyms,
+    "op7_substring_dedup": op7_substring_dedup,
+}
+ORACLE_SQL = {
+    "op1_mix_sources": mix.OP1_SQL,
+    "op2_url_filter": urls.OP2_SQL,
+    "op7_substring_dedup": substrings.OP7_SQL,
+}

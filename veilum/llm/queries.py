@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilum.llm import mix, pii, substrings, urls
+from veilum.llm import mix, pii, simhash, substrings, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,11 +27,16 @@ def op7_substring_dedup(spark, sf_dir):
     return substrings.op7(_table(spark, sf_dir, "documents"))
 
 
+def op10_simhash_neardup(spark, sf_dir):
+    return simhash.op10(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_url_filter": op2_url_filter,
     "op3_pii_pseudonyms": op3_pii_pseudonyms,
     "op7_substring_dedup": op7_substring_dedup,
+    "op10_simhash_neardup": op10_simhash_neardup,
 }
 ORACLE_SQL = {
     "op1_mix_sources": mix.OP1_SQL,

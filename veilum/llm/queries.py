@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilum.llm import mix, pii, simhash, substrings, urls
+from veilum.llm import decontam, mix, pii, simhash, substrings, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,15 +31,21 @@ def op10_simhash_neardup(spark, sf_dir):
     return simhash.op10(_table(spark, sf_dir, "documents"))
 
 
+def op4_decontaminate(spark, sf_dir):
+    return decontam.op4(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_url_filter": op2_url_filter,
     "op3_pii_pseudonyms": op3_pii_pseudonyms,
     "op7_substring_dedup": op7_substring_dedup,
     "op10_simhash_neardup": op10_simhash_neardup,
+    "op4_decontaminate": op4_decontaminate,
 }
 ORACLE_SQL = {
     "op1_mix_sources": mix.OP1_SQL,
     "op2_url_filter": urls.OP2_SQL,
     "op7_substring_dedup": substrings.OP7_SQL,
+    "op4_decontaminate": decontam.OP4_SQL,
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilum.llm import decontam, mix, pii, simhash, substrings, urls
+from veilum.llm import decontam, mix, pii, rules, simhash, substrings, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op4_decontaminate(spark, sf_dir):
     return decontam.op4(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op6_quality_rules(spark, sf_dir):
+    return rules.op6(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_url_filter": op2_url_filter,
@@ -42,6 +46,7 @@ QUERIES = {
     "op7_substring_dedup": op7_substring_dedup,
     "op10_simhash_neardup": op10_simhash_neardup,
     "op4_decontaminate": op4_decontaminate,
+    "op6_quality_rules": op6_quality_rules,
 }
 ORACLE_SQL = {
     "op1_mix_sources": mix.OP1_SQL,

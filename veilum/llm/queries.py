@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilum.llm import decontam, mix, pii, rules, simhash, substrings, urls
+from veilum.llm import decontam, mix, pii, quality, rules, simhash, substrings, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op6_quality_rules(spark, sf_dir):
     return rules.op6(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op8_quality_scores(spark, sf_dir):
+    return quality.op8(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_url_filter": op2_url_filter,
@@ -47,6 +51,7 @@ QUERIES = {
     "op10_simhash_neardup": op10_simhash_neardup,
     "op4_decontaminate": op4_decontaminate,
     "op6_quality_rules": op6_quality_rules,
+    "op8_quality_scores": op8_quality_scores,
 }
 ORACLE_SQL = {
     "op1_mix_sources": mix.OP1_SQL,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilum.llm import decontam, mix, pii, quality, rules, simhash, substrings, urls
+from veilum.llm import decontam, mix, pii, quality, rules, simhash, substrings, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op8_quality_scores(spark, sf_dir):
     return quality.op8(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op9_warc_archive(spark, sf_dir):
+    return warc.op9(_table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_url_filter": op2_url_filter,
@@ -52,10 +56,12 @@ QUERIES = {
     "op4_decontaminate": op4_decontaminate,
     "op6_quality_rules": op6_quality_rules,
     "op8_quality_scores": op8_quality_scores,
+    "op9_warc_archive": op9_warc_archive,
 }
 ORACLE_SQL = {
     "op1_mix_sources": mix.OP1_SQL,
     "op2_url_filter": urls.OP2_SQL,
     "op7_substring_dedup": substrings.OP7_SQL,
     "op4_decontaminate": decontam.OP4_SQL,
+    "op9_warc_archive": warc.OP9_SQL,
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilum.llm import decontam, mix, pii, quality, rules, simhash, substrings, urls, warc
+from veilum.llm import crf, decontam, mix, pii, quality, rules, simhash, substrings, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,10 @@ def op9_warc_archive(spark, sf_dir):
     return warc.op9(_table(spark, sf_dir, "pages"))
 
 
+def op5_html_main_text(spark, sf_dir):
+    return crf.op5(_table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_url_filter": op2_url_filter,
@@ -57,6 +61,7 @@ QUERIES = {
     "op6_quality_rules": op6_quality_rules,
     "op8_quality_scores": op8_quality_scores,
     "op9_warc_archive": op9_warc_archive,
+    "op5_html_main_text": op5_html_main_text,
 }
 ORACLE_SQL = {
     "op1_mix_sources": mix.OP1_SQL,

@@ -46,12 +46,13 @@ def ipv4_number(value: Column) -> Column:
     return F.when(valid_ipv4(value), number)
 
 
+_NETS = "array({})".format(", ".join(f"struct({int(n.network_address)}L AS lo, {int(n.broadcast_address)}L AS hi)" for n in map(ipaddress.ip_network, P.SAFE_NETS)))
+
+
 def in_safe_net(value: Column) -> Column:
-    number, out = ipv4_number(value), F.lit(False)
-    for net in map(ipaddress.ip_network, P.SAFE_NETS):
-        out = out | number.between(int(net.network_address), int(net.broadcast_address))
+    inside = lambda number: F.exists(F.expr(_NETS), lambda n: number.between(n["lo"], n["hi"]))
     loopback = valid_ipv6(value) & (F.regexp_replace(value, "[0:]", "") == "1") & value.rlike("(?:^|:)0{0,3}1$")
-    return F.coalesce(out, F.lit(False)) | loopback
+    return F.coalesce(let(ipv4_number(value), inside), F.lit(False)) | loopback
 
 
 def _known(v: Column) -> Column:
@@ -62,18 +63,17 @@ def _known(v: Column) -> Column:
 
 
 def _host_in(v: Column) -> Column:
+    """The host of a URL without its scheme, user, port and leading www."""
     host = F.substring_index(F.substring_index(F.substring_index(F.regexp_replace(v, r"^[a-z][a-z0-9+.\-]*://", ""), "/", 1), "@", -1), ":", 1)
-    return F.trim(F.regexp_replace(host, r"^www\.", ""))
+    return F.trim(F.regexp_replace(host, r"^(?:www\.)+", ""))
 
 
 def is_safe(value: Column) -> Column:
     """Public names, documentation domains and networks; a URL or an e-mail address by its host."""
 
     def at(v):
-        url = v.contains("://") | v.startswith("www.")
-        last = F.trim(F.substring_index(v, "@", -1))
-        host = let(_host_in(v), lambda h: F.when(h.startswith("www."), _known(h) | _known(_host_in(h))).otherwise(_known(h)))
-        return _known(v) | F.when(url, host).when(v.contains("@"), _known(last)).otherwise(False)
+        name = F.when(v.contains("://") | v.startswith("www."), _host_in(v)).when(v.contains("@"), F.trim(F.substring_index(v, "@", -1))).otherwise(v)
+        return F.exists(F.array(v, name), _known)
 
     return let(F.lower(F.trim(value)), at)
 

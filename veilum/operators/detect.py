@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,13 +65,22 @@ def resolved(found: Column) -> Column:
 
 def detect(text: Column, hits: Column | None = None, families=None, heuristics: bool = True) -> Column:
     """array<FOUND>: the sensitive spans of a text, in order, without overlaps; null for a null text."""
-    use = lambda t: resolved(candidates(t, hits, families, heuristics))
-    return F.when(text.isNotNull(), let(text, use))
+    return F.when(text.isNotNull(), resolved(candidates(text, hits, families, heuristics)))
+
+
+@lru_cache(maxsize=64)
+def _built(gateway: int, text: str, hits: str | None, families: frozenset | None, heuristics: bool) -> Column:
+    return detect(F.col(text), F.col(hits) if hits else None, families, heuristics)
+
+
+def spans_of(text: str, hits: str | None = None, families=None, heuristics: bool = True) -> Column:
+    """``detect`` over columns by name. The expression is large, and building it once is enough."""
+    return _built(id(SparkContext._gateway), text, hits, None if families is None else frozenset(families), heuristics)
 
 
 def with_spans(docs: DataFrame, text: str = "text", hits: str | None = None, families=None, heuristics: bool = True) -> DataFrame:
     """``docs`` with a column spans."""
-    return docs.withColumn("spans", detect(F.col(text), F.col(hits) if hits else None, families, heuristics))
+    return docs.withColumn("spans", spans_of(text, hits, families, heuristics))
 
 
 def exploded(docs: DataFrame, *keep: str) -> DataFrame:

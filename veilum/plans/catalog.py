@@ -107,7 +107,7 @@ _KEY_RX = r"(?:sk-[A-Za-z0-9_\-]{16,}|AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{20,}|gith
 
 @query(f"WITH d AS (SELECT * FROM {O.values(_KEYS, 'id, text')}), {O.located('k', 'd', 'id', 'text', _KEY_RX)} SELECT id::BIGINT AS id, start, \"end\", value FROM k")
 def key_prefix_spans(spark, sf_dir):
-    spans = detect.detect(F.col("text"), None, {"identity"})
+    spans = detect.spans_of("text", None, {"identity"})
     return literal(spark, _KEYS, "id long, text string").select("id", F.explode(spans).alias("s")).select("id", "s.start", "s.end", "s.value")
 
 
@@ -331,7 +331,7 @@ def restore_join(spark, sf_dir):
 @query("SELECT count(*) AS docs, 0::BIGINT AS found_again FROM documents")
 def idempotence(spark, sf_dir):
     done = placeholders.anonymize(found(spark, sf_dir), tag=TAG)
-    return done.select(F.size(detect.detect(F.col("redacted"))).alias("n")).agg(F.count("*").alias("docs"), F.sum("n").cast("long").alias("found_again"))
+    return done.select(F.size(detect.spans_of("redacted")).alias("n")).agg(F.count("*").alias("docs"), F.sum("n").cast("long").alias("found_again"))
 
 
 _RESERVED = [(1, "[EMAIL-1] and a@acme.it b@acme.it"), (2, "a@acme.it [EMAIL-2]"), (3, "[EMAIL-1-a1b2c3] a@acme.it"), (4, "[HOST-1] a@acme.it")]

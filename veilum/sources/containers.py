@@ -170,19 +170,16 @@ def container_text(parts: DataFrame) -> DataFrame:
     return texts.select("path", F.array_join(F.transform("v", lambda x: x["view"]), "\n").alias("text"))
 
 
-@pandas_udf("array<struct<ranges:array<struct<start:int,end:int>>,value:string,crossed:array<string>>>")
 def _fragments(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for texts, spans in batches:
         yield pd.Series([fragments(t, [(s["start"], s["end"]) for s in ss]) if t is not None and ss is not None else [] for t, ss in zip(texts, spans, strict=True)])
 
 
-@pandas_udf("string")
 def _edit(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for texts, edits in batches:
         yield pd.Series([t if t is None or es is None else edited(t, [([(r["start"], r["end"]) for r in e["ranges"]], e["token"]) for e in es]) for t, es in zip(texts, edits, strict=True)])
 
 
-@pandas_udf("string")
 def _view(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in batches:
         yield texts.map(lambda t: None if t is None else view_of(t))
@@ -193,8 +190,10 @@ def redact_parts(parts: DataFrame, tag: str | None = None, families=None) -> Dat
 
     A container is refused if a value crosses containers of text, and if anything is still found in the new views.
     """
-    found = parts.withColumn("spans", F.when(F.col("view").isNotNull(), detect.detect(F.col("view"), None, families)))
-    cut = found.withColumn("cut", F.arrays_zip("spans", _fragments("text", "spans").alias("f")))
+    cut_up = pandas_udf(_fragments, "array<struct<ranges:array<struct<start:int,end:int>>,value:string,crossed:array<string>>>")
+    edit, view = pandas_udf(_edit, "string"), pandas_udf(_view, "string")
+    found = detect.with_spans(parts, "view", families=families)
+    cut = found.withColumn("cut", F.arrays_zip("spans", cut_up("text", "spans").alias("f")))
     cut = cut.withColumn("cut", F.transform("cut", lambda c: F.struct(c["spans"]["start"].alias("start"), c["spans"]["type"].alias("type"), c["f"]["value"].alias("value"), c["f"]["ranges"].alias("ranges"), c["f"]["crossed"].alias("crossed"))))
     values = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part_no", "cut"))), lambda p: p["cut"]))
     whole = cut.groupBy("path").agg(
@@ -206,8 +205,8 @@ def redact_parts(parts: DataFrame, tag: str | None = None, families=None) -> Dat
     joined = cut.join(numbered, F.col("path") == F.col("__v_path")).drop("__v_path")
     token = lambda c, listed: F.get(F.filter(listed, lambda e: (e["type"] == c["type"]) & (e["original"] == c["value"])), F.lit(0))["placeholder"]
     edits = F.transform("cut", lambda c: F.struct(c["ranges"].alias("ranges"), token(c, F.col("entries")).alias("token")))
-    done = joined.withColumn("__v_edits", edits).withColumn("new_text", _edit("text", "__v_edits")).withColumn("__v_view", _view("new_text"))
-    done = done.withColumn("leftovers", F.coalesce(F.size(detect.detect(F.col("__v_view"), None, families)), F.lit(0)))
+    done = joined.withColumn("__v_edits", edits).withColumn("new_text", edit("text", "__v_edits")).withColumn("__v_view", view("new_text"))
+    done = done.withColumn("leftovers", F.when(F.col("__v_view").isNotNull(), F.size(detect.spans_of("__v_view", None, families))).otherwise(0))
     crossing = F.when(F.size("crossed") > 0, F.concat(F.lit("a value crosses "), F.array_join("crossed", ", ")))
     return done.withColumn("refused", F.coalesce("refused", crossing, F.when(F.col("leftovers") > 0, F.lit("values are left in the output")))).drop("__v_edits", "__v_view", "spans", "cut", "crossed")
 

@@ -49,11 +49,10 @@ def pdf(text: str) -> bytes:
     return out + f"xref\n0 {len(places) + 1}\n0000000000 65535 f \n{table}trailer\n<< /Size {len(places) + 1} /Root 1 0 R >>\nstartxref\n{len(out)}\n%%EOF\n".encode()
 
 
-@pandas_udf("binary")
-def _pdfs(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for texts in batches:
-        yield texts.map(lambda t: None if t is None else pdf(t))
-
-
 def as_pdf(text: Column) -> Column:
-    return _pdfs(text)
+    @pandas_udf("binary")
+    def made(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield texts.map(lambda t: None if t is None else pdf(t))
+
+    return made(text)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPAN = "struct<start:int,end:int,value:string>"
@@ -92,6 +92,15 @@ def matches(text: Column, pattern: str, group: int = 0) -> Column:
     return F.when(text.isNull(), F.lit(None)).when(text.rlike(pattern), let(text, located)).otherwise(empty())
 
 
+def each(df: DataFrame, keep: Sequence[str | Column], array: Column | str, name: str) -> DataFrame:
+    """A row for each element of an array: the columns kept and the element.
+
+    For a plain explode the optimizer adds a filter on the array's size below it, which computes a long expression again;
+    the outer form has none, and the rows of empty arrays go by their null element.
+    """
+    return df.select(*keep, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
+
+
 def line_of(text: Column, start: Column) -> Column:
     """1-based line of a 0-based offset; only line feeds count."""
     head = F.substring(text, F.lit(1), start)

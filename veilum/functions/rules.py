@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from veilum.functions import patterns as P
 from veilum.functions import validators as V
-from veilum.functions.offsets import let, matches
+from veilum.functions.offsets import empty, let, matches
 
+ANY_DIGIT = rf"[{P.D}]"
 FAMILIES = ("identity", "network", "legal")
 DICTIONARY_PRIORITY, HEURISTIC_PRIORITY = 500, 1000
 
@@ -21,16 +23,28 @@ class Rule:
     name: str
     type: str
     pattern: str
-    hint: str  # a cheap pattern that every text with a match holds
+    hint: str = ""  # a cheap pattern that every text with a match has
+    holds: tuple[str, ...] = ()  # every text with a match holds one of these
+    digits: bool = False  # every match has a digit
     group: int = 0
     check: Callable[[Column], Column] | None = None
     trim: str = ""
     shrink: str = ""  # "labels" or "words": drop trailing parts until the check holds
     family: str = "identity"
 
-    def spans(self, text: Column) -> Column:
-        """array<SPAN> of accepted values. A rejected match is not searched again."""
-        found = F.when(text.rlike(self.hint), matches(text, self.pattern, self.group)).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
+    def spans(self, text: Column, has_digit: Column | None = None) -> Column:
+        """array<SPAN> of accepted values. A rejected match is not searched again.
+
+        The cheap tests come first; a caller with many rules can pass whether the text has a digit.
+        """
+        tests = []
+        if self.digits:
+            tests.append(text.rlike(ANY_DIGIT) if has_digit is None else has_digit)
+        if self.holds:
+            tests.append(reduce(Column.__or__, [text.contains(x) for x in self.holds]))
+        if self.hint:
+            tests.append(text.rlike(self.hint))
+        found = F.when(reduce(Column.__and__, tests), matches(text, self.pattern, self.group)).otherwise(empty())
         if not (self.trim or self.check or self.shrink):
             return found
 
@@ -54,26 +68,26 @@ class Rule:
 
 
 RULES = (
-    Rule("url", "URL", P.URL, r"://|(?iu)www\.", trim=P.URL_TRIM),
-    Rule("email", "EMAIL", P.EMAIL, "@"),
-    Rule("key_jwt", "KEY", P.JWT, "eyJ"),
-    Rule("key_sk", "KEY", P.KEY_SK, "sk-"),
-    Rule("key_aws", "KEY", P.KEY_AWS, "AKIA"),
-    Rule("key_gh", "KEY", P.KEY_GH, "ghp_"),
-    Rule("key_gh_pat", "KEY", P.KEY_GH_PAT, "github_pat_"),
-    Rule("key_slack", "KEY", P.KEY_SLACK, "xox"),
+    Rule("url", "URL", P.URL, r"://|(?iu)www\.", holds=("://", "w.", "W."), trim=P.URL_TRIM),
+    Rule("email", "EMAIL", P.EMAIL, holds=("@",)),
+    Rule("key_jwt", "KEY", P.JWT, holds=("eyJ",)),
+    Rule("key_sk", "KEY", P.KEY_SK, holds=("sk-",)),
+    Rule("key_aws", "KEY", P.KEY_AWS, holds=("AKIA",)),
+    Rule("key_gh", "KEY", P.KEY_GH, holds=("ghp_",)),
+    Rule("key_gh_pat", "KEY", P.KEY_GH_PAT, holds=("github_pat_",)),
+    Rule("key_slack", "KEY", P.KEY_SLACK, holds=("xox",)),
     Rule("key_bearer", "KEY", P.BEARER, "(?iu)bearer", group=1, check=V.valid_secret),
-    Rule("key_assigned", "KEY", P.ASSIGNED, "[:=]", group=1, check=V.valid_secret),
-    Rule("tax_code", "CODICEFISCALE", P.CODICE_FISCALE, r"(?iu)[A-Z]{6}[0-9LMNPQRSTUV]{2}", check=V.valid_tax_code, family="legal"),
-    Rule("vat", "PARTITAIVA", P.PARTITA_IVA, rf"[{P.D}]{{11}}", group=1, check=V.valid_vat, family="legal"),
-    Rule("iban", "IBAN", P.IBAN, rf"(?iu)IT[{P.S}]?[{P.D}]{{2}}", check=V.valid_iban, shrink="words", family="legal"),
-    Rule("plate", "TARGA", P.PLATE, rf"[A-Z]{{2}}[{P.S}]?[{P.D}]{{3}}", check=V.valid_plate, family="legal"),
-    Rule("address", "INDIRIZZO", P.ADDRESS, rf"(?iu)(?<![{P.W}]){P.STREET_WORDS}[{P.S}]", check=V.valid_address, family="legal"),
+    Rule("key_assigned", "KEY", P.ASSIGNED, holds=(":", "="), group=1, check=V.valid_secret),
+    Rule("tax_code", "CODICEFISCALE", P.CODICE_FISCALE, rf"(?iu)(?<![{P.W}])[A-Z]{{6}}[0-9LMNPQRSTUV]{{2}}[A-Z]", check=V.valid_tax_code, family="legal"),
+    Rule("vat", "PARTITAIVA", P.PARTITA_IVA, rf"[{P.D}]{{11}}", digits=True, group=1, check=V.valid_vat, family="legal"),
+    Rule("iban", "IBAN", P.IBAN, rf"(?iu)IT[{P.S}]?[{P.D}]{{2}}", digits=True, check=V.valid_iban, shrink="words", family="legal"),
+    Rule("plate", "TARGA", P.PLATE, rf"[A-Z]{{2}}[{P.S}]?[{P.D}]{{3}}", digits=True, check=V.valid_plate, family="legal"),
+    Rule("address", "INDIRIZZO", P.ADDRESS, rf"(?iu)(?<![{P.W}]){P.STREET_WORDS}[{P.S}]", digits=True, check=V.valid_address, family="legal"),
 )
 HEURISTICS = (
-    Rule("ipv4", "IP", P.IPV4, rf"[{P.D}]\.[{P.D}]", check=V.valid_ipv4, family="network"),
-    Rule("ipv6", "IP", P.IPV6, "[0-9A-Fa-f:]:[0-9A-Fa-f]{0,4}:|::", check=V.valid_ipv6, family="network"),
-    Rule("phone", "TEL", P.PHONE, rf"\+[{P.D}]|0039|3[{P.D}]{{2}}", check=V.valid_phone, family="network"),
+    Rule("ipv4", "IP", P.IPV4, rf"[{P.D}]\.[{P.D}]", digits=True, check=V.valid_ipv4, family="network"),
+    Rule("ipv6", "IP", P.IPV6, "[0-9A-Fa-f:]:[0-9A-Fa-f]{0,4}:|::", holds=(":",), check=V.valid_ipv6, family="network"),
+    Rule("phone", "TEL", P.PHONE, rf"\+[{P.D}]|0039|3[{P.D}]{{2}}", digits=True, check=V.valid_phone, family="network"),
     Rule("host", "HOST", P.HOST, r"[A-Za-z0-9]\.[A-Za-z]", check=V.valid_host, shrink="labels", family="network"),
 )
 BY_NAME = {r.name: r for r in (*RULES, *HEURISTICS)}

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilum.functions import patterns as P
-from veilum.functions.offsets import empty, kept_in_order, let, matches
-from veilum.functions.rules import DICTIONARY_PRIORITY, chosen
+from veilum.functions.offsets import each, empty, kept_in_order, let, matches
+from veilum.functions.rules import ANY_DIGIT, DICTIONARY_PRIORITY, chosen
 from veilum.functions.validators import is_safe
 
 #: Field order is the order of precedence: earlier start, longer, smaller priority, smaller place in its list.
@@ -36,21 +36,19 @@ def candidates(text: Column, hits: Column | None = None, families=None, heuristi
 
     ``hits``: array<HIT> from a dictionary scan.
     """
-    def of(rule, priority):
-        return F.transform(rule.spans(text), lambda s, i: _candidate(s, F.lit(rule.type), priority, i))
-
-    lists = [of(rule, priority) for priority, rule in chosen(families, heuristics)]
-    if hits is not None:
-        lists.append(F.transform(F.coalesce(hits, empty(HIT)), lambda h: _candidate(h, h["type"], DICTIONARY_PRIORITY, h["place"])))
-    if not lists:
-        return empty(CANDIDATE)
     taken = F.when(text.contains("["), matches(text, P.PLACEHOLDER)).otherwise(empty())
 
-    def free(held):
-        clear = lambda c: ~F.exists(held, lambda p: (c["start"] < p["end"]) & (p["start"] < c["end"])) & (c["end"] > c["start"]) & ~is_safe(c["value"])
-        return F.sort_array(F.filter(F.concat(*lists), clear))
+    def listed(about):
+        def of(rule, priority):
+            return F.transform(rule.spans(text, about["digit"]), lambda s, i: _candidate(s, F.lit(rule.type), priority, i))
 
-    return let(taken, free)
+        lists = [of(rule, priority) for priority, rule in chosen(families, heuristics)]
+        if hits is not None:
+            lists.append(F.transform(F.coalesce(hits, empty(HIT)), lambda h: _candidate(h, h["type"], DICTIONARY_PRIORITY, h["place"])))
+        clear = lambda c: ~F.exists(about["taken"], lambda p: (c["start"] < p["end"]) & (p["start"] < c["end"])) & (c["end"] > c["start"]) & ~is_safe(c["value"])
+        return F.sort_array(F.filter(F.concat(empty(CANDIDATE), *lists), clear))
+
+    return let(F.struct(text.rlike(ANY_DIGIT).alias("digit"), taken.alias("taken")), listed)
 
 
 def resolved(found: Column) -> Column:
@@ -85,4 +83,4 @@ def with_spans(docs: DataFrame, text: str = "text", hits: str | None = None, fam
 
 def exploded(docs: DataFrame, *keep: str) -> DataFrame:
     """A row for each span: the columns kept, then start, end, type, value."""
-    return docs.select(*keep, F.explode("spans").alias("span")).select(*keep, "span.start", "span.end", "span.type", "span.value")
+    return each(docs, keep, "spans", "span").select(*keep, "span.start", "span.end", "span.type", "span.value")

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilum.functions import patterns as P
-from veilum.functions.offsets import let, matches
+from veilum.functions.offsets import each, let, matches
 from veilum.operators.detect import HIT
 
 DEFAULT_TYPE = "ALTRO"
@@ -196,10 +196,10 @@ def _candidates(docs: DataFrame, entries: list[Entry], key: str, text: str) -> D
     if len(entries) <= BROADCAST_ENTRIES:
         table = F.broadcast(table)
     lengths = sorted({len(first) for e in entries if e.stem for _, _, w in variants(e) if (first := re.match(r"\w*", w)[0])})
-    runs = docs.select(F.col(key).alias("__v_key"), F.explode(matches(F.col(text), P.WORD_RUN)).alias("run"))
+    runs = each(docs, [F.col(key).alias("__v_key")], matches(F.col(text), P.WORD_RUN), "run")
     prefix = lambda n: F.struct(fold_key(F.substring("run.value", 1, n)).alias("folded"), F.lit(n).alias("size"))
     keys = F.array(F.struct(fold_key(F.col("run.value")).alias("folded"), F.lit(None).cast("int").alias("size")), *map(prefix, lengths))
-    probes = runs.select("__v_key", F.col("run.start").alias("start"), F.explode(keys).alias("k"))
+    probes = each(runs, ["__v_key", F.col("run.start").alias("start")], keys, "k")
     met = probes.join(table, (F.col("k.folded") == F.col("folded")) & F.col("k.size").eqNullSafe(F.col("size")))
     return met.groupBy("__v_key").agg(F.collect_list(F.struct("start", "place", "type", "pattern")).alias("__v_near"))
 
@@ -224,7 +224,7 @@ def with_hits(docs: DataFrame, entries: list[Entry], key: str = "doc_id", text:
 
 def scan_join(docs: DataFrame, entries: list[Entry], key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, start, end, type, value, place: every place where an entry matches."""
-    return with_hits(docs.select(key, text), entries, key, text).select(key, F.explode("hits").alias("h")).select(key, "h.*")
+    return each(with_hits(docs.select(key, text), entries, key, text), [key], "hits", "h").select(key, "h.*")
 
 
 def conflicts(entries: DataFrame) -> DataFrame:

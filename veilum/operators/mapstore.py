@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilum.functions.offsets import each
+
 MAPS = "map_id string, tag string, version string, source string, output string, created timestamp, counts map<string,int>"
 ENTRIES = "map_id string, placeholder string, type string, original string"
 JSON = "tag string, version string, id string, source string, output string, created string, counts map<string,int>, entries map<string,struct<type:string,original:string>>"
@@ -19,7 +21,7 @@ def basename(path: Column) -> Column:
 def write_maps(docs: DataFrame, root: str, version: str = "1") -> None:
     """Append the maps of redacted documents (map_id, tag, source, output, created, entries, counts)."""
     docs.select("map_id", "tag", F.lit(version).alias("version"), "source", "output", "created", "counts").write.mode("append").parquet(f"{root}/maps")
-    docs.select("map_id", F.explode("entries").alias("e")).select("map_id", "e.*").write.mode("append").parquet(f"{root}/map_entries")
+    each(docs, ["map_id"], "entries", "e").select("map_id", "e.*").write.mode("append").parquet(f"{root}/map_entries")
 
 
 def read_maps(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilum.functions import patterns as P
-from veilum.functions.offsets import empty, let
+from veilum.functions.offsets import each, empty, let
 
 ENTRY = "struct<placeholder:string,type:string,original:string>"
 
@@ -72,7 +72,7 @@ def counts(listed: Column) -> Column:
 
 def map_entries(docs: DataFrame, *keep: str) -> DataFrame:
     """The map as a long table: the columns kept, placeholder, type, original."""
-    return docs.select(*keep, F.explode("entries").alias("e")).select(*keep, "e.placeholder", "e.type", "e.original")
+    return each(docs, keep, "entries", "e").select(*keep, "e.placeholder", "e.type", "e.original")
 
 
 def number_spans(spans: DataFrame, *doc: str) -> DataFrame:

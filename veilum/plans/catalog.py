@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from veilum.functions import patterns as P
 from veilum.functions import rules as R
 from veilum.functions import validators as V
-from veilum.functions.offsets import line_of, masked, matches, starts_of
+from veilum.functions.offsets import each, line_of, masked, matches, starts_of
 from veilum.operators import audit, detect, dictionary, mapstore, markup, placeholders, quality, restore, suggest
 from veilum.plans import oracle as O
 from veilum.sources import files, pdf
@@ -35,7 +35,9 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table, spread over the cores if it comes in fewer partitions (one file of one row group, say)."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return files.spread(df)
 
 
 def documents(spark, sf_dir) -> DataFrame:
@@ -54,7 +56,7 @@ def literal(spark, rows, schema: str) -> DataFrame:
 
 
 def _rule_spans(docs: DataFrame, name: str, key: str, text: str) -> DataFrame:
-    return docs.select(key, F.explode(R.BY_NAME[name].spans(F.col(text))).alias("s")).select(key, "s.start", "s.end", "s.value")
+    return each(docs, [key], R.BY_NAME[name].spans(F.col(text)), "s").select(key, "s.start", "s.end", "s.value")
 
 
 @query(f'WITH {O.located("e", "documents", "doc_id", "text", O.EMAIL)} SELECT doc_id, start, "end", value FROM e')
@@ -244,7 +246,7 @@ def doc_verdicts(spark, sf_dir):
 @query(f"WITH {O.spans()} SELECT doc_id, type, (length(substr(t, 1, start)) - length(replace(substr(t, 1, start), chr(10), '')) + 1)::INT AS line FROM spans")
 def check_findings(spark, sf_dir):
     f = audit.findings(F.col("text"), F.col("spans"), 1_000_000)
-    return found(spark, sf_dir).select("doc_id", F.explode(f["findings"]).alias("f")).select("doc_id", "f.type", "f.line")
+    return each(found(spark, sf_dir), ["doc_id"], f["findings"], "f").select("doc_id", "f.type", "f.line")
 
 
 @query(f"WITH {O.spans()}, n AS (SELECT doc_id, count(*) AS n FROM spans GROUP BY 1) SELECT doc_id, n::INT AS total, n > 1 AS truncated, least(n, 1)::INT AS listed FROM n")
@@ -273,13 +275,13 @@ def family_network(spark, sf_dir):
     .replace(f"NOT ({O._safe_net()})", f"CASE WHEN type = 'IP' THEN NOT ({O._safe_net()}) ELSE true END")
 )
 def candidates_by_type(spark, sf_dir):
-    c = documents(spark, sf_dir).select(F.explode(detect.candidates(F.col("text"))).alias("c"))
+    c = each(documents(spark, sf_dir), [], detect.candidates(F.col("text")), "c")
     return c.groupBy("c.type").agg(F.count("*").alias("n")).select("type", "n")
 
 
 @query(f"WITH {O.located('e', 'documents', 'doc_id', 'text', O.EMAIL)} SELECT doc_id, start, (length(substr(t, 1, start)) - length(replace(substr(t, 1, start), chr(10), '')) + 1)::INT AS line, substr(value, 1, 1) || repeat('•', length(value) - 1) AS token FROM e")
 def masked_lines(spark, sf_dir):
-    d = documents(spark, sf_dir).select("doc_id", "text", F.explode(matches(F.col("text"), P.EMAIL)).alias("s"))
+    d = each(documents(spark, sf_dir), ["doc_id", "text"], matches(F.col("text"), P.EMAIL), "s")
     return d.select("doc_id", "s.start", line_of(F.col("text"), F.col("s.start")).alias("line"), masked(F.col("s.value")).alias("token"))
 
 
@@ -322,8 +324,8 @@ def restore_verdicts(spark, sf_dir):
 @query(f"WITH {O.spans()} SELECT doc_id, count(*) AS tokens, count(*) AS known FROM spans GROUP BY doc_id")
 def restore_join(spark, sf_dir):
     done = placeholders.anonymize(found(spark, sf_dir), tag=TAG).withColumn("map_id", F.col("doc_id").cast("string"))
-    tokens = done.select("map_id", "doc_id", F.explode(F.regexp_extract_all("redacted", F.lit(P.PLACEHOLDER), F.lit(0))).alias("placeholder"))
-    entries = done.select("map_id", F.explode("entries").alias("e")).select("map_id", "e.*")
+    tokens = each(done, ["map_id", "doc_id"], F.regexp_extract_all("redacted", F.lit(P.PLACEHOLDER), F.lit(0)), "placeholder")
+    entries = each(done, ["map_id"], "entries", "e").select("map_id", "e.*")
     joined = restore.restore_from_table(tokens, entries)
     return joined.groupBy("doc_id").agg(F.count("*").alias("tokens"), F.count("original").alias("known"))
 
@@ -392,7 +394,7 @@ def dict_scan_join(spark, sf_dir):
 @query(_NAME_SQL)
 def dict_scan_each(spark, sf_dir):
     entries = _names()
-    hits = documents(spark, sf_dir).select("doc_id", F.explode(dictionary.scan_each(F.col("text"), entries)).alias("h")).select("doc_id", "h.*")
+    hits = each(documents(spark, sf_dir), ["doc_id"], dictionary.scan_each(F.col("text"), entries), "h").select("doc_id", "h.*")
     return _counted(hits, entries)
 
 

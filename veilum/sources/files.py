@@ -73,3 +73,16 @@ def batch_totals(files: DataFrame) -> DataFrame:
         F.count_if(~read).alias("skipped"),
         F.coalesce(F.bool_or(read & (F.col("n_spans") > 0)), F.lit(False)).alias("sensitive"),
     )
+
+
+def spread(df: DataFrame, least_bytes: int = 1 << 20) -> DataFrame:
+    """``df`` in at least as many partitions as there are cores, where it is worth a shuffle.
+
+    A large table has more partitions than cores and is left as it is, and so is a tiny one.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    paths = df.inputFiles()
+    if len(paths) >= cores:
+        return df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if least_bytes <= size < cores * (128 << 20) else df

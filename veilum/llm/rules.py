@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilum.llm._store import written
+from veilum.llm._store import bounded_sample, written
 
 BLANKS = " \t\n\x0b\f\r"
 WORD_CHAR = r"[^\x20\x09-\x0D]"
@@ -201,7 +201,7 @@ def learn_from(stats: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) ->
     """``stats``: doc_id and STATS. ``labels``: doc_id, quality. Rows without a label or an id don't count."""
     marked = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").alias("__v_doc"), "quality")
     joined = stats.join(marked, F.col("doc_id") == F.col("__v_doc"))
-    rows = joined.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_rows).select("quality", *STATS).collect()
+    rows = bounded_sample(joined.select("doc_id", "quality", *STATS), "doc_id", max_rows).collect()
     table = {name: np.array([r[name] for r in rows], float) for name in STATS}
     return learn({name: f(table) for name, f in FEATURES.items()}, np.array([r.quality == 0 for r in rows], bool))
 

@@ -15,9 +15,11 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from veilum.functions import patterns as P
+from veilum.functions.offsets import empty
 from veilum.operators import detect, placeholders
 from veilum.operators.restore import deanonize, xml_protect
 
@@ -170,19 +172,23 @@ def container_text(parts: DataFrame) -> DataFrame:
     return texts.select("path", F.array_join(F.transform("v", lambda x: x["view"]), "\n").alias("text"))
 
 
-def _fragments(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for texts, spans in batches:
-        yield pd.Series([fragments(t, [(s["start"], s["end"]) for s in ss]) if t is not None and ss is not None else [] for t, ss in zip(texts, spans, strict=True)])
+def _added(df: DataFrame, name: str, kind: str, compute, *inputs: str) -> DataFrame:
+    """``df`` with a column computed in Python from others. A map over rows, as a UDF's arguments can't hold lambdas."""
 
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            values = [compute(*row) for row in zip(*(batch[c] for c in inputs), strict=True)]
+            yield batch.assign(**{name: pd.Series(values, index=batch.index, dtype=object)})
+
+    return df.mapInPandas(rows, T.StructType([*df.schema.fields, T.StructField(name, T._parse_datatype_string(kind))]))
 
-def _edit(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for texts, edits in batches:
-        yield pd.Series([t if t is None or es is None else edited(t, [([(r["start"], r["end"]) for r in e["ranges"]], e["token"]) for e in es]) for t, es in zip(texts, edits, strict=True)])
 
+def _fragments_of(text, spans):
+    return [] if text is None or spans is None else fragments(text, [(s["start"], s["end"]) for s in spans])
 
-def _view(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for texts in batches:
-        yield texts.map(lambda t: None if t is None else view_of(t))
+
+def _edited_text(text, edits):
+    return text if text is None or edits is None else edited(text, [([(r["start"], r["end"]) for r in e["ranges"]], e["token"]) for e in edits])
 
 
 def redact_parts(parts: DataFrame, tag: str | None = None, families=None) -> DataFrame:
@@ -190,10 +196,10 @@ def redact_parts(parts: DataFrame, tag: str | None = None, families=None) -> Dat
 
     A container is refused if a value crosses containers of text, and if anything is still found in the new views.
     """
-    cut_up = pandas_udf(_fragments, "array<struct<ranges:array<struct<start:int,end:int>>,value:string,crossed:array<string>>>")
-    edit, view = pandas_udf(_edit, "string"), pandas_udf(_view, "string")
-    found = detect.with_spans(parts, "view", families=families)
-    cut = found.withColumn("cut", F.arrays_zip("spans", cut_up("text", "spans").alias("f")))
+    found = detect.with_spans(parts, "view", families=families).withColumn("spans", F.coalesce("spans", empty(detect.FOUND)))
+    kind = "array<struct<ranges:array<struct<start:int,end:int>>,value:string,crossed:array<string>>>"
+    cut = _added(found, "__v_f", kind, _fragments_of, "text", "spans")
+    cut = cut.withColumn("cut", F.arrays_zip("spans", F.col("__v_f").alias("f"))).drop("__v_f")
     cut = cut.withColumn("cut", F.transform("cut", lambda c: F.struct(c["spans"]["start"].alias("start"), c["spans"]["type"].alias("type"), c["f"]["value"].alias("value"), c["f"]["ranges"].alias("ranges"), c["f"]["crossed"].alias("crossed"))))
     values = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part_no", "cut"))), lambda p: p["cut"]))
     whole = cut.groupBy("path").agg(
@@ -205,10 +211,11 @@ def redact_parts(parts: DataFrame, tag: str | None = None, families=None) -> Dat
     joined = cut.join(numbered, F.col("path") == F.col("__v_path")).drop("__v_path")
     token = lambda c, listed: F.get(F.filter(listed, lambda e: (e["type"] == c["type"]) & (e["original"] == c["value"])), F.lit(0))["placeholder"]
     edits = F.transform("cut", lambda c: F.struct(c["ranges"].alias("ranges"), token(c, F.col("entries")).alias("token")))
-    done = joined.withColumn("__v_edits", edits).withColumn("new_text", edit("text", "__v_edits")).withColumn("__v_view", view("new_text"))
+    done = _added(joined.withColumn("__v_edits", edits), "new_text", "string", _edited_text, "text", "__v_edits")
+    done = _added(done.drop("__v_edits"), "__v_view", "string", lambda t: None if t is None else view_of(t), "new_text")
     done = done.withColumn("leftovers", F.when(F.col("__v_view").isNotNull(), F.size(detect.spans_of("__v_view", None, families))).otherwise(0))
     crossing = F.when(F.size("crossed") > 0, F.concat(F.lit("a value crosses "), F.array_join("crossed", ", ")))
-    return done.withColumn("refused", F.coalesce("refused", crossing, F.when(F.col("leftovers") > 0, F.lit("values are left in the output")))).drop("__v_edits", "__v_view", "spans", "cut", "crossed")
+    return done.withColumn("refused", F.coalesce("refused", crossing, F.when(F.col("leftovers") > 0, F.lit("values are left in the output")))).drop("__v_view", "spans", "cut", "crossed")
 
 
 def packed(parts: DataFrame, original: DataFrame) -> DataFrame:
@@ -235,31 +242,23 @@ def restored_parts(parts: DataFrame, maps: DataFrame) -> DataFrame:
     """``parts`` joined with ``maps`` (path, entries): new_text with originals escaped for markup, replaced, split tokens
     put together where they stand in one container of text."""
 
-    @pandas_udf("struct<text:string,repaired:int>")
-    def repair(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for texts, lists in batches:
-            rows = []
-            for text, listed in zip(texts, lists, strict=True):
-                known = sorted((e for e in listed if e["original"] is not None), key=lambda e: -len(e["placeholder"])) if text is not None and listed is not None else []
-                if not known:
-                    rows.append((text, 0))
-                    continue
-                spread = "".join(text[a:b] for a, b, _ in pieces(text))
-                pattern = re.compile("|".join(re.escape(e["placeholder"]) for e in known))
-                original = {e["placeholder"]: e["original"] for e in known}
-                edits = []
-                for m in pattern.finditer(spread):
-                    found = _plain_fragments(text, m.start(), m.end())
-                    if len(found["ranges"]) > 1 and not found["crossed"]:
-                        edits.append((found["ranges"], _escape(original[m[0]])))
-                rows.append((edited(text, edits), len(edits)))
-            yield pd.DataFrame(rows, columns=["text", "repaired"])
-
+    def repair(text, listed):
+        known = sorted((e for e in listed if e["original"] is not None), key=lambda e: -len(e["placeholder"])) if text is not None and listed is not None else []
+        if not known:
+            return {"text": text, "repaired": 0}
+        spread = "".join(text[a:b] for a, b, _ in pieces(text))
+        original, edits = {e["placeholder"]: e["original"] for e in known}, []
+        for m in re.finditer("|".join(re.escape(e["placeholder"]) for e in known), spread):
+            found = _plain_fragments(text, m.start(), m.end())
+            if len(found["ranges"]) > 1 and not found["crossed"]:
+                edits.append((found["ranges"], _escape(original[m[0]])))
+        return {"text": edited(text, edits), "repaired": len(edits)}
 
     joined = parts.join(maps.select("path", "entries"), "path", "left")
     back = joined.withColumn("__v_back", deanonize(F.col("text"), F.col("entries"), xml_protect))
-    fixed = back.withColumn("__v_fixed", repair("__v_back.text", "entries"))
-    return fixed.withColumn("new_text", F.col("__v_fixed.text")).withColumn("replaced", F.col("__v_back.replaced")).withColumn("repaired", F.col("__v_fixed.repaired")).drop("__v_back", "__v_fixed")
+    back = back.withColumn("__v_text", F.col("__v_back.text")).withColumn("replaced", F.col("__v_back.replaced")).drop("__v_back")
+    fixed = _added(back, "__v_fixed", "struct<text:string,repaired:int>", repair, "__v_text", "entries")
+    return fixed.withColumn("new_text", F.col("__v_fixed.text")).withColumn("repaired", F.col("__v_fixed.repaired")).drop("__v_text", "__v_fixed")
 
 
 def _escape(value: str) -> str:

@@ -15,7 +15,7 @@ import xxhash
 #: Odd multiplier of the rolling hashes (fixed value, the 64-bit golden ratio).
 ROLL = 0x9E3779B97F4A7C15
 #: Text bytes handled at once in a worker; a longer text is a slice of its own.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

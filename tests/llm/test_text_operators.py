@@ -1,0 +1,280 @@
+import collections
+import hashlib
+import itertools
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from veilum.llm import decontam, quality, rules, simhash, substrings
+from veilum.llm.components import components
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+DOCS = "doc_id long, text string"
+
+
+def _texts(seed, n=120):
+    """Documents with shared passages, copies, repeats inside, blanks and a long one."""
+    rng = random.Random(seed)
+    vocabulary = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 4))) for _ in range(300)]
+    words = lambda k: [rng.choice(vocabulary) for _ in range(k)]
+    shared = [words(k) for k in (19, 20, 25, 60)]
+    rows = [(0, None), (1, ""), (2, " \t\n\x0b "), (3, "x " * 5000), (4, "a b c " * 400)]
+    for i in range(5, n):
+        parts = words(rng.choice([3, 25, 80, 300]))
+        if rng.random() < 0.5:
+            at = rng.randint(0, len(parts))
+            parts[at:at] = rng.choice(shared)
+        if rng.random() < 0.1:
+            parts += parts[:40]
+        rows.append((i, rng.choice([" ", "  ", "\n", "\x0b"]).join(parts)))
+        if rng.random() < 0.1:
+            rows.append((i + 1000, rows[-1][1]))
+    rng.shuffle(rows)
+    return rows
+
+
+def _brute_repeats(rows, width=20):
+    seen, gone = set(), collections.defaultdict(set)
+    for i, t in sorted(rows):
+        w = WORD.findall(t or "")
+        for s in range(len(w) - width + 1):
+            key = tuple(w[s : s + width])
+            if key in seen:
+                gone[i].update(range(s, s + width))
+            seen.add(key)
+    out = {}
+    for i, t in rows:
+        w = WORD.findall(t or "")
+        kept = " ".join(x for k, x in enumerate(w) if k not in gone[i])
+        out[i] = (len(w), len(w) - len(kept.split(" ") if kept else []), hashlib.sha256(kept.encode()).hexdigest())
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_substrings(spark, seed, monkeypatch):
+    monkeypatch.setattr(substrings, "SAMPLE", 2)
+    monkeypatch.setattr(substrings, "FREQUENT", 3)
+    rows = _texts(seed)
+    d = spark.createDataFrame([(*r, 1) for r in rows], DOCS + ", start int").repartition(5)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.op7(d).collect()}
+    assert got == _brute_repeats(rows)
+
+
+def test_substring_spans_point_at_equal_words(spark):
+    rows = dict(_texts(3))
+    spans = substrings.repeated_spans(spark.createDataFrame(list(rows.items()), DOCS)).collect()
+    words = {i: WORD.findall(t or "") for i, t in rows.items()}
+    assert spans
+    for s in spans:
+        n = s.size + substrings.WINDOW - 1
+        assert (s.source_doc, s.source_start) < (s.doc_id, s.start)
+        assert words[s.doc_id][s.start : s.start + n] == words[s.source_doc][s.source_start : s.source_start + n]
+
+
+def test_substring_edge_rows(spark):
+    same = "w " * 30
+    rows = [(None, same), (7, same), (7, same), (8, "short")]
+    got = sorted(map(tuple, substrings.op7(spark.createDataFrame(rows, DOCS)).select("doc_id", "n_words", "n_removed").collect()), key=str)
+    assert len(got) == 4 and (8, 1, 0) in got and got.count((7, 30, 30)) == 2
+    assert substrings.op7(spark.createDataFrame([], DOCS)).collect() == []
+
+
+def _fp(text):
+    w = WORD.findall(re.sub("[A-Z]", lambda m: chr(ord(m[0]) + 32), text or ""))
+    runs = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([" ".join(w)] if w else [])
+    hashes = [xxhash.xxh64_intdigest(r.encode(), 42) for r in runs]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)) if runs else 0
+
+
+def _roots(fps):
+    parent = {i: i for i in fps}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(fps), 2):
+        if (fps[a] ^ fps[b]).bit_count() <= 3:
+            x, y = find(a), find(b)
+            parent[max(x, y)] = min(x, y)
+    return {i: find(i) for i in fps}
+
+
+def test_simhash(spark):
+    rows = _texts(5, 150) + [(5000, "One"), (5001, "one"), (5002, "One two"), (5003, "É é É"), (5004, "é é é")]
+    base = dict(rows)[max(i for i, t in rows if t and 80 < len(WORD.findall(t)) < 400 and i < 1000)]
+    rows += [(6000 + k, base + f" extra{k}") for k in range(25)]
+    fps = {i: _fp(t) for i, t in rows}
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.op10(spark.createDataFrame(rows, DOCS)).collect()}
+    want = _roots(fps)
+    assert got == {i: (f"{fps[i]:016x}", want[i]) for i in fps}
+
+
+def test_within_and_forest():
+    rng = np.random.default_rng(1)
+    a = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
+    b = a.copy()
+    for _ in range(4):
+        b ^= np.uint64(1) << rng.integers(0, 64, 300, dtype=np.uint64)
+    for radius in (1, 3):
+        assert (simhash.within(a, b, radius) == (np.bitwise_count(a[:, None] ^ b[None, :]) <= radius)).all()
+    with pytest.raises(ValueError):
+        simhash.within(a, b, 2)
+
+
+def test_buckets_lose_no_pair_and_grids_neither(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CELL", 40)
+    rng = random.Random(8)
+    centre = rng.getrandbits(64)
+    values = {centre}
+    while len(values) < 400:  # one dense ball: every bucket outgrows a cell
+        x = rng.choice(list(values)) if rng.random() < 0.5 else centre
+        for _ in range(rng.randint(1, 3)):
+            x ^= 1 << rng.randrange(64)
+        values.add(x)
+    values |= {rng.getrandbits(64) for _ in range(300)}
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    ids = {signed(v): v for v in values}
+    links = simhash.similar_links(spark.createDataFrame([(k,) for k in ids], "fp long"))
+    roots = {r.node: r.root for r in components(links).collect()}
+    assert {k: roots.get(k, k) for k in ids} == _roots(ids)
+    for n, blocks in ((0, 4), (10**6, 4), (10**9, 5), (10**13, 6)):
+        assert simhash.bucket_choice(n) >= blocks - 1
+    for blocks in (4, 5, 6):
+        keys = spark.createDataFrame([(signed(centre),), (signed(centre ^ 0b1011 << 20),)], "fp long").select(simhash.bucket_keys(F.col("fp"), blocks).alias("k")).collect()
+        assert set(keys[0].k) & set(keys[1].k)
+
+
+def test_components(spark):
+    rng = random.Random(2)
+    links = [(i, i + 1) for i in range(100, 160)] + [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(5, 5), (None, 3), (200, 201), (200, 201)]
+    parent = {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        if a is not None and a != b:
+            x, y = find(a), find(b)
+            parent[max(x, y)] = min(x, y)
+    got = {r.node: r.root for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
+    assert got == {x: find(x) for x in parent if find(x) != x}
+    assert components(spark.createDataFrame([], "u long, v long")).collect() == []
+
+
+def test_one_of_each(spark):
+    text = " ".join(f"w{i}" for i in range(50))
+    rows = [(3, text, "x"), (2, text, "y"), (9, "other words here now", "z"), (9, "other words here now", "z"), (None, "null id text", "n"), (4, None, "e"), (5, "", "e")]
+    out = simhash.one_of_each(spark.createDataFrame(rows, DOCS + ", component_id string"))
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.component_id) for r in out.collect()) == [(False, 2, "y"), (False, 4, "e"), (False, 9, "z"), (True, 0, "n")]
+
+
+def _plain(t):
+    return re.findall(r"[^\W_]+", t.lower()) if t else []
+
+
+def _shingles(t):
+    w = _plain(t)
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({(len(w), *w)} if w else set())
+
+
+def test_decontamination(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdef") for _ in range(3))
+    items = [(i, " ".join(word() for _ in range(rng.choice([6, 15, 40, 90])))) for i in range(40)] + [(90, "Tiny item"), (91, ""), (92, None), (93, "!!"), (0, "repeated id of an item here")]
+    docs = [(100, "tiny ITEM!"), (101, "a tiny item in a text"), (102, None), (103, "")]
+    for i, t in items[:40]:
+        w = t.split(" ")
+        for share in (1.0, 0.85, 0.6):
+            cut = w[: max(5, int(len(w) * share))]
+            docs.append((len(docs) + 1000, " ".join([word() for _ in range(rng.choice([0, 30, 3000]))] + [" - ".join(cut).upper() + "."] + [word() for _ in range(20)])))
+    want = set()
+    for d, t in docs:
+        own = _shingles(t)
+        for i, u in items:
+            s = _shingles(u)
+            if s and len(s & own) >= 0.8 * len(s):
+                want.add((d, i, len(s), len(s & own)))
+    left, right = spark.createDataFrame([(*r, 1) for r in docs], DOCS + ", item_id int"), spark.createDataFrame(items, "item_id long, text string")
+    for limit in (decontam.BLOCK_SHINGLES, 100):  # one pass, and several
+        got = {(r.doc_id, r.item_id, r.n_shingles, r.n_shared) for r in decontam.contaminated(left, right, limit=limit).collect()}
+        assert got == want and (100, 90, 1, 1) in got
+        clean = decontam.decontaminate(left, right, limit=limit)
+        assert clean.columns == left.columns and {r.doc_id for r in clean.collect()} == {d for d, _ in docs} - {d for d, *_ in want}
+    assert decontam.contaminated(left, right.limit(0)).collect() == [] and decontam.decontaminate(left.limit(0), right).collect() == []
+
+
+def _stats(t):
+    t = t or ""
+    w, lines = WORD.findall(t), [x for x in t.split("\n") if WORD.search(x)]
+    seen = collections.Counter(zip(w, w[1:], w[2:], strict=False))
+    cover = set()
+    for i in range(len(w) - 2):
+        if seen[tuple(w[i : i + 3])] > 1:
+            cover |= {i, i + 1, i + 2}
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(cover)
+
+
+def test_rule_statistics(spark):
+    rows = _texts(7, 60) + [(2000, "a\n a \na\n\n \nb|#\r\nb|#"), (2001, "x y z x y z x"), (2002, "😀 é ß | < >"), (2003, "one two"), (2000, "a\n a")]
+    got = spark.createDataFrame(rows, DOCS).select("text", rules.statistics(F.col("text")).alias("s")).collect()
+    for r in got:
+        assert (r.s.n_words, r.s.word_chars, r.s.n_symbols, r.s.n_dup_lines, r.s.n_repeat_words) == _stats(r.text)
+
+
+def _labelled(n=600):
+    rng = random.Random(9)
+    rows, labels = [], []
+    for i in range(n):
+        words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(rng.randint(60, 200))]
+        bad = i % 4 == 0
+        if bad:
+            words = [w + rng.choice(["###", "$$$"]) for w in words] if i % 8 else [w.upper() + "!!" for w in words]
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(not bad) if rng.random() < 0.97 else int(bad), 0))
+    return rows, labels
+
+
+def test_learned_rules(spark):
+    rows, labels = _labelled()
+    extra = [(9000, None), (9001, "word " * 300)]
+    d, marked = spark.createDataFrame(rows + extra, DOCS), spark.createDataFrame(labels + [(None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in rules.op6(d, marked).collect()}
+    wrong = [i for i, _ in rows if got[i].kept != (i % 4 != 0)]
+    assert len(wrong) <= 6 and got[9000].base_failed and got[9001].base_failed and not got[9001].kept
+    none = {r.doc_id: r.kept for r in rules.op6(d, marked.limit(0)).collect()}
+    assert none[0] and not none[9000]
+    assert rules.op6(d.limit(0), marked).collect() == []
+    assert "Python" not in rules.op6(d, marked)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_quality_scores(spark):
+    rows, labels = _labelled()
+    extra = [(9000, None), (9001, ""), (9002, "tiny"), (0, rows[0][1]), (None, "text without an id")]
+    d, marked = spark.createDataFrame([(*r, 1) for r in rows + extra], DOCS + ", score int"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    found = quality.op8(d, marked).collect()
+    got = {r.doc_id: r for r in found}
+    assert len(found) == len(rows) + 5 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in found)
+    assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i, _ in rows)
+    held = [i for i, _ in rows if got[i].held_out]
+    assert sum(got[i].predicted == (i % 4 != 0) for i in held) >= 0.95 * len(held)
+    flipped = spark.createDataFrame([(i, 1 - q if zlib.crc32(str(i).encode()) % 5 == 0 else q, t) for i, q, t in labels], "doc_id long, quality int, toxic int")
+    again = {r.doc_id: r.score for r in quality.op8(d, flipped).collect()}
+    assert all(again[i] == pytest.approx(got[i].score, abs=1e-9) for i in again)  # held-out labels don't matter
+    kept = quality.accepted(d, marked)
+    assert kept.columns == d.columns and kept.count() == sum(r.predicted for r in found)
+    assert {r.score for r in quality.op8(d, marked.limit(0)).collect()} == {1.0} and quality.op8(d.limit(0), marked).collect() == []
+
+
+def test_isotonic():
+    x, y = quality.isotonic(np.array([0.0, 1, 2, 3]), np.array([1.0, 0, 2, 4]), np.array([1.0, 1, 2, 4]))
+    assert x.tolist() == [0.5, 2.666666666666667] or len(x) == 2 and (np.diff(y) > 0).all() and y[0] == 0.5

@@ -20,7 +20,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilum.llm._store import written
+from veilum.llm._store import bounded_sample, written
 from veilum.llm._words import mixed, rolling, split_words, text_slices, word_codes
 
 FOLDS = 5
@@ -186,7 +186,7 @@ def fit(stats: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     """
     marked = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").alias("__v_doc"), F.col("quality").cast("double").alias("quality"))
     rows = stats.join(marked, F.col("doc_id") == F.col("__v_doc")).where(fold(F.col("doc_id")) != 0)
-    rows = rows.select("doc_id", "quality", *STATS).orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_rows)
+    rows = bounded_sample(rows.select("doc_id", "quality", *STATS), "doc_id", max_rows)
     rows = written(rows.repartition(PARTS, "doc_id"), "training")
     moments = rows.agg(F.count("*"), *[F.mean(s) for s in STATS], *[F.stddev_pop(s) for s in STATS]).first()
     none = np.zeros(0)
@@ -240,7 +240,7 @@ def accepted(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Da
     Only labelled rows' statistics are computed for the fit; the filter then runs where the rows are, without a join.
     """
     marked = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").alias("__v_doc")).distinct()
-    chosen = marked.where(fold(F.col("__v_doc")) != 0).orderBy(F.xxhash64("__v_doc")).limit(max_rows)
+    chosen = bounded_sample(marked.where(fold(F.col("__v_doc")) != 0), "__v_doc", max_rows)
     stats = statistics(docs.join(chosen, F.col("doc_id") == F.col("__v_doc"), "left_semi"))
     return docs.mapInArrow(_passing(fit(written(stats, "statistics"), labels, max_rows)), docs.schema)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from veilum.llm import decontam, mix, pii, quality, simhash
 from veilum.llm._store import written
@@ -28,8 +29,12 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by pseudonyms; formats, and so lengths, stay."""
-    return pii.pseudonymize(docs).select(*docs.columns)
+    """All documents, personal data replaced by pseudonyms; where that changed a text, n_chars is the new length."""
+    out = pii.pseudonymize(docs)
+    if "n_chars" in docs.columns:
+        changed = F.when(F.size("private_kinds") > 0, F.length("text")).otherwise(F.col("n_chars"))
+        out = out.withColumn("n_chars", changed.cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -159,7 +159,7 @@ def test_pseudonyms(spark):
     for iban in (rows[6].text[:27], rows[6].text[28:].replace(" ", "")):
         assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
     for (i, t) in PRIVATE:
-        assert t is None or len(rows[i].text) == len(t)
+        assert t is None or i == 4 or len(rows[i].text) == len(t)  # octets have one to three digits
     back = {r.doc_id: r.text for r in pii.pseudonymize(out.drop("private_kinds"), direction=-1).collect()}
     assert all(back[i] == t for i, t in PRIVATE)
     other = {r.doc_id: r.text for r in pii.pseudonymize(d, key="other").collect()}

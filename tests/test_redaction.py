@@ -46,7 +46,7 @@ def test_random_texts_round_trip_and_are_clean_after(spark):
 
 def test_longest_placeholder_first(spark):
     listed = F.array(*[F.struct(F.lit(f"[A-{n}").alias("placeholder"), F.lit("A").alias("type"), F.lit(v).alias("original")) for n, v in ((1, "one"), (10, "ten"), (2, None))])
-    row = spark.range(1).select(restore.deanonize(F.lit("[A-10 [A-1 [A-2"), listed).alias("r")).first().r
+    row = spark.range(1).select(restore.put_originals(F.lit("[A-10 [A-1 [A-2"), listed).alias("r")).first().r
     assert (row.text, row.replaced) == ("ten one [A-2", 2)
 
 

@@ -108,3 +108,33 @@ def test_frames_and_deltas(spark):
     frames = streams.frames(spark.createDataFrame([(x,) for x in lines], "value string"), limit=90)
     assert [r.error for r in frames.collect()] == [None, -32700, -32600, -32601, -32600]
     assert [tuple(r) for r in streams.answers(frames).collect()] == [("1", "anonymize", "sensitive", 1, "[EMAIL-1]")]
+
+
+def test_reports_and_stored_things(spark, tmp_path):
+    from veilum.operators import dictionary, reports
+
+    (tmp_path / "good.txt").write_text("A|Contoso\nB|contoso ltd\n")
+    (tmp_path / "bad.txt").write_text("@typo\n")
+    assert {r.name: r.entries for r in dictionary.catalogs(spark, str(tmp_path)).collect()} == {"bad": -1, "good": 2}
+    assert dictionary.globs_in("# x\n\n*.md \n/pub/*\n") == ["*.md", "/pub/*"]
+    target = tmp_path / "mine.txt"
+    assert dictionary.save(str(target), "A|Alpha\n", {"other": "B|Beta\n"}) == [] and target.read_text() == "A|Alpha\n" and target.stat().st_mode & 0o777 == 0o600
+    for text in ("B|beta\n", "A|Gamma\nB|gamma\n", "@typo\n"):
+        with pytest.raises(dictionary.DictionaryError):
+            dictionary.save(str(target), text, {"other": "B|Beta\n"})
+    assert target.read_text() == "A|Alpha\n"
+    assert [e.surface for e in dictionary.resolve([str(target)], ["/no/file"])] == ["Alpha"] and dictionary.resolve([], ["/no/file"]) == []
+    with pytest.raises(FileNotFoundError):
+        dictionary.resolve(["/no/file"])
+    entries = spark.createDataFrame([("m", "[A-1]", "A", "x")], mapstore.ENTRIES)
+    with pytest.raises(PermissionError):
+        reports.reveal(entries, "m")
+    assert reports.reveal(entries, "m", confirm=True).first().original == "x"
+
+
+def test_written_containers(spark, tmp_path):
+    from veilum.sources import containers
+
+    made = spark.createDataFrame([("a.docx", bytearray(b"one")), ("b.docx", bytearray(b""))], "name string, content binary")
+    assert sorted(map(tuple, containers.write_containers(made, str(tmp_path / "out")).collect())) == [("a.docx", 3), ("b.docx", 0)]
+    assert (tmp_path / "out" / "a.docx").read_bytes() == b"one" and len(list((tmp_path / "out").iterdir())) == 2

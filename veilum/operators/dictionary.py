@@ -7,6 +7,7 @@ by an equality join of the texts' word runs with the entries' first runs, and ve
 
 from __future__ import annotations
 
+import os
 import re
 import unicodedata
 from collections.abc import Iterable, Mapping
@@ -130,6 +131,54 @@ def load(paths: Iterable[str]) -> list[Entry]:
     return sorted(merged, key=lambda e: -len(e.surface))
 
 
+def resolve(paths: Iterable[str] = (), defaults: Iterable[str] = ()) -> list[Entry]:
+    """Entries of the files named, which must exist, or else of those defaults that do."""
+    paths = [str(p) for p in paths]
+    for path in paths:
+        if not os.path.exists(path):
+            raise FileNotFoundError(path)
+    return load(paths or defaults)
+
+
+def save(path: str, text: str, others: Mapping[str, str] | None = None) -> list[str]:
+    """Write a dictionary if it parses and declares no name twice (``others``: texts in force beside it); returns warnings.
+
+    The file appears whole or not at all, and only its owner can read it.
+    """
+    _, warnings = parse(text, path)
+    declared: dict[tuple, set] = {}
+    for name, content in {**(others or {}), path: text}.items():
+        for e in parse(content, name)[0]:
+            declared.setdefault((unicodedata.normalize("NFC", e.surface).casefold(), e.context), set()).add((name, e.line, e.surface, e.case_sensitive))
+    for (folded, _), places in declared.items():
+        apart = all(p[3] for p in places) and len({p[2] for p in places}) > 1
+        if len(places) > 1 and not apart and any(p[0] == path for p in places):
+            raise DictionaryError(f"{path}: {folded!r} is declared more than once")
+    draft = f"{path}.{os.getpid()}.new"
+    with open(os.open(draft, os.O_WRONLY | os.O_CREAT | os.O_EXCL, 0o600), "w", encoding="utf-8") as f:
+        f.write(text)
+    os.replace(draft, path)
+    return warnings
+
+
+def catalogs(spark: SparkSession, folder: str) -> DataFrame:
+    """name, path, entries of each dictionary file of a folder; -1 entries where it doesn't parse."""
+    rows = []
+    for name in sorted(os.listdir(folder)) if os.path.isdir(folder) else []:
+        path = os.path.join(folder, name)
+        if name.endswith(".txt"):
+            try:
+                rows.append((name[:-4], path, entry_count(load([path]))))
+            except DictionaryError:
+                rows.append((name[:-4], path, -1))
+    return spark.createDataFrame(rows, "name string, path string, entries int")
+
+
+def globs_in(text: str) -> list[str]:
+    """The globs of an allowlist: a line each, # for comments."""
+    return [line for raw in text.splitlines() if (line := raw.strip()) and line[0] != "#"]
+
+
 def entry_count(entries: Iterable[Entry]) -> int:
     return len({(e.type, e.surface) for e in entries})
 

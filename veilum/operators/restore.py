@@ -25,7 +25,7 @@ def xml_protect(value: Column) -> Column:
     return out
 
 
-def deanonize(text: Column, listed: Column, protect=None) -> Column:
+def put_originals(text: Column, listed: Column, protect=None) -> Column:
     """struct(text, replaced): longest placeholder first, each replaced everywhere; ``protect`` maps the originals."""
     order = F.transform(F.sort_array(F.transform(restorable(listed), lambda e: F.struct((-F.length(e["placeholder"])).alias("n"), e["placeholder"].alias("p"), e["original"].alias("o")))), lambda e: e)
     start = F.struct(text.alias("text"), F.lit(0).alias("replaced"))
@@ -50,7 +50,7 @@ def unknown(text: Column, listed: Column) -> Column:
 
 def restored(docs: DataFrame, text: str = "redacted", listed: str = "entries") -> DataFrame:
     """``docs`` plus restored, replaced, remaining, unknown, complete (nothing left or unknown, something replaced)."""
-    out = docs.withColumn("__v_back", let(F.struct(F.col(text).alias("t"), F.col(listed).alias("e")), lambda s: deanonize(s["t"], s["e"])))
+    out = docs.withColumn("__v_back", let(F.struct(F.col(text).alias("t"), F.col(listed).alias("e")), lambda s: put_originals(s["t"], s["e"])))
     out = out.withColumn("restored", F.col("__v_back.text")).withColumn("replaced", F.col("__v_back.replaced")).drop("__v_back")
     out = out.withColumn("remaining", remaining(F.col("restored"), F.col(listed))).withColumn("unknown", unknown(F.col("restored"), F.col(listed)))
     return out.withColumn("complete", (F.col("remaining") == 0) & (F.col("unknown") == 0) & (F.col("replaced") > 0))

@@ -12,7 +12,7 @@ from veilum.functions import patterns as P
 from veilum.functions import rules as R
 from veilum.functions import validators as V
 from veilum.functions.offsets import each, line_of, masked, matches, starts_of
-from veilum.operators import audit, detect, dictionary, mapstore, markup, placeholders, quality, restore, suggest
+from veilum.operators import audit, detect, dictionary, mapstore, markup, placeholders, quality, reports, restore, suggest
 from veilum.plans import oracle as O
 from veilum.sources import files, pdf
 from veilum.streaming import streams
@@ -707,3 +707,72 @@ def answer_deltas(spark, sf_dir):
 def pdf_pages(spark, sf_dir):
     made = table(spark, sf_dir, "region").select("r_regionkey", pdf.as_pdf(F.col("r_name")).alias("p"))
     return made.select("r_regionkey", F.regexp_count(F.decode("p", "ISO-8859-1"), F.lit("/Type /Page /")).cast("long").alias("pages"))
+
+
+# ---- reports and stored things -------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {O.spans()}, n AS (SELECT doc_id, count(*) AS n FROM spans GROUP BY 1) SELECT doc_id, 'veilum/1' AS schema, coalesce(n, 0) > 0 AS sensitive, coalesce(n, 0)::INT AS total FROM documents LEFT JOIN n USING (doc_id)")
+def check_json(spark, sf_dir):
+    d = found(spark, sf_dir).select("doc_id", reports.check_json(audit.findings(F.col("text"), F.col("spans"))).alias("j"))
+    back = F.from_json("j", "schema string, tool string, sensitive boolean, total int")
+    return d.select("doc_id", back.alias("b")).select("doc_id", "b.schema", "b.sensitive", "b.total")
+
+
+@query(
+    f"WITH {O.numbered()}, c AS (SELECT doc_id, type, count(*) AS n FROM numbered GROUP BY ALL) SELECT doc_id, '# doc ' || doc_id || chr(10) || chr(10) || 'Values replaced: ' || sum(n) || chr(10) || chr(10) || '| Type | Values |' || chr(10) || '|---|---|' || chr(10) "
+    "|| string_agg('| ' || type || ' | ' || n || ' |', chr(10) ORDER BY type) || chr(10) AS report FROM c GROUP BY doc_id"
+)
+def markdown_reports(spark, sf_dir):
+    done = placeholders.anonymize(found(spark, sf_dir).where(F.size("spans") > 0))
+    return done.select("doc_id", reports.markdown(F.concat(F.lit("doc "), F.col("doc_id").cast("string")), placeholders.counts(F.col("entries"))).alias("report"))
+
+
+@query("WITH n AS (SELECT doc_id, length(text) AS n FROM documents), c AS (SELECT doc_id, n, greatest(0, ceil((n - 2000) / 1800.0))::INT + 1 AS k FROM n) SELECT doc_id, n::INT AS chars, least((k - 1) * 1800 + 2000, n)::INT AS analyzed_chars, false AS truncated, k AS chunks, CASE WHEN k > 1 THEN 200 ELSE 0 END AS chunk_overlap FROM c")
+def window_coverage(spark, sf_dir):
+    w = reports.coverage(F.length("text"), suggest.fixed_windows(F.length("text"), 2000, 200), 200)
+    return documents(spark, sf_dir).select("doc_id", w.alias("c")).select("doc_id", "c.*")
+
+
+@query("SELECT coalesce(m.n_name, f.n_name) AS path, CASE WHEN f.n_name IS NULL THEN 'missing' WHEN m.n_name IS NULL THEN 'extra' WHEN m.n_nationkey % 3 = 1 THEN 'changed' ELSE 'same' END AS state FROM (SELECT * FROM nation WHERE n_nationkey < 20) m FULL JOIN (SELECT * FROM nation WHERE n_nationkey >= 5) f ON m.n_name = f.n_name")
+def manifest_states(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    manifest = n.where("n_nationkey < 20").select(F.col("n_name").alias("path"), F.sha2("n_name", 256).alias("sha256"))
+    changed = F.when(F.col("n_nationkey") % 3 == 1, F.sha2(F.upper(F.concat("n_name", F.lit("x"))), 256)).otherwise(F.sha2("n_name", 256))
+    return reports.manifest_check(manifest, n.where("n_nationkey >= 5").select(F.col("n_name").alias("path"), changed.alias("sha256")))
+
+
+@query("SELECT o_orderkey::VARCHAR AS path FROM orders WHERE o_orderkey % 4 <> 0 AND NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_acctbal > 0) UNION ALL SELECT o_orderkey::VARCHAR FROM orders WHERE o_orderkey % 4 = 0 AND o_orderdate < TIMESTAMP '1996-01-01' - INTERVAL 3600 SECOND")
+def orphan_folders(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("path"), F.when(F.col("o_orderkey") % 4 != 0, F.col("o_custkey")).alias("owner"), F.col("o_orderdate").cast("timestamp").alias("modified"))
+    alive = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("owner"))
+    return reports.orphans(o, alive, F.lit("1996-01-01").cast("timestamp")).select("path")
+
+
+_ENDPOINTS = ["http://localhost:8080/v1", "https://127.0.0.1/x", "http://127.1.2.3", "http://[::1]:9/", "http://example.com", "ftp://localhost/", "http://localhost.evil.com/", "http://127.0.0.1@evil.com/", "http://me@localhost/", "http://128.0.0.1/", "nonsense"]
+_LOOP = "'^(?i)https?://([^/?#@]*@)?(localhost|127([.](25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])){3}|\\[::1\\])(:[0-9]+)?([/?#]|$)'"
+
+
+@query(f"SELECT v AS url, regexp_matches(v, {_LOOP}) AS loopback FROM {O.values([(x,) for x in _ENDPOINTS], 'v')}")
+def loopback_endpoints(spark, sf_dir):
+    return literal(spark, [(x,) for x in _ENDPOINTS], "url string").select("url", reports.is_loopback(F.col("url")).alias("loopback"))
+
+
+_IDS = ["20260101-abc", "a_b", "../x", "a/b", "", "é1", "a b"]
+
+
+@query(f"SELECT v AS id, regexp_matches(v, '^[\\p{{L}}\\p{{N}}_\\-]+$') AS valid FROM {O.values([(x,) for x in _IDS], 'v')}")
+def map_ids(spark, sf_dir):
+    return literal(spark, [(x,) for x in _IDS], "id string").select("id", reports.is_map_id(F.col("id")).alias("valid"))
+
+
+@query("WITH t AS (SELECT n_nationkey AS seed, substr(sha256(n_nationkey || '|' || i), 1, 3) AS tag FROM nation, unnest(range(1, 81)) AS r(i)) SELECT seed, count(*) AS drawn, count(DISTINCT tag) AS \"distinct\", count(DISTINCT tag) < count(*) AS collided FROM t GROUP BY seed")
+def tag_collisions(spark, sf_dir):
+    return reports.collisions(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("seed")), 80, 3)
+
+
+@query("SELECT lpad(c.o_orderkey::VARCHAR, 12, '0') AS map_id, CASE WHEN c.o_orderkey % 2 = 0 THEN 'C:\\maps\\run/' || c.o_orderkey || '.txt/' END AS source FROM orders c WHERE c.o_orderkey < 200")
+def restore_provenance(spark, sf_dir):
+    maps = _maps(spark, sf_dir)
+    restored = maps.where("map_id < '000000000200'").select("map_id")
+    return reports.provenance(restored, maps.where(F.col("map_id").cast("int") % 2 == 0)).select("map_id", "source")

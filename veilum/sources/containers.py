@@ -9,10 +9,12 @@ from __future__ import annotations
 import codecs
 import io
 import re
+import uuid
 import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,7 +23,7 @@ from pyspark.sql.functions import pandas_udf
 from veilum.functions import patterns as P
 from veilum.functions.offsets import empty
 from veilum.operators import detect, placeholders
-from veilum.operators.restore import deanonize, xml_protect
+from veilum.operators.restore import put_originals, xml_protect
 
 MAX_PART, MAX_TOTAL, MAX_RATIO, RATIO_FLOOR = 64 << 20, 256 << 20, 200, 4096
 PARTS = "path string, part_no int, name string, codec string, text string, view string, content binary, refused string"
@@ -238,6 +240,26 @@ def packed(parts: DataFrame, original: DataFrame) -> DataFrame:
     return joined.select("path", pack("content", "changes").alias("content"))
 
 
+def write_containers(made: DataFrame, folder: str, name: str = "name") -> DataFrame:
+    """Write ``made`` (name, content) as files of a folder on any file system that pyarrow reaches; returns name, bytes.
+
+    A file is written under another name and moved, so that a lost task leaves no half of it.
+    """
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, root = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", folder))
+        store.create_dir(root, recursive=True)
+        for batch in batches:
+            for target, content in zip(batch[name], batch["content"], strict=True):
+                draft = f"{root}/.{uuid.uuid4().hex}"
+                with store.open_output_stream(draft) as out:
+                    out.write(content)
+                store.move(draft, f"{root}/{target}")
+            yield pd.DataFrame({"name": batch[name], "bytes": [len(c) for c in batch["content"]]})
+
+    return made.select(name, "content").mapInPandas(rows, "name string, bytes long")
+
+
 def restored_parts(parts: DataFrame, maps: DataFrame) -> DataFrame:
     """``parts`` joined with ``maps`` (path, entries): new_text with originals escaped for markup, replaced, split tokens
     put together where they stand in one container of text."""
@@ -255,7 +277,7 @@ def restored_parts(parts: DataFrame, maps: DataFrame) -> DataFrame:
         return {"text": edited(text, edits), "repaired": len(edits)}
 
     joined = parts.join(maps.select("path", "entries"), "path", "left")
-    back = joined.withColumn("__v_back", deanonize(F.col("text"), F.col("entries"), xml_protect))
+    back = joined.withColumn("__v_back", put_originals(F.col("text"), F.col("entries"), xml_protect))
     back = back.withColumn("__v_text", F.col("__v_back.text")).withColumn("replaced", F.col("__v_back.replaced")).drop("__v_back")
     fixed = _added(back, "__v_fixed", "struct<text:string,repaired:int>", repair, "__v_text", "entries")
     return fixed.withColumn("new_text", F.col("__v_fixed.text")).withColumn("repaired", F.col("__v_fixed.repaired")).drop("__v_text", "__v_fixed")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,15 +45,17 @@ def text_of(content: Column) -> Column:
     return F.make_valid_utf8(content.cast("string"))
 
 
-def scan(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES, allow: Column | None = None) -> DataFrame:
+def scan(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES, allow: Column | None = None, private: Sequence[str] = ()) -> DataFrame:
     """All files under a folder: path, name, bytes, kind, text (of text files), skipped (why a file isn't read).
 
-    Own outputs and files over ``max_bytes`` are named but not read; their content is never loaded.
+    Own outputs, files over ``max_bytes`` and files under the ``private`` folders (the map store, say) are named and not read.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name = F.element_at(F.split("path", "/"), -1)
     listed = files.select("path", name.alias("name"), F.col("length").alias("bytes"), "modificationTime", "content")
     skipped = F.when(F.col("name").rlike(OWN_OUTPUT), "own output").when(F.col("bytes") > max_bytes, "too large")
+    for folder in private:
+        skipped = F.coalesce(F.when(F.regexp_replace("path", "^file:/+", "/").startswith(folder.rstrip("/") + "/"), "private"), skipped)
     if allow is not None:
         skipped = F.coalesce(skipped, F.when(allow, "allowed"))
     out = listed.withColumn("skipped", skipped).withColumn("kind", F.when(F.col("skipped").isNull(), kind(F.col("content"))))

@@ -203,7 +203,15 @@ def safe_values(spark, sf_dir):
 _ADDRESSES = [(1, "Via G. Verdi 3/A"), (2, "in via del tutto eccezionale, 3 volte"), (3, "Piazza Roma, n. 12"), (4, "via roma 12"), (5, "V.le Europa 12"), (6, "via Un' 3"), (7, "Via Liberta' 12"), (8, "Corso Mazzini-Rossi 12-bis")]
 
 
-@query()
+_STREET = r"(?i)(?:^|[^\p{L}\p{N}_])(" + P.STREET_WORDS + r"\s+(?:[\p{L}][\p{L}\p{N}_'’.\-]*(?:\s+[\p{L}\p{N}_'’.\-]+){0,4}?)[,\s]+(?:n\.?\s*)?[0-9]{1,4}(?:\s*[/\-]\s*[A-Za-z0-9]{1,3})?)(?:$|[^\p{L}\p{N}_])"
+_STREET_NAME = "regexp_extract(value, " + O.quote(r"(?i)^" + P.STREET_WORDS + r"\s+(.*?)[,\s]+(?:n\.?\s*)?[0-9]{1,4}(?:\s*[/\-]\s*[A-Za-z0-9]{1,3})?$") + ", 1)"
+_LAST_PART = "regexp_replace(regexp_extract(name, '[^ ]*$'), '[''’]+$', '')"
+
+
+@query(
+    f"WITH d AS (SELECT * FROM {O.values(_ADDRESSES, 'id, text')}), {O.located('a', 'd', 'id', 'text', _STREET, 1)}, n AS (SELECT *, {_STREET_NAME} AS name FROM a) SELECT id::BIGINT AS id, start, \"end\", value FROM n "
+    f"WHERE len(list_filter(string_split(name, ' '), lambda w: regexp_matches(regexp_extract(w, '[^''’]*$'), '^\\p{{Lu}}'))) > 0 OR (regexp_matches(name, '[''’]$') AND regexp_matches({_LAST_PART}, '^\\p{{Lu}}') AND lower({_LAST_PART}) NOT IN {O.in_list(P.ELIDED)})"
+)
 def address_spans(spark, sf_dir):
     return _rule_spans(literal(spark, _ADDRESSES, "id long, text string"), "address", "id", "text")
 
@@ -484,7 +492,10 @@ _XML = "<d><p>ab</p><q>cd<r>ef</r></q></d>"
 _OFFSETS = [(i,) for i in (0, 6, 7, 15, 20, 25)]
 
 
-@query()
+_SEGMENTS = [(0, ""), (3, "d"), (6, "d/p"), (12, "d"), (15, "d/q"), (20, "d/q/r"), (26, "d/q"), (30, "d"), (34, "")]
+
+
+@query(f"SELECT o.x AS \"offset\", s.path FROM (SELECT * FROM {O.values(_OFFSETS, 'x')}) o ASOF JOIN (SELECT * FROM {O.values(_SEGMENTS, 'b, path')}) s ON o.x >= s.b")
 def asof_paths(spark, sf_dir):
     d = literal(spark, _OFFSETS, "offset int").withColumn("parts", markup.segments(F.lit(_XML)))
     path = markup.path_at(F.col("parts"), F.col("offset"))
@@ -690,7 +701,10 @@ def request_frames(spark, sf_dir):
     return streams.frames(literal(spark, _FRAMES, "id long, value string")).select("id", "error")
 
 
-@query()
+@query(
+    "SELECT json_extract_string(f, '$.id') AS id, json_extract_string(f, '$.params.name') AS tool, CASE WHEN n > 0 THEN 'sensitive' ELSE 'clean' END AS verdict, n::INT AS n_found, CASE WHEN json_extract_string(f, '$.params.name') = 'anonymize' THEN json_extract_string(f, '$.params.text') END AS redacted "
+    f"FROM (SELECT f, len(regexp_extract_all(json_extract_string(f, '$.params.text'), {O.quote(O.EMAIL)})) AS n FROM {O.values(_FRAMES, 'id, f')} WHERE CASE WHEN json_valid(f) THEN json_extract_string(f, '$.method') = 'tools/call' ELSE false END)"
+)
 def request_answers(spark, sf_dir):
     return streams.answers(streams.frames(literal(spark, _FRAMES, "n long, value string")))
 

@@ -19,7 +19,7 @@ SLICE_BYTES = 4 << 20
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that each holds about ``limit`` bytes of text or one row."""
+    """Cut batches so that each holds about ``limit`` bytes of text or one row; at the end, unused memory goes back."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         ends, start, total = np.cumsum(sizes), 0, 0
@@ -27,6 +27,8 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
             stop = max(start + 1, int(np.searchsorted(ends, total + limit, side="right")))
             yield batch.slice(start, stop - start)
             start, total = stop, int(ends[stop - 1])
+        del batch
+    pa.default_memory_pool().release_unused()
 
 
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:

@@ -141,7 +141,7 @@ def blocks(benchmark: DataFrame, threshold: float = THRESHOLD, limit: int = BLOC
 
 def _pairs(shared, threshold: float):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = shared.value
+        block = Block(**shared.value)
         for batch in text_slices(batches):
             out = [(batch.column("doc_id")[r].as_py(), block.ids[i], len(block.shingles[i]), n, n / len(block.shingles[i])) for r, i, n in matches(batch.column("text"), block, threshold)]
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
@@ -152,9 +152,10 @@ def _pairs(shared, threshold: float):
 
 def _clean(shared, threshold: float):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = Block(**shared.value)
         for batch in text_slices(batches):
             stays = np.ones(batch.num_rows, bool)
-            stays[[r for r, _, _ in matches(batch.column("text"), shared.value, threshold)]] = False
+            stays[[r for r, _, _ in matches(batch.column("text"), block, threshold)]] = False
             yield batch.filter(pa.array(stays))
 
     return rows
@@ -170,7 +171,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     sc, out = docs.sparkSession.sparkContext, None
     texts = docs.select(F.col("doc_id").cast("long"), "text")
     for block in blocks(benchmark.select(F.col("item_id").cast("long"), "text"), threshold, limit):
-        pairs = texts.mapInArrow(_pairs(sc.broadcast(block), threshold), PAIRS)
+        pairs = texts.mapInArrow(_pairs(sc.broadcast(vars(block)), threshold), PAIRS)
         out = pairs if out is None else out.unionByName(pairs)
     return docs.sparkSession.createDataFrame([], PAIRS) if out is None else out
 
@@ -179,7 +180,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
     """The rows of ``docs`` in which no item stands, with all their columns."""
     sc, out = docs.sparkSession.sparkContext, docs
     for block in blocks(benchmark.select(F.col("item_id").cast("long"), "text"), threshold, limit):
-        out = out.mapInArrow(_clean(sc.broadcast(block), threshold), docs.schema)
+        out = out.mapInArrow(_clean(sc.broadcast(vars(block)), threshold), docs.schema)
     return out
 
 

@@ -85,8 +85,7 @@ def spread(df: DataFrame, least_bytes: int = 1 << 20) -> DataFrame:
     A large table has more partitions than cores and is left as it is, and so is a tiny one.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    paths = df.inputFiles()
-    if len(paths) >= cores:
-        return df
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if least_bytes <= size < cores * (128 << 20) else df
+    if not least_bytes <= size < cores * (128 << 20) or len(df.inputFiles()) >= cores:
+        return df
+    return df.repartition(cores)

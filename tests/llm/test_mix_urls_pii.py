@@ -177,3 +177,11 @@ def test_permutations_are_one_to_one(spark):
 def test_pii_is_native_and_handles_an_empty_table(spark):
     d = spark.createDataFrame([], "doc_id long, text string")
     assert pii.op3(d).collect() == [] and "Python" not in pii.op3(d)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_secrets_of_letters_in_texts_without_digits(spark):
+    d = spark.createDataFrame([(1, "password: correcthorsebattery"), (2, "token=correcthorsebattery, room 12"), (3, "plain: words = here")], "doc_id long, text string")
+    rows = {r.doc_id: r for r in pii.pseudonymize(d).collect()}
+    new = re.fullmatch("password: ([a-z]{19})", rows[1].text)[1]
+    assert new != "correcthorsebattery" and rows[2].text == f"token={new}, room 12" and rows[3].text == "plain: words = here"
+    assert [rows[i].private_kinds for i in (1, 2, 3)] == [["SECRET"], ["SECRET"], []]

@@ -6,7 +6,7 @@ Z_u x Z_v whose rounds add a keyed hash of one half to the other, so each kind's
 format stays, check digits stay right, and equal values get equal pseudonyms in every document. E-mail names and assigned
 secrets go through the same network over character classes. The key turns the pseudonyms back (``direction=-1``).
 
-A text without digits and @ holds none of these and is passed on unread.
+A text without ASCII digits, @, : and = holds none of these and is passed on unread.
 """
 
 from __future__ import annotations
@@ -268,7 +268,7 @@ def scrub(text: Column, key: str = KEY, direction: int = 1) -> Column:
         return let(F.struct(F.split(x, ANY, -1).alias("gaps"), outs.alias("outs")), joined)
 
     # Searches for single bytes, which unlike a pattern make no copy of the text.
-    some = reduce(Column.__or__, [text.contains(c) for c in DIGITS + "@"])
+    some = reduce(Column.__or__, [text.contains(c) for c in DIGITS + "@:="])
     return F.when(some, let(text, rebuilt)).otherwise(F.struct(text.alias("text"), kinds.alias("kinds")))
 
 

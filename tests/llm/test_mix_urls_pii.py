@@ -185,3 +185,23 @@ def test_secrets_of_letters_in_texts_without_digits(spark):
     new = re.fullmatch("password: ([a-z]{19})", rows[1].text)[1]
     assert new != "correcthorsebattery" and rows[2].text == f"token={new}, room 12" and rows[3].text == "plain: words = here"
     assert [rows[i].private_kinds for i in (1, 2, 3)] == [["SECRET"], ["SECRET"], []]
+
+
+OVERRUN = [
+    (1, "4111 1111 1111 1111 12/27", ["CARD"]), (2, "4111-1111-1111-1111 123", ["CARD"]), (3, "4111 1111 1111 1111 2026 and 4111 1111 1111 1111", ["CARD"] * 2), (4, "BE68539007547034 EUR", ["IBAN"]),
+    (5, "BE68 5390 0754 7034 2026 EUR", ["IBAN"]), (6, "ES9121000418450200051332 OK", ["IBAN"]), (7, "é 4111 1111 1111 1111 4012 8888 8888 1881 12/27/2026 x", ["CARD", "CARD", "DATE"]),
+    (8, "4111 1111 1111 1111 123-45-6789 x", ["CARD", "SSN"]), (9, "AB12 BE68 5390 0754 7034 PWD: abcdefghij", ["IBAN", "SECRET"]), (10, "4111-1111-1111-1112 12 x", []),
+    (11, "4111 1111 1111 1111 " * 700, ["CARD"] * 700),
+]
+
+
+def test_cards_and_ibans_before_short_words(spark):
+    d = spark.createDataFrame([r[:2] for r in OVERRUN], "doc_id long, text string")
+    rows = {r.doc_id: r for r in pii.pseudonymize(d).collect()}
+    assert {i: rows[i].private_kinds for i, _, _ in OVERRUN} == {i: k for i, _, k in OVERRUN}
+    card = rows[3].text[-19:]
+    assert card != "4111 1111 1111 1111" and rows[1].text == f"{card} 12/27" and rows[2].text == card.replace(" ", "-") + " 123" and rows[3].text == f"{card} 2026 and {card}"
+    assert rows[7].text.startswith(f"é {card} ") and rows[7].text.endswith(" x") and rows[11].text == f"{card} " * 700 and rows[10].text == OVERRUN[9][1]
+    iban = rows[4].text[:16]
+    assert iban != "BE68539007547034" and rows[4].text == f"{iban} EUR" and rows[5].text.replace(" ", "") == f"{iban}2026EUR" and rows[6].text.endswith(" OK")
+    assert all(len(rows[i].text) == len(t) for i, t, _ in OVERRUN)

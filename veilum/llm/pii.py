@@ -1,7 +1,9 @@
 """Format-preserving pseudonyms for personal data, in Spark expressions only.
 
 One pattern finds candidates from left to right; a candidate is replaced only if its kind's check holds (Luhn digit, IBAN
-remainder, octets, calendar date, number of digits). Numbers and dates go through an alternating Feistel network over
+remainder, octets, calendar date, number of digits). A card or IBAN that fails is tried without its last words, longest first,
+and the text behind what was replaced is read again; inside a candidate that fails altogether, phones alone are not looked
+for. Numbers and dates go through an alternating Feistel network over
 Z_u x Z_v whose rounds add a keyed hash of one half to the other, so each kind's values are permuted among themselves: the
 format stays, check digits stay right, and equal values get equal pseudonyms in every document. E-mail names and assigned
 secrets go through the same network over character classes. The key turns the pseudonyms back (``direction=-1``).
@@ -17,6 +19,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilum.functions.offsets import kept_in_order, running
+
 KEY = "veilum-demo-key"
 ROUNDS = 10
 MAX_WALK = 64
@@ -37,6 +41,8 @@ PATTERNS = {
 }
 KINDS = tuple(PATTERNS)
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Group 1 is the candidate at each place where one starts, also inside another one; only secrets are passed over whole.
+START = rf"(?=({ANY}))(?:{PATTERNS['SECRET']}|.)"
 LOWER, UPPER, DIGITS, HEX = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "0123456789abcdef"
 
 
@@ -175,8 +181,8 @@ def _date(value: Column) -> Column:
     return F.when(F.year(found).between(1800, 2199), found)
 
 
-def kind_of(m: Column) -> Column:
-    """The first kind whose whole pattern and check the candidate meets, or null."""
+def kind_of(m: Column, kinds: tuple[str, ...] = KINDS) -> Column:
+    """The first of ``kinds`` whose whole pattern and check the candidate meets, or null."""
     digits = only_digits(m)
     full = lambda kind: m.rlike(f"^(?:{PATTERNS[kind]})$")
     count = F.length(digits)
@@ -191,12 +197,24 @@ def kind_of(m: Column) -> Column:
         "PHONE": count.between(9, 15),
     }
     out = None
-    for kind, check in checks.items():
-        test = full(kind) & check
+    for kind in kinds:
+        test = full(kind) & checks[kind]
         out = F.when(test, kind) if out is None else out.when(test, kind)
     return out
 
 
+def judged(m: Column) -> Column:
+    """struct(value, kind): a candidate with its kind, else its longest card or IBAN that ends before a space or hyphen.
+
+    Patterns of both take the next short word along. Where nothing holds, the candidate with a null kind.
+    """
+    whole = lambda k: F.struct(m.alias("value"), k.alias("kind"))
+    ends = F.filter(F.transform(F.split(m, ""), lambda c, i: F.when(c.isin(" ", "-"), i)), lambda i: i >= 13)
+    shorter = F.transform(F.reverse(ends), lambda n: let(F.substring(m, F.lit(1), n), lambda v: F.struct(v.alias("value"), kind_of(v, ("IBAN", "CARD")).alias("kind"))))
+    best = let(F.filter(shorter, lambda s: s["kind"].isNotNull()), lambda found: F.coalesce(F.get(found, F.lit(0)), whole(F.lit(None).cast("string"))))
+    return let(kind_of(m), lambda k: F.when(k.isNull() & (F.length(m) > 13), best).otherwise(whole(k)))
+
+
 def valid_ssn(v: Column) -> Column:
     return ~v.rlike("^(000|666|9)|^...-00|0000$")
 
@@ -259,13 +277,37 @@ def scrub(text: Column, key: str = KEY, direction: int = 1) -> Column:
     kinds = F.array().cast("array<string>")
 
     def rebuilt(x):
-        outs = F.transform(F.regexp_extract_all(x, F.lit(ANY), F.lit(0)), lambda m: let(kind_of(m), lambda k: F.struct(k.alias("kind"), pseudonym(m, k, key, direction).alias("value"))))
-
-        def joined(s):
-            text = F.array_join(F.transform(s["gaps"], lambda g, i: F.concat(g, F.coalesce(F.get(s["outs"], i)["value"], F.lit("")))), "")
-            return F.struct(text.alias("text"), F.filter(F.transform(s["outs"], lambda o: o["kind"]), lambda k: k.isNotNull()).alias("kinds"))
-
-        return let(F.struct(F.split(x, ANY, -1).alias("gaps"), outs.alias("outs")), joined)
+        parts = F.struct(F.split(x, START, -1).alias("gaps"), F.transform(F.regexp_extract_all(x, F.lit(START), F.lit(1)), lambda m: F.struct(m.alias("m"), judged(m).alias("best"))).alias("found"))
+        return F.when(x.rlike(ANY), let(parts, resolved)).otherwise(F.struct(x.alias("text"), kinds.alias("kinds")))
+
+    def resolved(p):
+        step = lambda c: F.when(c["best"]["kind"] == "SECRET", F.length(c["m"])).otherwise(1)
+        sizes = F.transform(p["found"], lambda c, i: F.length(F.get(p["gaps"], i)) + step(c))
+
+        def placed(starts):
+            place = lambda c, i: F.struct((F.get(starts, i) + F.length(F.get(p["gaps"], i))).alias("start"), F.length(c["best"]["value"]).alias("size"), c["best"]["kind"].alias("kind"))
+            return F.transform(p["found"], place)
+
+        def take(s, c):
+            free, end = c["start"] >= s["end"], c["start"] + c["size"]
+            ok = free & c["kind"].isNotNull() & ((c["kind"] != "PHONE") | (c["start"] >= s["failed"]))
+            ok = F.coalesce(ok, F.lit(False))
+            after = F.struct(F.when(ok, end).otherwise(s["end"]).alias("end"), F.when(free & c["kind"].isNull(), F.greatest(s["failed"], end)).otherwise(s["failed"]).alias("failed"))
+            return F.lit(True), after, F.struct(ok.alias("ok"), (after["end"] - c["start"]).alias("gone"))
+
+        def joined(taken):
+            def one(c, i):
+                ok, gone = F.get(taken, i)["ok"], F.get(taken, i)["gone"]
+                left = F.concat(F.substring(c["m"], F.lit(1), step(c)), F.get(p["gaps"], i + 1))
+                left = F.when(gone > 0, F.substring(left, gone + 1, F.length(left))).otherwise(left)
+                return F.when(ok, F.concat(pseudonym(c["best"]["value"], c["best"]["kind"], key, direction), left)).otherwise(left)
+
+            text = F.concat(F.get(p["gaps"], F.lit(0)), F.array_join(F.transform(p["found"], one), ""))
+            shown = F.transform(p["found"], lambda c, i: F.when(F.get(taken, i)["ok"], c["best"]["kind"]))
+            return F.struct(text.alias("text"), F.filter(shown, lambda k: k.isNotNull()).alias("kinds"))
+
+        start = F.struct(F.lit(0).alias("end"), F.lit(0).alias("failed"))
+        return let(kept_in_order(let(running(sizes), placed), start, take, "struct<ok:boolean,gone:int>"), joined)
 
     # Searches for single bytes, which unlike a pattern make no copy of the text.
     some = reduce(Column.__or__, [text.contains(c) for c in DIGITS + "@:="])

@@ -205,3 +205,23 @@ def test_cards_and_ibans_before_short_words(spark):
     iban = rows[4].text[:16]
     assert iban != "BE68539007547034" and rows[4].text == f"{iban} EUR" and rows[5].text.replace(" ", "") == f"{iban}2026EUR" and rows[6].text.endswith(" OK")
     assert all(len(rows[i].text) == len(t) for i, t, _ in OVERRUN)
+
+
+def test_secrets_are_taken_to_their_end(spark):
+    rng = random.Random(6)
+    long = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(1200))
+    jwt = f"eyJhbGciOiJIUzI1NiJ9.{long[:90]}.{long[90:133]}"
+    values = [long, jwt, "QUJD+RA/x==", "z" * 1200, long * 10, "correct.horse=battery"]
+    texts = [f"x token={v}. Then" for v in values] + [f'secret: "{jwt}", y']
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = pii.pseudonymize(d)
+    rows = [r for r in out.orderBy("doc_id").collect()]
+    news = [r.text[8:-6] for r in rows[:-1]]
+    for old, new, r in zip(values, news, rows, strict=False):
+        assert r.private_kinds == ["SECRET"] and r.text == f"x token={new}. Then" and len(old) == len(new)
+        assert all(a.isupper() == b.isupper() and a.islower() == b.islower() and a.isdigit() == b.isdigit() and (a.isalnum() or a == b) for a, b in zip(old, new, strict=True))
+        for i in range(0, len(old) - 20, 20):  # no piece is left, up to the end
+            assert old[i : i + 20] == "." * 20 or old[i : i + 20] != new[i : i + 20]
+        assert old[-8:] != new[-8:]
+    assert rows[-1].text == f'secret: "{news[1]}", y' and len({news[3][i : i + 64] for i in range(0, 600, 64)}) == 10
+    assert [r.text for r in pii.pseudonymize(out.drop("private_kinds"), direction=-1).orderBy("doc_id").collect()] == texts

@@ -28,10 +28,13 @@ MAX_WALK = 64
 FIRST_DAY, DAY_U, DAY_V = "1800-01-01", 773, 189
 
 _LEFT, _RIGHT = r"(?<![A-Za-z0-9])", r"(?![A-Za-z0-9])"
+SECRET_HEAD = _LEFT + r"(?i:password|passwd|pwd|token|secret|api[_\-]?key|access[_\-]?key)[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?"
+#: Of any length; full stops at the end belong to the sentence.
+SECRET_VALUE = r"[A-Za-z0-9_+/\-][A-Za-z0-9._+/=\-]{6,}[A-Za-z0-9_+/=\-]"
 #: Candidates in order of precedence at one place (fixed patterns).
 PATTERNS = {
     "EMAIL": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}",
-    "SECRET": _LEFT + r"(?i:password|passwd|pwd|token|secret|api[_\-]?key|access[_\-]?key)[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?[A-Za-z0-9_+/\-]{8,512}",
+    "SECRET": SECRET_HEAD + SECRET_VALUE,
     "IBAN": _LEFT + r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _RIGHT,
     "IP": r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])",
     "DATE": _LEFT + r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}-[0-9]{2}-[0-9]{4})" + _RIGHT,
@@ -92,11 +95,13 @@ def permute_text(value: Column, kind: str, key: str, direction: int) -> Column:
     alphabets = (DIGITS, LOWER, UPPER)
 
     def turned(part, other, i, hexed):
-        stream = F.concat(*[F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), F.lit(n), i.cast("string"), other), 256) for n in range(2)])
+        hashed = lambda n, *of: F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), n.cast("string"), *of), 256)
+        first = F.array(*[hashed(F.lit(n), i.cast("string"), other) for n in range(2)])
+        more = lambda s: F.transform(F.sequence(F.lit(2), F.ceil(F.length(part) / 32).cast("int") - 1), lambda n: hashed(n, s[0], s[1]))
 
-        def one(stream):
+        def one(stream):  # a hash gives the amounts of 32 characters
             def char(c, at):
-                amount = F.conv(F.substring(stream, (at % 64) * 2 + 1, F.lit(2)), 16, 10).cast("int")
+                amount = F.conv(F.substring(F.get(stream, F.floor(at / 32).cast("int")), (at % 32) * 2 + 1, F.lit(2)), 16, 10).cast("int")
                 out = None
                 for letters, wanted in ((HEX, hexed), *((x, ~hexed) for x in alphabets)):
                     place = F.call_function("locate", c, F.lit(letters))
@@ -107,7 +112,7 @@ def permute_text(value: Column, kind: str, key: str, direction: int) -> Column:
 
             return F.array_join(F.transform(F.split(part, ""), char), "")
 
-        return F.when(F.length(part) == 0, part).otherwise(let(stream, one))
+        return F.when(F.length(part) == 0, part).otherwise(let(let(first, lambda s: F.when(F.length(part) > 64, F.concat(s, more(s))).otherwise(s)), one))
 
     def halves(v):
         n = F.length(v)
@@ -225,7 +230,7 @@ def pseudonym(m: Column, kind: Column, key: str = KEY, direction: int = 1) -> Co
         return F.concat(permute_text(name, "EMAIL", key, direction), F.substring(v, F.length(name) + 1, F.length(v)))
 
     def secret(v):
-        return let(F.regexp_extract(v, r"([A-Za-z0-9_+/\-]+)$", 1), lambda s: F.concat(F.substring(v, F.lit(1), F.length(v) - F.length(s)), permute_text(s, "SECRET", key, direction)))
+        return let(F.regexp_extract(v, f"^(?:{SECRET_HEAD})({SECRET_VALUE})$", 1), lambda s: F.concat(F.substring(v, F.lit(1), F.length(v) - F.length(s)), permute_text(s, "SECRET", key, direction)))
 
     def iban(v):
         def rebuilt(plain):

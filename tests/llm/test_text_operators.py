@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -278,3 +279,22 @@ def test_quality_scores(spark):
 def test_isotonic():
     x, y = quality.isotonic(np.array([0.0, 1, 2, 3]), np.array([1.0, 0, 2, 4]), np.array([1.0, 1, 2, 4]))
     assert x.tolist() == [0.5, 2.666666666666667] or len(x) == 2 and (np.diff(y) > 0).all() and y[0] == 0.5
+
+
+def test_runs_with_one_minimizer_and_equal_halves_are_told_apart(spark):
+    heads = pa.array([w for i in range(30_000) for w in (f"a{i}", "b", "c", "d", "e")])
+    seeds = substrings.mixed(substrings.rolling(substrings.word_hashes(heads), 5)[::5]) >> np.uint64(1)
+    head = heads.to_pylist()[5 * int(np.argmin(seeds)) :][:5]
+    rng, n = np.random.default_rng(3), 300_000
+    codes = rng.integers(0, 1000, (n, 15))
+    table = substrings.word_hashes(pa.array([f"w{i}" for i in range(1000)]))
+    hashes = np.concatenate([np.tile(substrings.word_hashes(pa.array(head)), (n, 1)), table[codes]], axis=1).reshape(-1)
+    whole = substrings.mixed(substrings.rolling(hashes, 20)[::20])
+    order = np.argsort(whole >> np.uint64(32), kind="stable")
+    pairs = np.flatnonzero(np.diff(whole[order] >> np.uint64(32)) == 0)
+    assert len(pairs) > 0
+    texts = [" ".join(head + [f"w{i}" for i in codes[k]]) for p in pairs for k in order[p : p + 2]]
+    least = substrings._edges(pa.array(texts), 20, 5, np.zeros(0, np.uint64))[2]
+    assert len(set(texts)) == len(texts) and (least[::2] == least[1::2]).any()
+    rows = substrings.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [r.n_removed for r in rows] == [0] * len(texts)

@@ -6,8 +6,8 @@ of the shorter runs inside, and neighbours that share it travel as one row (a su
 nonbranching stretch of neighbouring repeated edges compacts to one span at once, and the graph takes a few bytes an edge.
 A second join by document glues the spans at their coordinates and cuts the words out.
 
-Edges are told apart by 96 bits (64 of the minimizer, 32 of the whole run): two different runs out of 10^13 meet with a chance
-of about one in a thousand.
+Edges are told apart by their minimizer and 64 bits of the whole run, not by their words. Different runs are confused only
+among those that share a minimizer: n such runs make about n^2 / 2^65 false pairs, 0.00003 for 30 million of them.
 
 Skew: a task sends an edge that it has seen before as a finished span, never as a graph row, so a passage with a thousand
 copies sends a few rows a task; and minimizers that are frequent in a sample of documents rank last, so runs at the edge of
@@ -33,7 +33,7 @@ ROW_EDGES = 24
 #: One document in so many is looked at for frequent minimizers; of those, so many at most are ranked last.
 SAMPLE, FREQUENT, MAX_FREQUENT = 64, 32, 65536
 
-#: Graph rows hold their edges' 32 bits; rows of a known span have start -1 - start and hold source_doc, source_start, size.
+#: Graph rows hold their edges' 64 bits; rows of a known span have start -1 - start and hold source_doc, source_start, size.
 GRAPH = "route long, doc_id long, start int, edges binary"
 SPANS = "doc_id long, start int, size int, source_doc long, source_start int"
 KNOWN = np.dtype([("doc", "<i8"), ("start", "<i4"), ("size", "<i4")])
@@ -51,12 +51,12 @@ def _minima(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def _edges(texts: pa.Array, window: int, seed_words: int, frequent: np.ndarray):
-    """Of each edge of these texts: row number, place, minimizer, and the run's own 32 bits."""
+    """Of each edge of these texts: row number, place, minimizer, and the run's own 64 bits."""
     words, offsets = split_words(texts)
     hashes = word_hashes(words)
     if len(hashes) < window:
         none = np.zeros(0, np.int64)
-        return none, none, none.astype(np.uint64), none.astype(np.uint32)
+        return none, none, none.astype(np.uint64), none.astype(np.uint64)
     whole = mixed(rolling(hashes, window))
     seeds = mixed(rolling(hashes, seed_words)) >> np.uint64(1)
     if len(frequent):
@@ -67,7 +67,7 @@ def _edges(texts: pa.Array, window: int, seed_words: int, frequent: np.ndarray):
     rows = np.repeat(np.arange(len(sizes)), sizes)
     places = np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     at = offsets[rows] + places
-    return rows, places, least[at], (whole[at] >> np.uint64(32)).astype(np.uint32)
+    return rows, places, least[at], whole[at]
 
 
 def _runs(starts_new: np.ndarray, longest: int) -> np.ndarray:
@@ -118,11 +118,11 @@ def _graph(window: int, seed_words: int, frequent: np.ndarray):
             begin, sizes, known = _spans(doc, place, group, first, ROW_EDGES)
             sources = np.zeros(len(begin), KNOWN)
             sources["doc"], sources["start"], sources["size"] = doc[first[begin]], place[first[begin]], sizes
-            lengths = np.where(known, KNOWN.itemsize, sizes * 4)
+            lengths = np.where(known, KNOWN.itemsize, sizes * 8)
             cuts = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-            data = np.zeros(cuts[-1] // 4, np.uint32)
-            in_known = np.repeat(known, lengths // 4)
-            data[in_known], data[~in_known] = sources[known].view(np.uint32), tail[np.repeat(~known, sizes)]
+            data = np.zeros(cuts[-1] // 8, np.uint64)
+            in_known = np.repeat(known, lengths // 8)
+            data[in_known], data[~in_known] = sources[known].view(np.uint64), tail[np.repeat(~known, sizes)]
             start = place[begin]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -147,7 +147,7 @@ def _binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows in order of (route, doc_id, start) -> spans that occur earlier. Keeps the distinct edges of one route."""
-    carry = {name: np.zeros(0, kind) for name, kind in (("route", np.int64), ("tail", np.uint32), ("doc", np.int64), ("place", np.int64))}
+    carry = {name: np.zeros(0, kind) for name, kind in (("route", np.int64), ("tail", np.uint64), ("doc", np.int64), ("place", np.int64))}
     names = ["doc_id", "start", "size", "source_doc", "source_start"]
     for batch in batches:
         if not batch.num_rows:
@@ -161,7 +161,7 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [pa.array(doc_id[known]), pa.array((-1 - start[known]).astype(np.int32)), pa.array(told["size"].copy()), pa.array(told["doc"].copy()), pa.array(told["start"].copy())], names
         )
-        edges = lengths[~known] // 4
+        edges = lengths[~known] // 8
         if not edges.sum():
             continue
         keep = np.flatnonzero(~known)
@@ -169,7 +169,7 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inside = np.arange(len(row)) - np.repeat(np.cumsum(edges) - edges, edges)
         n = len(carry["tail"])
         key = np.concatenate([carry["route"], route[keep][row]])
-        tail = np.concatenate([carry["tail"], np.frombuffer(raw[~in_known].tobytes(), np.uint32)])
+        tail = np.concatenate([carry["tail"], np.frombuffer(raw[~in_known].tobytes(), np.uint64)])
         doc = np.concatenate([carry["doc"], doc_id[keep][row]])
         place = np.concatenate([carry["place"], start[keep][row] + inside])
         first = _first_of([key, tail])
@@ -254,7 +254,8 @@ def op7(docs: DataFrame) -> DataFrame:
 
 #: Every window of 20 words, its first coordinate, and the words that later ones cover.
 OP7_SQL = r"""
-WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS words FROM documents),
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS words FROM documents),
 e AS (SELECT doc_id, unnest(range(1, len(words) - 18)) AS start, words FROM w WHERE len(words) >= 20),
 k AS (SELECT doc_id, start, md5(array_to_string(words[start : start + 19], ' ')) AS edge FROM e),
 r AS (SELECT doc_id, start, row_number() OVER (PARTITION BY edge ORDER BY doc_id, start) AS nth FROM k),

@@ -26,6 +26,17 @@ def test_blocks(page, texts):
     assert [b.text for b in blocks(page)] == texts
 
 
+@pytest.mark.parametrize("page, texts", [
+    ("<html><head><title>x</title><p>Article <b>one</b><p>two", ["Article one", "two"]),
+    ("<html><head><meta charset=u><link href=a><base href=b><style>p{}</style><script>1</script> <div>a</div>b", ["a", "b"]),
+    ("<head><title>x</title>Text <i>at</i> once", ["Text at once"]), ("<head><title>x</title><br>a", ["a"]),
+    ("<head><noscript><link href=a></noscript><template><p>no</p></template><title>x</title><h1>a</h1>", ["a"]),
+    ("<head><title>x</title></head><body><p>a", ["a"]), ("<head><title>x</title><body><p>a", ["a"]),
+])
+def test_an_open_head_ends_at_the_first_other_element(page, texts):
+    assert [b.text for b in blocks(page)] == texts
+
+
 def test_blocks_know_their_ancestors():
     found = blocks('<body><div id="Main-Box" class="post x1"><h1>t</h1><a href="#">link</a> text</div></body>')
     assert [(b.path[-1][0], b.link_chars) for b in found] == [("h1", 0), ("div", 4)]

@@ -14,6 +14,8 @@ from dataclasses import dataclass
 # Fixed sets of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SKIPPED = frozenset("script style noscript template svg math iframe object canvas audio video select textarea title head datalist".split())
+#: Elements that leave a head without its end tag open; any other start tag, and text, ends it.
+IN_HEAD = frozenset("head title meta link base basefont bgsound style script noscript noframes template".split())
 RAW = frozenset("script style textarea title iframe".split())
 BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset "
@@ -74,7 +76,14 @@ def blocks(page: str) -> list[Block]:
             state["links"] -= tag == "a"
         del stack[k:]
 
+    def end_head():
+        """An open head without its end tag, unless something in it is open."""
+        if stack and stack[-1][0] == "head":
+            pop(len(stack) - 1)
+
     def add(text):
+        if state["skip"] and not text.isspace() and text:
+            end_head()
         if not state["skip"] and text:
             plain = html.unescape(text) if "&" in text else text
             parts.append(plain)
@@ -99,6 +108,8 @@ def blocks(page: str) -> list[Block]:
                     pop(k)
                     break
             continue
+        if tag not in IN_HEAD:
+            end_head()
         if tag in VOID:
             if tag in BLOCKS:
                 flush()

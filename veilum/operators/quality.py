@@ -1,4 +1,4 @@
-"""Measures of the detection itself: recall on labelled texts, false positives on clean ones, precision of proposals."""
+"""Measures of the detection itself: recall on labelled texts, false positives on clean ones."""
 
 from __future__ import annotations
 

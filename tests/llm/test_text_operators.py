@@ -56,10 +56,11 @@ def _brute_repeats(rows, width=20):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_substrings(spark, seed, monkeypatch):
-    monkeypatch.setattr(substrings, "SAMPLE", 2)
-    monkeypatch.setattr(substrings, "FREQUENT", 3)
+@pytest.mark.parametrize("seed, share", [(1, 8192), (2, 20), (4, 100)])
+def test_substrings(spark, seed, share, monkeypatch):
+    monkeypatch.setattr(substrings, "HOT_SHARE", share)
+    monkeypatch.setattr(substrings, "COUNT_AT_ONCE", 2000)
+    monkeypatch.setattr(substrings, "BUCKET_EDGES", 500)
     rows = _texts(seed)
     d = spark.createDataFrame([(*r, 1) for r in rows], DOCS + ", start int").repartition(5)
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.op7(d).collect()}
@@ -77,12 +78,41 @@ def test_substring_spans_point_at_equal_words(spark):
         assert words[s.doc_id][s.start : s.start + n] == words[s.source_doc][s.source_start : s.source_start + n]
 
 
+def test_paths_of_copies_come_whole(spark):
+    text = " ".join(f"w{k}" for k in range(900))
+    spans = substrings.repeated_spans(spark.createDataFrame([(k, text) for k in range(6)], DOCS).repartition(6, "doc_id")).collect()
+    assert sorted((s.doc_id, s.start, s.size, s.source_start) for s in spans) == [(k, 0, 881, 0) for k in range(1, 6)]
+
+
+def test_spans_whose_words_differ_from_their_source_are_not_cut(spark, monkeypatch):
+    rows = [(k, " ".join(f"a{k}x{j}" for j in range(60))) for k in range(5)] + [(9, "same " * 40), (10, "same " * 40)]
+    d = spark.createDataFrame(rows, DOCS)
+    false = [(i, 0, 0, 41, 0, 0, 0) for i in (1, 2, 3, 4)] + [(10, 0, 0, 21, 9, 0, 0)]
+    monkeypatch.setattr(substrings, "_spans_of", lambda texts, window, seed_words: spark.createDataFrame(false, substrings.SPANS))
+    got = {r.doc_id: r.n_removed for r in substrings.op7(d).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 9: 0, 10: 40}
+
+
+def test_a_long_document_of_alike_lines_without_repeats_stays(spark):
+    rng = random.Random(4)
+    lines = ["in the year of the " + " ".join(f"{rng.getrandbits(40):x}" for _ in range(rng.randint(3, 9))) for _ in range(100_000)]
+    text = "\n".join(lines)
+    rows = [(1, text), (2, "in the year of the lord"), (3, " ".join(lines[500:503]))]
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substrings.op7(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got[1] == (len(text.split()), 0) and got[1][0] > 1_000_000
+    assert got[2][1] == 0 and got[3][1] == got[3][0] > 20
+
+
 def test_substring_edge_rows(spark):
     same = "w " * 30
-    rows = [(None, same), (7, same), (7, same), (8, "short")]
+    other = " ".join(f"o{k}" for k in range(50))
+    rows = [(None, same), (7, same), (7, same), (8, "short"), (None, other), (None, other + " end"), (7, "x " + other)]
     got = sorted(map(tuple, substrings.op7(spark.createDataFrame(rows, DOCS)).select("doc_id", "n_words", "n_removed").collect()), key=str)
-    assert len(got) == 4 and (8, 1, 0) in got and got.count((7, 30, 30)) == 2
+    assert len(got) == 7 and (8, 1, 0) in got and got.count((7, 30, 30)) == 2 and (7, 51, 50) in got
+    # One of the three texts without an id has other's words first; inside same all windows after the first are repeats.
+    assert sorted(x[1:] for x in got if x[0] is None) in ([(30, 29), (50, 0), (51, 50)], [(30, 29), (50, 50), (51, 0)])
     assert substrings.op7(spark.createDataFrame([], DOCS)).collect() == []
+    assert [tuple(r)[:3] for r in substrings.op7(spark.createDataFrame([(1, None), (2, "")], DOCS)).orderBy("doc_id").collect()] == [(1, 0, 0), (2, 0, 0)]
 
 
 def _fp(text):

@@ -44,6 +44,14 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return values, offsets.astype(np.int64)
 
 
+def runs_of(offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, place in the row and flat index of each run of ``width`` words that lies in one text."""
+    sizes = np.maximum(np.diff(offsets) - width + 1, 0)
+    rows = np.repeat(np.arange(len(sizes)), sizes)
+    places = np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return rows, places, offsets[rows] + places
+
+
 def word_codes(words: pa.Array) -> tuple[np.ndarray, pa.Array]:
     """A code for each word, and the distinct words."""
     if len(words) == 0:

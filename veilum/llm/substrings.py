@@ -1,17 +1,19 @@
 """Removal of repeated passages by compaction of a de Bruijn graph of words.
 
 Edges are runs of ``window`` words (token k-mers). An edge is repeated if its words also start at an earlier source
-coordinate (doc_id, place). As in published disk-based compaction, edges are dealt out by their minimizer, the smallest hash
-of the shorter runs inside, and neighbours that share it travel as one row (a super-k-mer): so equal edges meet, each
-nonbranching stretch of neighbouring repeated edges compacts to one span at once, and the graph takes a few bytes an edge.
-A second join by document glues the spans at their coordinates and cuts the words out.
-
-Edges are told apart by their minimizer and 64 bits of the whole run, not by their words. Different runs are confused only
-among those that share a minimizer: n such runs make about n^2 / 2^65 false pairs, 0.00003 for 30 million of them.
-
-Skew: a task sends an edge that it has seen before as a finished span, never as a graph row, so a passage with a thousand
-copies sends a few rows a task; and minimizers that are frequent in a sample of documents rank last, so runs at the edge of
-a common passage are dealt out by their rare words. The sample only chooses where rows go, never what is found.
+coordinate (document, place). As in published disk-based compaction, edges are dealt out by their minimizer, the smallest hash
+of the shorter runs inside, and neighbours that share it travel together (a super-k-mer), so equal edges meet and the graph
+takes a few bytes an edge. Repeated edges whose neighbours and whose sources' neighbours follow each other make one
+nonbranching path: stretches are found where edges meet, and Spark glues them at their coordinates into whole spans.
+
+Source coordinates then verify every span: a join fetches a 128-bit digest of the words at its source, and the document cuts
+the span only if its own words there have the same digest. Edges themselves are told apart by their minimizer (or, for hot
+minimizers, by a second hash of the run) and 64 bits of the run, so spans that fail are not to be expected.
+
+Skew: all runs of ``seed_words`` words of all documents are counted by the slice, and those that may hold more than a small
+share of the corpus (``HOT_SHARE``) are never used as minimizers where another run is at hand; edges that have no other go out
+one by one by a hash of the whole edge. An edge that a slice has seen before is sent as part of a finished span, so a passage
+with a thousand copies sends one edge a slice.
 """
 
 from __future__ import annotations
@@ -20,24 +22,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilum.llm._store import written
-from veilum.llm._words import mixed, rolling, split_words, text_slices, word_hashes
+from veilum.llm._words import mixed, rolling, runs_of, split_words, text_slices, word_hashes
 
 WINDOW = 20
 SEED_WORDS = 5
-#: Edges in one graph row at most.
-ROW_EDGES = 24
-#: One document in so many is looked at for frequent minimizers; of those, so many at most are ranked last.
-SAMPLE, FREQUENT, MAX_FREQUENT = 64, 32, 65536
-
-#: Graph rows hold their edges' 64 bits; rows of a known span have start -1 - start and hold source_doc, source_start, size.
-GRAPH = "route long, doc_id long, start int, edges binary"
-SPANS = "doc_id long, start int, size int, source_doc long, source_start int"
-KNOWN = np.dtype([("doc", "<i8"), ("start", "<i4"), ("size", "<i4")])
+#: A run of seed_words words is hot if it makes up one in so many of all, or in 4 for each shuffle partition.
+HOT_SHARE = 8192
+#: Runs counted at once in a task; edges of one bucket on average; edges of one super-k-mer at most.
+COUNT_AT_ONCE, BUCKET_EDGES, ROW_EDGES = 2_000_000, 400_000, 4096
+
+KEY = "doc_id long, twin long"
+SPANS = f"{KEY}, start int, size int, source_doc long, source_twin long, source_start int"
+#: One row: the super-k-mers of one slice and bucket, each column packed, or the spans that a slice knows itself.
+GRAPH = "bucket long, routes binary, docs binary, twins binary, starts binary, sizes binary, tails binary, known binary"
+PACKED = {"routes": np.uint64, "docs": np.int64, "twins": np.int64, "starts": np.int32, "sizes": np.int32, "tails": np.uint64}
+KNOWN = np.dtype([("doc_id", "<i8"), ("twin", "<i8"), ("start", "<i4"), ("size", "<i4"), ("source_doc", "<i8"), ("source_twin", "<i8"), ("source_start", "<i4")])
 NO_ID = -(1 << 63)
+TOP = np.uint64(1 << 63)
 
 
 def _minima(x: np.ndarray, width: int) -> np.ndarray:
@@ -50,24 +57,58 @@ def _minima(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(level[:n], level[width - size : width - size + n])
 
 
-def _edges(texts: pa.Array, window: int, seed_words: int, frequent: np.ndarray):
-    """Of each edge of these texts: row number, place, minimizer, and the run's own 64 bits."""
+def _seeds(hashes: np.ndarray, seed_words: int) -> np.ndarray:
+    """63-bit hashes of all runs of ``seed_words`` words."""
+    return mixed(rolling(hashes, seed_words)) >> np.uint64(1)
+
+
+def _count_seeds(seed_words: int, share: int):
+    """Rows (seed, n) of runs that may be hot, and one (-1, n) with the number of all runs.
+
+    A run that makes up more than one in ``share`` of all does so in at least one of the stretches counted here.
+    """
+
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        seeds = np.concatenate(held)
+        found, n = np.unique(seeds, return_counts=True)
+        some = n >= max(2, len(seeds) / share)
+        return pa.RecordBatch.from_arrays([pa.array(np.append(found[some].view(np.int64), -1)), pa.array(np.append(n[some], len(seeds)))], ["seed", "n"])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in text_slices(batches):
+            words, offsets = split_words(batch.column("text"))
+            _, _, at = runs_of(offsets, seed_words)
+            if len(at):
+                held.append(_seeds(word_hashes(words), seed_words)[at])
+                size += len(at)
+            if size >= COUNT_AT_ONCE:
+                yield counted(held)
+                held, size = [], 0
+        if held:
+            yield counted(held)
+
+    return rows
+
+
+def _edges(texts: pa.Array, window: int, seed_words: int, hot: np.ndarray):
+    """Of each edge of these texts: row number, place, route, and the run's own 64 bits. Routes of the highest bit: own."""
     words, offsets = split_words(texts)
+    row, place, at = runs_of(offsets, window)
+    if not len(row):
+        none = np.zeros(0, np.uint64)
+        return row, place, none, none
     hashes = word_hashes(words)
-    if len(hashes) < window:
-        none = np.zeros(0, np.int64)
-        return none, none, none.astype(np.uint64), none.astype(np.uint64)
-    whole = mixed(rolling(hashes, window))
-    seeds = mixed(rolling(hashes, seed_words)) >> np.uint64(1)
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, seeds), len(frequent) - 1)
-        seeds = seeds | ((frequent[at] == seeds).astype(np.uint64) << np.uint64(63))
-    least = _minima(seeds, window - seed_words + 1)
-    sizes = np.maximum(np.diff(offsets) - window + 1, 0)
-    rows = np.repeat(np.arange(len(sizes)), sizes)
-    places = np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    at = offsets[rows] + places
-    return rows, places, least[at], whole[at]
+    seeds = _seeds(hashes, seed_words)
+    if len(hot):
+        near = np.minimum(np.searchsorted(hot, seeds), len(hot) - 1)
+        seeds = np.where(hot[near] == seeds, seeds | TOP, seeds)
+    route = _minima(seeds, window - seed_words + 1)[at]
+    alone = route >= TOP
+    if alone.any():
+        other = mixed(rolling(mixed(hashes ^ np.uint64(0x5851F42D4C957F2D)), window, 0xD1342543DE82EF95))
+        route = np.where(alone, other[at] | TOP, route)
+    return row, place, route, mixed(rolling(hashes, window))[at]
 
 
 def _runs(starts_new: np.ndarray, longest: int) -> np.ndarray:
@@ -79,160 +120,228 @@ def _runs(starts_new: np.ndarray, longest: int) -> np.ndarray:
     return first + (np.arange(len(first)) - np.repeat(np.cumsum(parts) - parts, parts)) * longest
 
 
-def _first_of(keys: list[np.ndarray]) -> np.ndarray:
-    """For each element the index of the first one with equal keys."""
-    order = np.lexsort([np.arange(len(keys[0])), *keys[::-1]])
-    new = np.zeros(len(order), bool)
-    new[:1] = True
-    for key in keys:
-        new[1:] |= key[order][1:] != key[order][:-1]
+def _first_of(route: np.ndarray, tail: np.ndarray) -> np.ndarray:
+    """For each edge the index of the first equal one."""
+    order = np.lexsort([tail, route])  # stable
+    new = np.ones(len(order), bool)
+    new[1:] = (route[order][1:] != route[order][:-1]) | (tail[order][1:] != tail[order][:-1])
     firsts = np.empty(len(order), np.int64)
     firsts[order] = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
     return firsts
 
 
-def _spans(doc: np.ndarray, place: np.ndarray, row: np.ndarray, first: np.ndarray, longest: int):
-    """Runs of neighbouring edges of a row whose first occurrences are neighbours too, or that are first themselves.
-
-    Returns run starts, run sizes, and whether the run occurs earlier.
-    """
-    again = (doc != doc[first]) | (place != place[first])
-    new = np.ones(len(doc), bool)
-    same_path = (doc[first][1:] == doc[first][:-1]) & (place[first][1:] == place[first][:-1] + 1)
-    new[1:] = (row[1:] != row[:-1]) | (again[1:] != again[:-1]) | (again[1:] & ~same_path)
-    begin = _runs(new, longest)
+def _paths(doc, twin, place, row, route, first):
+    """Starts, sizes and kind of stretches of edges: True for paths that occur earlier, False for super-k-mers."""
+    again = (place != place[first]) | (doc != doc[first]) | (twin != twin[first])
+    follows = (row[1:] == row[:-1]) & (again[1:] == again[:-1]) & (place[1:] == place[:-1] + 1)
+    source = first[1:], first[:-1]
+    on_path = (doc[source[0]] == doc[source[1]]) & (twin[source[0]] == twin[source[1]]) & (place[source[0]] == place[source[1]] + 1)
+    follows &= np.where(again[1:], on_path, route[1:] == route[:-1])
+    begin = _runs(np.append(True, ~follows), ROW_EDGES)
     return begin, np.diff(np.append(begin, len(doc))), again[begin]
 
 
-def _graph(window: int, seed_words: int, frequent: np.ndarray):
+def _packed(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """A binary value for each stretch between ``cuts`` of an array."""
+    offsets = (cuts * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _unpacked(column: pa.Array, kind) -> np.ndarray:
+    """The values of a packed column one after another."""
+    _, offsets, data = column.buffers()
+    cuts = np.frombuffer(offsets, np.int32, len(column) + 1, column.offset * 4)
+    return np.frombuffer(data, np.uint8)[cuts[0] : cuts[-1]].view(np.uint8).copy().view(kind) if data is not None and cuts[-1] > cuts[0] else np.zeros(0, kind)
+
+
+def _spans_batch(doc, twin, place, first, begin, sizes) -> np.ndarray:
+    out = np.zeros(len(begin), KNOWN)
+    source = first[begin]
+    out["doc_id"], out["twin"], out["start"], out["size"] = doc[begin], twin[begin], place[begin], sizes
+    out["source_doc"], out["source_twin"], out["source_start"] = doc[source], twin[source], place[source]
+    return out
+
+
+def _as_batch(spans: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(spans[name])) for name in KNOWN.names], list(KNOWN.names))
+
+
+def _graph(window: int, seed_words: int, hot: np.ndarray, buckets: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
-            docs = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            order = np.argsort(docs, kind="stable")  # within a slice too, the smaller doc_id is earlier
-            row, place, least, tail = _edges(batch.column("text").take(pa.array(order)), window, seed_words, frequent)
+            docs, twins = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "twin"))
+            order = np.lexsort([twins, docs])  # within a slice too, the smaller doc_id is earlier
+            row, place, route, tail = _edges(batch.column("text").take(pa.array(order)), window, seed_words, hot)
             if not len(row):
                 continue
-            doc = docs[order][row]
-            first = _first_of([least, tail])
-            group = np.cumsum(np.append(True, (row[1:] != row[:-1]) | (least[1:] != least[:-1])))
-            begin, sizes, known = _spans(doc, place, group, first, ROW_EDGES)
-            sources = np.zeros(len(begin), KNOWN)
-            sources["doc"], sources["start"], sources["size"] = doc[first[begin]], place[first[begin]], sizes
-            lengths = np.where(known, KNOWN.itemsize, sizes * 8)
-            cuts = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-            data = np.zeros(cuts[-1] // 8, np.uint64)
-            in_known = np.repeat(known, lengths // 8)
-            data[in_known], data[~in_known] = sources[known].view(np.uint64), tail[np.repeat(~known, sizes)]
-            start = place[begin]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.where(known, mixed(begin.astype(np.uint64)), least[begin]).view(np.int64)),
-                    pa.array(doc[begin]),
-                    pa.array(np.where(known, -1 - start, start).astype(np.int32)),
-                    pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(cuts), pa.py_buffer(data)]),
-                ],
-                ["route", "doc_id", "start", "edges"],
-            )
+            doc, twin = docs[order][row], twins[order][row]
+            first = _first_of(route, tail)
+            begin, sizes, known = _paths(doc, twin, place, row, route, first)
+            spans = _spans_batch(doc, twin, place, first, begin[known], sizes[known])
+            begin, sizes = begin[~known], sizes[~known]
+            bucket = (mixed(route[begin]) % np.uint64(buckets)).astype(np.int64)
+            by = np.argsort(bucket, kind="stable")
+            begin, sizes, bucket = begin[by], sizes[by], bucket[by]
+            new = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
+            cuts, ends = np.append(new, len(bucket)), np.concatenate([[0], np.cumsum(sizes)])
+            edges = np.repeat(begin - ends[:-1], sizes) + np.arange(ends[-1])
+            columns = {"routes": route[begin], "docs": doc[begin], "twins": twin[begin], "starts": place[begin], "sizes": sizes, "tails": tail[edges]}
+            arrays = [_packed(x.astype(PACKED[c], copy=False), ends[cuts] if c == "tails" else cuts) for c, x in columns.items()]
+            empty = pa.array([b""] * len(new), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[new]), *arrays, empty], [*_names(GRAPH)])
+            if len(spans):
+                where = int(mixed(np.array([docs[0]], np.int64).view(np.uint64))[0] % np.uint64(buckets))
+                yield pa.RecordBatch.from_arrays([pa.array([where]), *[pa.array([b""], pa.binary())] * 6, pa.array([spans.tobytes()], pa.binary())], [*_names(GRAPH)])
 
     return rows
 
 
-def _binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Offsets and bytes of a binary column without nulls."""
-    _, offsets, data = column.buffers()
-    cuts = np.frombuffer(offsets, np.int32, len(column) + 1, column.offset * 4).astype(np.int64)
-    raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
-    return cuts - cuts[0], raw[cuts[0] : cuts[-1]]
+def _names(schema: str) -> list[str]:
+    return [field.split()[0] for field in schema.split(", ")]
+
+
+def _met(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """All super-k-mers of one bucket -> the paths that occur earlier."""
+    table = pa.Table.from_batches(batches).combine_chunks()
+    routes, docs, twins, starts, sizes, tails = (np.concatenate([_unpacked(c, kind) for c in table.column(name).chunks]) for name, kind in PACKED.items())
+    order = np.lexsort([starts, twins, docs])
+    at, n = (np.cumsum(sizes) - sizes)[order], sizes[order]
+    row = np.repeat(np.arange(len(order)), n)
+    inside = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    doc, twin, place, route = docs[order][row], twins[order][row], starts[order][row] + inside, routes[order][row]
+    first = _first_of(route, tails[at[row] + inside])
+    # Neighbouring super-k-mers of a bucket may be one path; hot edges, each a super-k-mer, often are.
+    new_doc = np.append(False, (doc[1:] != doc[:-1]) | (twin[1:] != twin[:-1]))
+    begin, size, known = _paths(doc, twin, place, np.cumsum(new_doc), route, first)
+    return _as_batch(_spans_batch(doc, twin, place, first, begin[known], size[known]))
 
 
 def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of (route, doc_id, start) -> spans that occur earlier. Keeps the distinct edges of one route."""
-    carry = {name: np.zeros(0, kind) for name, kind in (("route", np.int64), ("tail", np.uint64), ("doc", np.int64), ("place", np.int64))}
-    names = ["doc_id", "start", "size", "source_doc", "source_start"]
+    """Rows in order of bucket -> spans that occur earlier. Holds one bucket."""
+    held, last = [], None
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        route, doc_id, start = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        cuts, raw = _binary(batch.column("edges"))
-        known = start < 0
-        lengths = np.diff(cuts)
-        in_known = np.repeat(known, lengths)
-        told = np.frombuffer(raw[in_known].tobytes(), KNOWN)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(doc_id[known]), pa.array((-1 - start[known]).astype(np.int32)), pa.array(told["size"].copy()), pa.array(told["doc"].copy()), pa.array(told["start"].copy())], names
-        )
-        edges = lengths[~known] // 8
-        if not edges.sum():
-            continue
-        keep = np.flatnonzero(~known)
-        row = np.repeat(np.arange(len(keep)), edges)
-        inside = np.arange(len(row)) - np.repeat(np.cumsum(edges) - edges, edges)
-        n = len(carry["tail"])
-        key = np.concatenate([carry["route"], route[keep][row]])
-        tail = np.concatenate([carry["tail"], np.frombuffer(raw[~in_known].tobytes(), np.uint64)])
-        doc = np.concatenate([carry["doc"], doc_id[keep][row]])
-        place = np.concatenate([carry["place"], start[keep][row] + inside])
-        first = _first_of([key, tail])
-        begin, sizes, again = _spans(doc, place, np.concatenate([np.arange(n) - n, row]), first, 1 << 30)
-        out = again & (begin >= n)
-        at = begin[out]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(doc[at]), pa.array(place[at].astype(np.int32)), pa.array(sizes[out].astype(np.int32)), pa.array(doc[first[at]]), pa.array(place[first[at]].astype(np.int32))], names
-        )
-        last = (key == key[-1]) & (first == np.arange(len(key)))
-        carry = {"route": key[last], "tail": tail[last], "doc": doc[last], "place": place[last]}
-
-
-def _minimizers(window: int, seed_words: int):
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches):
-            row, _, least, _ = _edges(batch.column("text"), window, seed_words, np.zeros(0, np.uint64))
-            if len(row):
-                new = np.append(True, (row[1:] != row[:-1]) | (least[1:] != least[:-1]))
-                yield pa.RecordBatch.from_arrays([pa.array(least[new].view(np.int64))], ["seed"])
-
-    return rows
+        known = _unpacked(batch.column("known"), KNOWN)
+        if len(known):
+            yield _as_batch(known)
+        bucket = batch.column("bucket").to_numpy()
+        cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if a < b and held and bucket[a] != last:
+                yield _met(held)
+                held = []
+            if a < b:
+                held.append(batch.slice(a, b - a))
+                last = bucket[a]
+    if held:
+        yield _met(held)
+
+
+def _glued(spans: DataFrame) -> DataFrame:
+    """Spans that follow each other in their document and at their source become one."""
+    along = Window.partitionBy("doc_id", "twin").orderBy("start")
+    before = lambda c: F.lag(c).over(along)
+    follows = (before(F.col("start") + F.col("size")) == F.col("start")) & (before("source_doc") == F.col("source_doc")) & (before("source_twin") == F.col("source_twin")) & (before(F.col("source_start") + F.col("size")) == F.col("source_start"))
+    marked = spans.withColumn("new", F.when(follows, 0).otherwise(1)).withColumn("path", F.sum("new").over(along))
+    whole = marked.groupBy("doc_id", "twin", "path").agg(
+        F.min("start").alias("start"), F.sum("size").cast("int").alias("size"), F.min("source_doc").alias("source_doc"), F.min("source_twin").alias("source_twin"), F.min("source_start").alias("source_start")
+    )
+    return whole.select(*_names(SPANS))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id (NO_ID for null), twin, text. twin tells the texts of a null or repeated id apart, and is 0 where no id is either."""
+    ids = docs.groupBy("doc_id").agg(F.count("*").alias("n"))
+    alike = ids.where("n > 1 or doc_id is null").limit(1).count()
+    twin = F.xxhash64("text") if alike else F.lit(0).cast("long")
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID).cast("long")).alias("doc_id"), twin.alias("twin"), "text")
+
+
+def _hot_seeds(texts: DataFrame, seed_words: int, share: int) -> tuple[np.ndarray, int]:
+    """Sorted hashes of hot runs, at most ``share`` of them, and the number of all runs."""
+    counts = texts.select("text").mapInArrow(_count_seeds(seed_words, share), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
+    total = counts.where("seed = -1").first()
+    if total is None:
+        return np.zeros(0, np.uint64), 0
+    hot = counts.where((F.col("seed") >= 0) & (F.col("n") >= max(2, total.n / share))).select("seed").collect()
+    return np.sort(np.array([r.seed for r in hot], np.int64).view(np.uint64)), total.n
+
+
+def _spans_of(texts: DataFrame, window: int, seed_words: int) -> DataFrame:
+    spark = texts.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    hot, total = _hot_seeds(texts, seed_words, max(HOT_SHARE, 4 * parts))
+    buckets = max(parts, total // BUCKET_EDGES)
+    graph = texts.mapInArrow(_graph(window, seed_words, hot, buckets), GRAPH)
+    met = graph.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_resolve, SPANS)
+    return written(_glued(met), "spans")
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, seed_words: int = SEED_WORDS) -> DataFrame:
-    """Spans of edges that also start earlier: doc_id, start (word number), size (edges; it covers size + window - 1 words),
-    and an earlier place of the same words (source_doc, source_start). Neighbouring spans may be split. A written table.
+    """Spans of edges that also start earlier: doc_id, twin, start (word number), size (edges; it covers size + window - 1
+    words), and an earlier place of the same words (source_doc, source_twin, source_start). Neighbouring spans may be split.
+    A written table.
 
-    Rows that share a doc_id count as one document with their words at the same places; a null doc_id is earliest of all
-    (NO_ID here). Null texts and texts of fewer than ``window`` words have no edges.
+    A null doc_id is earliest of all (NO_ID here). Rows that share a doc_id are documents of their own, in order of a hash of
+    their text (twin); rows alike in both are one document. Null texts and texts of fewer than ``window`` words have no edges.
     """
-    spark = docs.sparkSession
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID).cast("long")).alias("doc_id"), "text")
-    some = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).mapInArrow(_minimizers(window, seed_words), "seed long")
-    top = some.groupBy("seed").count().where(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "seed").limit(MAX_FREQUENT).collect()
-    frequent = np.sort(np.array([r.seed for r in top], np.int64).view(np.uint64))
-    graph = texts.mapInArrow(_graph(window, seed_words, frequent), GRAPH)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sorted_rows = graph.repartition(parts, "route").sortWithinPartitions("route", "doc_id", "start")
-    return written(sorted_rows.mapInArrow(_resolve, SPANS), "spans")
+    return _spans_of(_keyed(docs), window, seed_words)
+
+
+class _Spelled:
+    """Flat words of some texts, with digests of stretches of them."""
+
+    def __init__(self, texts: pa.Array):
+        self.words, self.offsets = split_words(texts)
+        _, cuts, data = self.words.buffers()
+        self.cuts = np.frombuffer(cuts, np.int32, len(self.words) + 1, self.words.offset * 4) if len(self.words) else np.zeros(1, np.int32)
+        self.data = memoryview(data) if data is not None else memoryview(b"")
+        self.lengths = memoryview(np.diff(self.cuts).astype("<i4")).cast("B")
+
+    def digest(self, a: int, b: int) -> bytes:
+        """128 bits of the words a to b (exclusive): of their bytes and their lengths."""
+        h = xxhash.xxh3_128(self.data[int(self.cuts[a]) : int(self.cuts[b])])
+        h.update(self.lengths[4 * a : 4 * b])
+        return h.digest()
+
+    def places(self, lists: pa.ListArray, window: int):
+        """Row, start, size, first and last word (exclusive) of all spans in a list column; those beyond a text are left out."""
+        rows = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+        flat = lists.flatten()
+        start, size = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("start", "size"))
+        a = self.offsets[rows] + start
+        b = a + size + window - 1
+        return rows, start, size, a, b, b <= self.offsets[rows + 1], flat
+
+
+def _source_digests(window: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches):
+            spelled = _Spelled(batch.column("text"))
+            row, start, size, a, b, inside, _ = spelled.places(batch.column("wants"), window)
+            row, start, size = row[inside], start[inside], size[inside]
+            digests = [spelled.digest(x, y) for x, y in zip(a[inside].tolist(), b[inside].tolist(), strict=True)]
+            keys = [batch.column(c).take(pa.array(row)) for c in ("doc_id", "twin")]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(digests, pa.binary())], ["doc_id", "twin", "start", "size", "digest"])
+
+    return rows
 
 
 def _cut(window: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
-            out = {"n_words": [], "n_removed": [], "kept": []}
-            spans = batch.column("__v_spans")
-            for i, text in enumerate(batch.column("text").cast(pa.binary())):
-                words = (text.as_py() or b"").split()
-                gone = np.zeros(len(words) + 1, np.int64)
-                for span in spans[i].as_py() or ():
-                    if span["start"] < len(words):
-                        gone[span["start"]] += 1
-                        gone[min(span["start"] + span["size"] + window - 1, len(words))] -= 1
-                left = [w for w, g in zip(words, np.cumsum(gone), strict=False) if g <= 0] if spans[i].is_valid else words
-                kept = b" ".join(left)
-                out["n_words"].append(len(words))
-                out["n_removed"].append(len(words) - len(left))
-                out["kept"].append(kept)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(out["n_words"], pa.int64()), pa.array(out["n_removed"], pa.int64()), pa.array(out["kept"], pa.binary()).cast(pa.string())],
-                ["doc_id", "n_words", "n_removed", "kept"],
-            )
+            spelled = _Spelled(batch.column("text"))
+            offsets, n = spelled.offsets, len(spelled.words)
+            _, _, _, a, b, inside, flat = spelled.places(batch.column("spans"), window)
+            told = flat.field("digest").to_pylist()
+            right = np.array([ok and spelled.digest(x, y) == d for ok, x, y, d in zip(inside.tolist(), a.tolist(), b.tolist(), told, strict=True)], bool)
+            gone = np.zeros(n + 1, np.int64)
+            np.add.at(gone, a[right], 1)
+            np.add.at(gone, b[right], -1)
+            stays = np.cumsum(gone)[:n] <= 0
+            ends = np.concatenate([[0], np.cumsum(stays)])[offsets]
+            left = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), spelled.words.filter(pa.array(stays)))
+            counts = np.diff(offsets)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts), pa.array(counts - np.diff(ends)), pc.binary_join(left, " ")], ["doc_id", "n_words", "n_removed", "kept"])
 
     return rows
 
@@ -240,12 +349,18 @@ def _cut(window: int):
 def remove_repeats(docs: DataFrame, window: int = WINDOW, seed_words: int = SEED_WORDS) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words left, joined by one space): one row per row of ``docs``.
 
-    A null text has no words and keeps the empty text. Other columns are ignored.
+    A null text has no words and keeps the empty text. Rows that share a doc_id, or have none, are judged each by its own
+    text; equal rows are one document and get equal results. An empty table gives none. Other columns are ignored.
     """
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID).cast("long"))
-    spans = repeated_spans(docs, window, seed_words).groupBy(F.col("doc_id").alias("__v_doc")).agg(F.collect_list(F.struct("start", "size")).alias("__v_spans"))
-    joined = docs.select(key.alias("__v_key"), F.col("doc_id").cast("long"), "text").join(spans, F.col("__v_key") == F.col("__v_doc"), "left").select("doc_id", "text", "__v_spans")
-    return joined.mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept string")
+    texts = _keyed(docs)
+    spans = _spans_of(texts, window, seed_words)
+    sources = spans.select(F.col("source_doc").alias("doc_id"), F.col("source_twin").alias("twin"), F.col("source_start").alias("start"), "size").distinct()
+    wanted = sources.groupBy("doc_id", "twin").agg(F.collect_list(F.struct("start", "size")).alias("wants"))
+    digests = texts.join(wanted, ["doc_id", "twin"]).mapInArrow(_source_digests(window), f"{KEY}, start int, size int, digest binary")
+    told = spans.join(digests.select(F.col("doc_id").alias("source_doc"), F.col("twin").alias("source_twin"), F.col("start").alias("source_start"), "size", "digest"), ["source_doc", "source_twin", "source_start", "size"])
+    cuts = told.groupBy("doc_id", "twin").agg(F.collect_set(F.struct("start", "size", "digest")).alias("spans"))
+    kept = texts.join(cuts, ["doc_id", "twin"], "left").mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept string")
+    return kept.withColumn("doc_id", F.expr("nullif(doc_id, bigint('-9223372036854775808'))"))
 
 
 def op7(docs: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Main text of pages: a linear-chain conditional random field over blocks, decoded by Viterbi.
 
 Each block of a page is content or not. A block's features are its ancestors' tags and class words, its own and its parent's
-tag, and properties of its text (length, links, punctuation, telling words, place in the page); neighbouring blocks are tied
+tag, and properties of its text (length, links, punctuation, telling words, place in the page), and whether the page has an article or main element; neighbouring blocks are tied
 by transition weights. The weights are trained by maximum likelihood (forward and backward sums, Adam with an L2 prior) on
 labelled pages of many layouts, which ``labelled_pages`` composes from a seed; pages with given labels can be added.
 """
@@ -20,9 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilum.llm._words import text_slices
-from veilum.llm.blocks import Block, blocks
+from veilum.llm.blocks import Block, Element, blocks
 
-PAGES, SEED, EPOCHS, RATE, PRIOR = 600, 5, 80, 0.1, 0.02
+PAGES, SEED, EPOCHS, RATE, PRIOR = 1200, 5, 80, 0.1, 0.05
 #: Words that tell about a block wherever they stand in it (fixed lists, several languages).
 HINTS = {
     "legal": "copyright ©, all rights reserved, terms of use, privacy, impressum, imprint, mentions légales, aviso legal, datenschutz",
@@ -34,67 +34,124 @@ HINT_WORDS = {k: tuple(w.strip() for w in v.split(",")) for k, v in HINTS.items(
 END = frozenset(".!?…:;\"'”»)。")
 
 
-def path_features(path: tuple) -> frozenset:
-    """Features of the ancestors: tags and class words anywhere above, and the two innermost tags."""
-    found = {"leaf=" + path[-1][0], "parent=" + path[-2][0]} if len(path) > 1 else {"leaf=" + (path[-1][0] if path else "none")}
-    for tag, names in path:
-        if tag not in ("html", "body"):
-            found.add("in=" + tag)
-        found.update("named=" + w for w in names)
-    return frozenset(found)
+def element_features(element: Element) -> list[str]:
+    """Features of one element for all text inside it. html and body say nothing."""
+    own = [] if element.tag in ("html", "body") else ["in=" + element.tag]
+    return own + ["named=" + w for w in element.names]
 
 
-def text_features(block: Block, place: int, count: int) -> list[str]:
-    text, lower = block.text, block.text.lower()
+def leaf_features(element: Element | None) -> list[str]:
+    """Features of the two innermost elements around a block."""
+    if element is None:
+        return ["leaf=none"]
+    return ["leaf=" + element.tag, "parent=" + (element.above.tag if element.above else "none"), "within=" + "<".join(element.sections)]
+
+
+def path_features(element: Element | None) -> list[str]:
+    """All features of the elements around a block, each once."""
+    found, e = dict.fromkeys(leaf_features(element)), element
+    while e is not None:
+        found.update(dict.fromkeys(element_features(e)))
+        e = e.above
+    return list(found)
+
+
+def text_features(text: str, link_chars: int) -> list[str]:
     n = text.count(" ") + 1
-    links = block.link_chars / max(1, len(text))
+    links = link_chars / max(1, len(text))
     out = [
         f"words={min(7, n.bit_length())}",
         f"links={0 if links == 0 else 1 if links < 0.3 else 2 if links < 0.8 else 3}",
         "ends" if text[-1] in END else "open",
         f"stops={min(3, text.count('. ') + text.count(', '))}",
-        f"place={5 * place // max(1, count)}",
     ]
-    if place == 0:
-        out.append("first")
-    if place == count - 1:
-        out.append("last")
-    out += ["hint=" + k for k, words in HINT_WORDS.items() if n < 40 and any(w in lower for w in words)]
+    if n < 40:
+        lower = text.lower()
+        out += ["hint=" + k for k, words in HINT_WORDS.items() if any(w in lower for w in words)]
     if "|" in text or "·" in text or "»" in text:
         out.append("divided")
     return out
 
 
+def place_features(place: int, count: int) -> list[str]:
+    return [f"place={5 * place // max(1, count)}"] + ["first"] * (place == 0) + ["last"] * (place == count - 1)
+
+
+def page_kind(found: Sequence[Block]) -> str:
+    """Whether the page has an article or main element, or no sectioning and no names at all."""
+    if any(b.element is not None and b.element.in_main for b in found):
+        return "main"
+    return "plain" if all(b.element is None or b.element.plain for b in found) else "other"
+
+
+def kind_features(block: Block, kind: str) -> list[str]:
+    return ["page=" + kind + ("+" if block.element is not None and block.element.in_main else "")]
+
+
+def features(block: Block, place: int, count: int, kind: str) -> list[str]:
+    return [*path_features(block.element), *text_features(block.text, block.link_chars), *place_features(place, count), *kind_features(block, kind)]
+
+
 @dataclass
 class Model:
     weights: dict[str, tuple[float, float]]
     moves: list[list[float]]
     start: tuple[float, float]
-    above: dict = field(default_factory=dict)  # scores of paths that were seen before
-
-    def scores(self, block: Block, place: int, count: int) -> tuple[float, float]:
-        known = self.above.get(block.path)
-        if known is None:
-            if len(self.above) > 10_000:
-                self.above.clear()
-            pairs = [self.weights[f] for f in path_features(block.path) if f in self.weights]
-            known = self.above[block.path] = (sum(p[0] for p in pairs), sum(p[1] for p in pairs))
-        a, b = known
-        for name in text_features(block, place, count):
-            pair = self.weights.get(name)
-            if pair:
-                a += pair[0]
-                b += pair[1]
-        return a, b
+    texts: dict = field(default_factory=dict)  # scores of short texts that were seen before
+    places: dict = field(default_factory=dict)
+
+    def _sum(self, names) -> tuple[float, float]:
+        pairs = [p for n in names if (p := self.weights.get(n))]
+        return sum(p[0] for p in pairs), sum(p[1] for p in pairs)
+
+    def _around(self, element: Element) -> tuple[frozenset, float, float]:
+        """Known features of an element and those around it, and their scores; each element is scored once."""
+        chain, e = [], element
+        while e is not None and e.marks is None:
+            chain.append(e)
+            e = e.above
+        seen, a, b = e.marks if e is not None else (frozenset(), 0.0, 0.0)
+        for e in reversed(chain):
+            new = [n for n in dict.fromkeys(element_features(e)) if n in self.weights and n not in seen]
+            if new:
+                x, y = self._sum(new)
+                seen, a, b = seen.union(new), a + x, b + y
+            e.marks = (seen, a, b)
+        return element.marks
+
+    def scores(self, block: Block, place: int, count: int, kind: str) -> tuple[float, float]:
+        key = (block.text, block.link_chars) if len(block.text) < 48 else None
+        own = self.texts.get(key)
+        if own is None:
+            own = self._sum(text_features(block.text, block.link_chars))
+            if key is not None:
+                if len(self.texts) > 10_000:
+                    self.texts.clear()
+                self.texts[key] = own
+        key = (5 * place // max(1, count), place == 0, place == count - 1)
+        at = self.places.get(key)
+        if at is None:
+            at = self.places[key] = self._sum(place_features(place, count))
+        e = block.element
+        key = (kind, e is not None and e.in_main)
+        page = self.places.get(key)
+        if page is None:
+            page = self.places[key] = self._sum(kind_features(block, kind))
+        key = (e.tag, e.above and e.above.tag, e.sections) if e is not None else None
+        leaf = self.places.get(key)
+        if leaf is None:
+            leaf = self.places[key] = self._sum(leaf_features(e))
+        _, a, b = self._around(e) if e is not None else (None, 0.0, 0.0)
+        return own[0] + at[0] + leaf[0] + page[0] + a, own[1] + at[1] + leaf[1] + page[1] + b
 
     def decode(self, found: Sequence[Block]) -> list[bool]:
         """Viterbi: the most likely labels together; ties are no content."""
         if not found:
             return []
         (t00, t01), (t10, t11) = self.moves
-        back, a, b = [], 0.0, 0.0
+        back, a, b, kind = [], 0.0, 0.0, page_kind(found)
         for i, block in enumerate(found):
-            x, y = self.scores(block, i, len(found))
+            x, y = self.scores(block, i, len(found), kind)
             if i == 0:
                 a, b = self.start[0] + x, self.start[1] + y
                 continue
@@ -119,9 +176,9 @@ def train(pages: Sequence[tuple[Sequence[Block], Sequence[bool]]], epochs: int =
     counts: dict[str, int] = {}
     listed = []
     for found, labels in pages:
-        rows = []
+        rows, kind = [], page_kind(found)
         for i, block in enumerate(found):
-            names = [*path_features(block.path), *text_features(block, i, len(found))]
+            names = features(block, i, len(found), kind)
             rows.append(names)
             for name in names:
                 counts[name] = counts.get(name, 0) + 1
@@ -179,7 +236,7 @@ class Composer:
     """Composes one page, keeping the label of each text it puts in."""
 
     def __init__(self, rng: random.Random):
-        self.rng, self.labels = rng, []
+        self.rng, self.labels, self.bare = rng, [], False
         self.syllables = rng.choice(["an er on th re st ing ed", "ci ón que ar os la mente", "schen ung ver ä keit ge", "eau té ion lle ou ré"]).split()
 
     def words(self, n: int) -> list[str]:
@@ -215,7 +272,7 @@ class Composer:
 
     def aside(self) -> str:
         tag = self.rng.choice(["aside", "div", "section"])
-        inner = f"<h3>{self.put(' '.join(self.words(2)), False)}</h3>"
+        inner = f"<h{(n := self.rng.randint(2, 4))}>{self.put(' '.join(self.words(2)), False)}</h{n}>"
         for _ in range(self.rng.randint(1, 4)):
             inner += self.rng.choice([lambda: f'<p>{self.put(self.sentence(), False)}</p>', lambda: f'<ul><li><a href="#">{self.put(" ".join(self.words(4)), False)}</a></ul>'])()
         return f"<{tag}{self.name('sidebar', 'side', 'related', 'widget', 'recommended', 'trending', 'popular') if tag != 'aside' or self.rng.random() < 0.3 else ''}>{inner}</{tag}>"
@@ -236,7 +293,8 @@ class Composer:
     def comments(self) -> str:
         tag = self.rng.choice(["section", "div", "ol", "aside"])
         item = "li" if tag == "ol" else self.rng.choice(["div", "article", "p"])
-        inner = f"<h3>{self.put(self.rng.choice(['Comments', 'Kommentare', 'Replies', '3 comments', 'Discussion']), False)}</h3>" if tag != "ol" and self.rng.random() < 0.8 else ""
+        head = self.rng.choice(["Comments", "Kommentare", "Replies", "3 comments", "Discussion", " ".join(self.words(self.rng.randint(1, 3)))])
+        inner = f"<h{(n := self.rng.randint(2, 4))}>{self.put(head, False)}</h{n}>" if tag != "ol" and self.rng.random() < 0.8 else ""
         for _ in range(self.rng.randint(1, 5)):
             body = self.prose() if self.rng.random() < 0.5 else self.sentence()
             one = self.put(body, False) if item == "p" else f"<b>{self.put(' '.join(self.words(2)), False)}</b>"
@@ -247,60 +305,138 @@ class Composer:
 
     def footer(self) -> str:
         tag = self.rng.choice(["footer", "div", "footer"])
+        if self.rng.random() < 0.15:  # no element of its own
+            text = self.put(self.rng.choice(["© 2001 ", "Copyright 1998 ", "Copyright "]) + " ".join(self.words(2)) + self.rng.choice(["", ", all rights reserved.", ". Impressum"]), False)
+            return f"{self.rng.choice(['', '<hr>'])}<p>{text}</p>"
         text = self.put(self.rng.choice(["© 2020 ", "Copyright ", ""]) + " ".join(self.words(2)) + self.rng.choice([" · ", " | ", ". "]) + self.sentence(2, 8), False)
         return f"<{tag}{self.name('footer', 'bottom', 'legal', 'copyright') if tag == 'div' or self.rng.random() < 0.2 else ''}>{self.rng.choice(['', '<p>'])}{text}</{tag}>"
 
+    def linked(self, words: list[str], content: bool) -> str:
+        """Words of which a few in the middle are a link."""
+        k = self.rng.randint(0, len(words) - 1)
+        n = self.rng.randint(1, 3)
+        self.labels.append((" ".join(words), content))
+        parts = [" ".join(words[:k]), f'<a href="/{n}">{" ".join(words[k : k + n])}</a>', " ".join(words[k + n :])]
+        return " ".join(p for p in parts if p)
+
+    def paragraph(self) -> str:
+        rng = self.rng
+        text = self.prose() if rng.random() < 0.8 else " ".join(self.words(rng.randint(1, 6)))
+        if not self.bare and rng.random() < 0.12:  # what stands in menus and footers elsewhere
+            text = rng.choice(["All rights reserved.", "Copyright " + text, " | ".join(self.words(rng.randint(2, 7))) + " |", "Sign up. " + text, "Read more: " + text])
+        if rng.random() < 0.2:
+            return self.linked(text.split(), True)
+        return f"{rng.choice(['', '', '', '<b>', '<i>', '<span>'])}{self.put(text, True)}{rng.choice(['', '', '<br>'])}"
+
+    def items(self, tag: str, low: int, high: int) -> str:
+        """A list in the article; some items hold a link."""
+        item = lambda: self.linked(self.words(self.rng.randint(2, 9)), True) if self.rng.random() < 0.2 else self.put(self.sentence(low, high) if self.rng.random() < 0.5 else " ".join(self.words(self.rng.randint(1, high))), True)
+        return f"<{tag}>" + "".join(f"<li>{item()}{self.rng.choice(['</li>', ''])}" for _ in range(self.rng.randint(1, 7))) + f"</{tag}>"
+
+    def grid(self) -> str:
+        rows = "".join(f"<tr>{''.join(f'<td>{self.put(self.sentence(1, 4) if k else chr(32).join(self.words(2)), True)}' for k in range(self.rng.randint(1, 4)))}" for _ in range(self.rng.randint(1, 5)))
+        return f"<table>{rows}</table>"
+
+    def piece(self) -> str:
+        """Something an article holds, seldom an advert, a sidebar or a form."""
+        rng, kind = self.rng, self.rng.random()
+        if rng.random() < 0.06:
+            return self.advert()
+        if kind < 0.62:
+            return f"<p>{self.paragraph()}{rng.choice(['</p>', '</p>', ''])}"
+        if kind < 0.66:
+            return f"<div>{self.paragraph()}</div>"
+        if kind < 0.75:
+            return f"<h{(n := rng.randint(2, 4))}>{self.put(' '.join(self.words(rng.randint(1, 6))), True)}</h{n}>"
+        if kind < 0.84:
+            return self.items(rng.choice(["ul", "ol"]), 2, 9)
+        if kind < 0.87:
+            return f"<blockquote>{rng.choice(['', '<p>'])}{self.put(self.sentence(), True)}</blockquote>"
+        if kind < 0.89:
+            return self.grid()
+        if kind < 0.91:
+            return f"<pre>{self.put(' '.join(self.words(6)), True)}</pre>"
+        if kind < 0.93:
+            return f"<figure><img src='x'><figcaption>{self.put(self.sentence(3, 9), True)}</figcaption></figure>"
+        if kind < 0.945:
+            return "<dl>" + "".join(f"<dt>{self.put(' '.join(self.words(2)), True)}<dd>{self.put(self.sentence(2, 9), True)}" for _ in range(3)) + "</dl>"
+        return rng.choice([self.advert, self.aside, self.form, self.share])()
+
+    def share(self) -> str:
+        links = "".join(f"<li><a href='#'>{self.put(self.words(1)[0], False)}</a></li>" for _ in range(self.rng.randint(2, 4)))
+        return f"<ul{self.name('share', 'social', 'tags', 'pagination', 'breadcrumb', 'breadcrumbs', 'meta')}>{links}</ul>"
+
+    def trail(self) -> str:
+        """Links on one line, in an element without a name."""
+        words = [" ".join(self.words(self.rng.randint(1, 2))) for _ in range(self.rng.randint(2, 6))]
+        if self.rng.random() < 0.25:
+            self.labels += [(w, False) for w in words]
+            return "<table><tr>" + "".join(f'<td><a href="/{k}">{w}</a>' for k, w in enumerate(words)) + "</table>"
+        sep = self.rng.choice([" | ", " · ", " » ", " "])
+        self.labels.append((" ".join(sep.join(words).split()), False))
+        tag = self.rng.choice(["p", "div"])
+        return f"<{tag}>" + sep.join(f'<a href="/{k}">{w}</a>' for k, w in enumerate(words)) + f"</{tag}>"
+
+    def story(self, bare: bool) -> str:
+        """What an article holds: of many lengths, from one word to many pieces; some are lists or tables alone."""
+        rng = self.rng
+        title = " ".join(self.words(rng.randint(1, 10))).capitalize()
+        if not bare and rng.random() < 0.08:
+            title = rng.choice(["All rights reserved.", " | ".join(self.words(rng.randint(2, 7))) + " |"])
+        kind = rng.random()
+        if kind < 0.12:
+            text = " ".join(self.words(rng.randint(1, 3))) if rng.random() < 0.6 else self.sentence()
+            return "".join(f"<p>{self.put(text, True)}</p>" for _ in range(rng.choice([1, 1, 2])))
+        if kind < 0.24:
+            head = f"<h{(n := rng.randint(1, 3))}>{self.put(title, True)}</h{n}>" if rng.random() < 0.8 else ""
+            return head + (self.items(rng.choice(["ol", "ul"]), 1, 6) if rng.random() < 0.7 else self.grid())
+        if kind < 0.27:
+            return self.put(self.prose(), True)
+        head = f"<h1>{self.put(title, True)}</h1>" if rng.random() < 0.85 else ""
+        if head and not bare and rng.random() < 0.15:
+            head = f"<header>{head}{f'<p>{self.put(self.sentence(), True)}</p>' if rng.random() < 0.5 else ''}</header>"
+        inner = "".join(self.piece() for _ in range(rng.choice([0, 1, 1, 2, 3, 4, 6, 9, 14])))
+        if not bare and rng.random() < 0.08:
+            inner += f"<footer>{self.trail() if rng.random() < 0.5 else self.share()}</footer>"
+        return head + inner
+
     def article(self) -> str:
+        """The story in an element of its own or in nested ones, or bare."""
         rng = self.rng
-        tag = rng.choice(["article", "article", "main", "div", "section"])
-        names = self.name("content", "article", "post", "entry", "story", "main", "text", "body") if tag != "article" or rng.random() < 0.3 else ""
-        close = rng.choice(["</p>", "</p>", ""])
-        inner = f"<h1>{self.put(' '.join(self.words(rng.randint(1, 10))).capitalize(), True)}</h1>" if rng.random() < 0.85 else ""
-        for _ in range(rng.choice([0, 1, 1, 2, 3, 4, 6, 9, 14])):
-            kind = rng.random()
-            if kind < 0.72:
-                text = self.prose() if rng.random() < 0.8 else " ".join(self.words(rng.randint(1, 6)))
-                inner += f"<p>{rng.choice(['', '', '<b>', '<i>'])}{self.put(text, True)}{rng.choice(['', '', '<br>'])}{close}"
-            elif kind < 0.80:
-                inner += f"<h2>{self.put(' '.join(self.words(4)), True)}</h2>"
-            elif kind < 0.86:
-                inner += "<ul>" + "".join(f"<li>{self.put(self.sentence(2, 9), True)}</li>" for _ in range(rng.randint(2, 5))) + "</ul>"
-            elif kind < 0.89:
-                inner += f"<blockquote><p>{self.put(self.sentence(), True)}</p></blockquote>"
-            elif kind < 0.91:
-                inner += "<table>" + "".join(f"<tr><td>{self.put(' '.join(self.words(2)), True)}<td>{self.put(self.sentence(1, 4), True)}" for _ in range(3)) + "</table>"
-            elif kind < 0.93:
-                inner += f"<pre>{self.put(' '.join(self.words(6)), True)}</pre>"
-            elif kind < 0.95:
-                inner += f"<figure><img src='x'><figcaption>{self.put(self.sentence(3, 9), True)}</figcaption></figure>"
-            elif kind < 0.97:
-                inner += self.advert()
-            elif kind < 0.985:
-                inner += self.aside()
-            else:
-                inner += self.form()
+        self.bare = rng.random() < 0.2
+        inner = self.story(self.bare)
+        if self.bare:
+            return inner
         if rng.random() < 0.1:
             inner += self.comments()
-        return f"<{tag}{names}>{inner}</{tag}>"
+        if rng.random() < 0.15:
+            n = rng.randint(1, 3)
+            return "<div>" * n + inner + "</div>" * n
+        names = self.name("content", "article", "post", "entry", "story", "main", "text", "body", "prose", "markdown", "page") if rng.random() < 0.75 else ""
+        if rng.random() < 0.2:
+            inner = f"<div{names}>{inner}</div>"
+            names = ""
+        tag = rng.choice(["article", "article", "main", "div", "section"])
+        return f"<{tag}{names if tag != 'article' or rng.random() < 0.3 else ''}>{inner}</{tag}>"
+
+    def wrapped(self, parts: list[str], chance: float) -> list[str]:
+        if self.rng.random() >= chance:
+            return parts
+        tag = self.rng.choice(["div", "div", "div", "main", "section"])
+        return [f"<{tag}{self.name('page', 'site', 'wrapper', 'container', 'content', 'main', 'layout', 'app', 'row', 'columns', 'outer', 'body')}>", *parts, f"</{tag}>"]
 
     def page(self) -> str:
-        rng, parts = self.rng, []
-        maybe = lambda chance, make: parts.append(make()) if rng.random() < chance else None
-        maybe(0.35, self.notice)
-        maybe(0.5, self.page_header)
-        maybe(0.8, lambda: self.menu(rng.choice(["nav", "div", "nav"])))
-        maybe(0.4, self.advert)
-        maybe(0.15, self.form)
-        maybe(0.15, self.aside)
-        parts.append(self.article())
-        maybe(0.25, self.comments)
-        maybe(0.3, self.aside)
-        maybe(0.2, self.form)
-        maybe(0.25, self.advert)
-        maybe(0.12, self.notice)
-        maybe(0.85, self.footer)
-        if rng.random() < 0.25:
-            parts = ["<div id='page'>", *parts, "</div>"]
+        rng = self.rng
+        maybe = lambda chance, make: [make()] if rng.random() < chance else []
+        if rng.random() < 0.02:  # nothing but text
+            return self.put(self.prose(), True)
+        if rng.random() < 0.12:  # nothing but the article
+            return f"<html><body>{''.join(self.wrapped([self.article()], 0.2))}</body></html>"
+        top = maybe(0.35, self.notice) + maybe(0.5, self.page_header) + maybe(0.75, lambda: self.menu(rng.choice(["nav", "div", "nav"]))) + maybe(0.1, self.trail)
+        middle = maybe(0.4, self.advert) + maybe(0.15, self.form) + maybe(0.15, self.aside) + maybe(0.1, self.share) + [self.article()]
+        middle += maybe(0.25, self.comments) + maybe(0.3, self.aside) + maybe(0.2, self.form) + maybe(0.25, self.advert)
+        end = maybe(0.12, self.notice) + maybe(0.08, self.trail) + maybe(0.85, self.footer)
+        parts = self.wrapped([*top, *self.wrapped(middle, 0.35), *end], 0.3)
         return f"<!DOCTYPE html><html><head><title>{self.words(1)[0]}</title><style>p{{}}</style></head><body>{''.join(parts)}</body></html>"
 
 

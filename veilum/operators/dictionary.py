@@ -1,8 +1,7 @@
 """Curated dictionaries: parsing, conflicts, and scans of texts.
 
-A dictionary is small and parsed on the driver; texts are scanned by Spark. Entries whose match starts at a word run are found
-by an equality join of the texts' word runs with the entries' first runs, and verified by their pattern; the others
-(a context before the name, a name that starts with a sign) by one expression each.
+A dictionary is small and parsed on the driver; texts are scanned where they are, all entries in one pass (``scan``, see
+``lookup``), or a few entries by one Spark expression each (``scan_each``).
 """
 
 from __future__ import annotations
@@ -13,17 +12,17 @@ import unicodedata
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilum.functions import patterns as P
-from veilum.functions.offsets import each, let, matches
+from veilum.functions.offsets import each, matches
+from veilum.operators import lookup
 from veilum.operators.detect import HIT
 
 DEFAULT_TYPE = "ALTRO"
 SHORT_STEM = 5
-#: A larger dictionary is shuffled, not broadcast.
-BROADCAST_ENTRIES = 200_000
 _LEGAL = re.compile(P.LEGAL_FORM, re.I)
 _ON, _OFF = {"", "on", "true", "yes", "1"}, {"off", "false", "no", "0"}
 _SENSITIVE, _INSENSITIVE = {"case-sensitive", "sensitive"}, {"insensitive", "case-insensitive", "i"}
@@ -209,25 +208,8 @@ def variants(entry: Entry) -> list[tuple[str, str, str]]:
     return out
 
 
-def dictionary_table(spark: SparkSession, entries: Iterable[Entry]) -> DataFrame:
-    """A row for each variant: place (order in the dictionary), type, surface, pattern (anchored, for a text that begins where
-    the name does), first (word run, if the name begins with one and has no context), stem, ..."""
-    rows = []
-    for place, e in enumerate(entries):
-        for _, name, first in variants(e):
-            run = re.match(r"\w+", first)
-            rows.append((place, e.type, e.surface, "(?iu)^" + name, run[0] if run and not e.context else None, e.stem and run is not None and run[0] == first, e.source, e.line, e.case_sensitive, e.context))
-    schema = "place int, type string, surface string, pattern string, first string, stem boolean, source string, line int, case_sensitive boolean, context string"
-    return spark.createDataFrame(rows, schema)
-
-
-def fold_key(value: Column) -> Column:
-    """Equal for words that match without regard to case."""
-    return F.lower(F.translate(value, "İıſK", "iisk"))
-
-
 def scan_each(text: Column, entries: Iterable[Entry] | list[tuple[int, Entry]]) -> Column:
-    """array<HIT>: one pass for each entry (or numbered entry). The plain form, for small dictionaries and for contexts."""
+    """array<HIT>: one pass for each entry (or numbered entry), without Python. The plain form, for a few entries."""
 
     def of(pattern, entry, place):
         hit = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(entry.type).alias("type"), s["value"].alias("value"), F.lit(place).alias("place"))
@@ -238,42 +220,41 @@ def scan_each(text: Column, entries: Iterable[Entry] | list[tuple[int, Entry]])
     return F.array_distinct(F.concat(*lists)) if lists else F.array().cast(f"array<{HIT}>")
 
 
-def _candidates(docs: DataFrame, entries: list[Entry], key: str, text: str) -> DataFrame:
-    """__v_key, __v_near: the places of a text where an entry may begin, with its pattern."""
-    table = dictionary_table(docs.sparkSession, entries).where("first is not null")
-    table = table.select("place", "type", "pattern", fold_key(F.col("first")).alias("folded"), F.when(F.col("stem"), F.length("first")).alias("size"))
-    if len(entries) <= BROADCAST_ENTRIES:
-        table = F.broadcast(table)
-    lengths = sorted({len(first) for e in entries if e.stem for _, _, w in variants(e) if (first := re.match(r"\w*", w)[0])})
-    runs = each(docs, [F.col(key).alias("__v_key")], matches(F.col(text), P.WORD_RUN), "run")
-    prefix = lambda n: F.struct(fold_key(F.substring("run.value", 1, n)).alias("folded"), F.lit(n).alias("size"))
-    keys = F.array(F.struct(fold_key(F.col("run.value")).alias("folded"), F.lit(None).cast("int").alias("size")), *map(prefix, lengths))
-    probes = each(runs, ["__v_key", F.col("run.start").alias("start")], keys, "k")
-    met = probes.join(table, (F.col("k.folded") == F.col("folded")) & F.col("k.size").eqNullSafe(F.col("size")))
-    return met.groupBy("__v_key").agg(F.collect_list(F.struct("start", "place", "type", "pattern")).alias("__v_near"))
+def _names(entries: Iterable[Entry]) -> list[tuple]:
+    """Each entry's variants as arguments of lookup.Name."""
+    out = []
+    for place, e in enumerate(entries):
+        for form in ("NFC", "NFD"):
+            words = [unicodedata.normalize(form, w) for w in name_words(e.surface)]
+            name = (place, e.type, words, e.stem, e.context and unicodedata.normalize(form, e.context), lookup.body_of(words, e.stem, e.case_sensitive))
+            if words and (not out or out[-1] != name):
+                out.append(name)
+    return out
 
 
-def with_hits(docs: DataFrame, entries: list[Entry], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with a column hits (array<HIT>) for ``detect``.
+def scan(text: Column, entries: list[Entry]) -> Column:
+    """array<HIT>: every place where an entry matches, found in the row: no join, no key, and as well on a stream.
 
-    Word runs join the entries on the folded run (for stems, on a prefix of the run as long as the stem); runs carry no text.
-    Candidates of a document come back to it by ``key`` and are verified there.
+    A null text has no hits. The dictionary travels with the query: about 300 bytes an entry.
     """
-    joined = docs.join(_candidates(docs, entries, key, text), F.col(key) == F.col("__v_key"), "left").drop("__v_key")
+    names = _names(entries)
+    key = hash(tuple((*n[:2], *n[2], *n[3:]) for n in names))
+
+    @F.arrow_udf(f"array<{HIT}>")
+    def hits(texts: pa.Array) -> pa.Array:
+        return lookup.arrow_hits(texts, names, key)
+
+    return hits(text)
 
-    def hit(c):
-        # What stands before a run is no word character, so the rest of the text from there is all that the pattern sees.
-        value = F.call_function("regexp_extract", F.substring(F.col(text), c["start"] + 1, F.length(text)), c["pattern"], F.lit(1))
-        return let(value, lambda v: F.struct(c["start"].alias("start"), (c["start"] + F.length(v)).alias("end"), c["type"].alias("type"), v.alias("value"), c["place"].alias("place")))
 
-    met = F.filter(F.transform(F.coalesce("__v_near", F.array().cast("array<struct<start:int,place:int,type:string,pattern:string>>")), hit), lambda h: h["end"] > h["start"])
-    rest = [(i, e) for i, e in enumerate(entries) if e.context or not re.match(r"\w", "".join(name_words(e.surface)))]
-    return joined.withColumn("hits", F.array_distinct(F.concat(met, scan_each(F.col(text), rest)))).drop("__v_near")
+def with_hits(docs: DataFrame, entries: list[Entry], text: str = "text") -> DataFrame:
+    """``docs`` with a column hits (array<HIT>) for ``detect``."""
+    return docs.withColumn("hits", scan(F.col(text), entries))
 
 
 def scan_join(docs: DataFrame, entries: list[Entry], key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, start, end, type, value, place: every place where an entry matches."""
-    return each(with_hits(docs.select(key, text), entries, key, text), [key], "hits", "h").select(key, "h.*")
+    return each(with_hits(docs.select(key, text), entries, text), [key], "hits", "h").select(key, "h.*")
 
 
 def conflicts(entries: DataFrame) -> DataFrame:

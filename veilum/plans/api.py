@@ -22,7 +22,7 @@ class Engine:
         """``docs`` with spans."""
         if not self.entries:
             return detect.with_spans(docs, self.text, None, self.families, self.heuristics)
-        found = dictionary.with_hits(docs, self.entries, self.key, self.text)
+        found = dictionary.with_hits(docs, self.entries, self.text)
         return detect.with_spans(found, self.text, "hits", self.families, self.heuristics).drop("hits")
 
     def anonymize(self, docs: DataFrame, tag: str | None = None) -> DataFrame:

@@ -414,7 +414,7 @@ _TEXTS = [(1, "Acme-Italia SRL and acme"), (2, "CONTOSO srl; Dell'Acme, Acme's")
 def dict_spans(spark, sf_dir):
     """Legal forms, separators, stems, case, context, elision: through the resolver."""
     entries = dictionary.parse(_DICT)[0]
-    d = dictionary.with_hits(literal(spark, _TEXTS, "id long, text string"), entries, "id")
+    d = dictionary.with_hits(literal(spark, _TEXTS, "id long, text string"), entries)
     return detect.exploded(detect.with_spans(d, hits="hits"), "id")
 
 

@@ -1,11 +1,14 @@
 import datetime
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from veilum.operators import detect, mapstore, placeholders, quality, suggest
+from veilum.operators import detect, dictionary, mapstore, markup, placeholders, quality, reports, suggest
+from veilum.plans.api import Engine
+from veilum.sources import files
 from veilum.streaming import streams
 
 
@@ -132,9 +135,77 @@ def test_reports_and_stored_things(spark, tmp_path):
     assert reports.reveal(entries, "m", confirm=True).first().original == "x"
 
 
-def test_written_containers(spark, tmp_path):
-    from veilum.sources import containers
+def test_written_files(spark, tmp_path):
+    made = spark.createDataFrame([("a.docx", bytearray(b"one")), ("x/b.docx", bytearray(b""))], "name string, content binary")
+    assert sorted(map(tuple, files.write_files(made, str(tmp_path / "out")).collect())) == [("a.docx", 3), ("x/b.docx", 0)]
+    assert (tmp_path / "out" / "a.docx").read_bytes() == b"one" and sorted(p.name for p in (tmp_path / "out").rglob("*")) == ["a.docx", "b.docx", "x"]
 
-    made = spark.createDataFrame([("a.docx", bytearray(b"one")), ("b.docx", bytearray(b""))], "name string, content binary")
-    assert sorted(map(tuple, containers.write_containers(made, str(tmp_path / "out")).collect())) == [("a.docx", 3), ("b.docx", 0)]
-    assert (tmp_path / "out" / "a.docx").read_bytes() == b"one" and len(list((tmp_path / "out").iterdir())) == 2
+
+def test_every_run_gets_a_tag_of_its_own(spark):
+    runs, taken = spark.range(300).select(F.col("id").alias("run_id")), spark.createDataFrame([("aa",), ("0b",)], "tag string")
+    rows = placeholders.new_tags(runs, taken, width=2).collect()
+    assert len(rows) == 300 and len({r.tag for r in rows}) == 300 and {len(r.tag) for r in rows} == {2, 8} and not {"aa", "0b"} & {r.tag for r in rows}
+
+
+def test_long_folds_take_linear_time(spark):
+    xml = "<d>" + "<p>x</p>" * 30_000 + "</d>"
+    d = spark.createDataFrame([(xml,)], "x string").select(F.size(markup.segments(F.col("x"))).alias("s"), F.size(markup.runs(F.sequence(F.lit(0), F.lit(200_000), F.lit(2)))).alias("r"))
+    began = time.time()
+    assert tuple(d.first()) == (60_003, 100_001) and time.time() - began < 30
+
+
+def test_events_propose_nothing_before_the_end():
+    text = "Mario meets Anna. " * 3 + "[EMAIL-1] tail"
+    answers = iter([['{"candidates": ["Mar', 'io", "Ghost", "[EMAIL-1]"]}'], '["Anna", "Mario"]', ""])
+    got = list(suggest.events(text, [(0, 5)], lambda piece: next(answers), size=30, overlap=6))
+    assert [e["event"] for e in got] == ["start", "delta", "delta", "delta", "done"] and got[0]["chunks"] == 3 and got[0]["chars"] == len(text)
+    found = got[-1]["report"]["candidates"]
+    assert [(c["value"], c["count"], c["overlap"]) for c in found] == [("Mario", 3, True), ("Anna", 3, False)]
+    assert json.loads(suggest.sse(got[1])[6:]) == got[1] and suggest.sse(got[1]).endswith("}\n\n")
+
+    def failing(piece):
+        yield "half an ans"
+        raise ConnectionError("gone")
+
+    assert [e["event"] for e in suggest.events("abc", [], failing)] == ["start", "delta", "error"]
+
+
+def test_advice_and_approval(spark):
+    found = dictionary.conflicts_of(spark, {"a": "A|Contoso\nB|contoso\n", "b": "C|Lone\n"})
+    asked = json.loads(suggest.question(found))
+    assert asked == [{"surface": "Contoso", "candidates": ["A (line 1)", "B (line 2)"]}]
+    told = suggest.advise(found, lambda q: '{"advice": [{"surface": "Contoso", "keep": "b", "reason": "r"}, {"surface": "Contoso", "keep": "Z"}, {"surface": "No", "keep": "A"}, 5]}')
+    assert [tuple(r) for r in told.collect()] == [("Contoso", "B", "r")]
+    none = dictionary.conflicts_of(spark, {"a": "A|One\n"})
+    assert suggest.question(none) is None and suggest.advise(none, lambda q: pytest.fail("asked")).collect() == []
+    text, taken, refused = dictionary.approve(spark, "mine", "A|Contoso\n\n", [("b", "CONTOSO"), ("c", "Fabrikam"), ("d", "a|b"), ("e", "Elsewhere"), ("f", "Dup"), ("g", "dup")], {"other": "X|elsewhere\n"})
+    assert (text, taken, refused) == ("A|Contoso\nC|Fabrikam\n", ["Fabrikam"], ["CONTOSO", "a|b", "Elsewhere", "Dup", "dup"])
+    assert dictionary.approve(spark, "mine", "A|x\n", [])[0] == "A|x\n"
+
+
+def test_names_given_in_several_ways():
+    assert dictionary.as_list(None) == [] and dictionary.as_list(" a, ,b ") == ["a", "b"] and dictionary.as_list(["x ", 5, ""]) == ["x", "5"]
+    with pytest.raises(ValueError):
+        dictionary.as_list(5)
+
+
+def test_precision_recall_and_summary(spark):
+    schema = "name string, must_find array<struct<value:string,type:string>>, known_miss array<struct<value:string,why:string>>"
+    corpus = spark.createDataFrame([("a", [("Mario Rossi", "P"), ("Acme", "A")], [("il capo", "x")]), ("b", [], []), ("c", [("Zed", "P")], [])], schema)
+    proposed = spark.createDataFrame([("a", "Rossi", True), ("a", "ario", False), ("a", "the Acme group", False), ("a", "capo", False), ("b", "noise", False)], "name string, value string, overlap boolean")
+    row = quality.precision_recall(corpus, proposed).first().asDict()
+    assert row == {"proposals": 5, "correct": 2, "must_find": 3, "covered": 1, "already_found": 1, "known_miss": 1, "closed": 1, "precision": 0.4, "recall": 0.333}
+    runs = spark.createDataFrame([("x", 2.0, 10.0), ("x", 4.0, 10.0), ("x", 3.0, 10.0)], "name string, seconds double, mb double")
+    assert quality.summary(runs, "name").first().asDict() == {"name": "x", "best": 2.0, "median": 3.0, "runs": 3, "mb": 10.0, "mb_per_second": 5.0}
+
+
+def test_reports_as_json(spark):
+    engine = Engine(dictionary.parse("C|Contoso")[0])
+    d = spark.createDataFrame([(1, "Con Toso wrote to a@acme.it [EMAIL-1]"), (2, "clean"), (3, "Con Toso only")], "doc_id int, text string")
+    rows = {r.doc_id: json.loads(r.j) for r in engine.audit(d).select("doc_id", reports.audit_json({"doc_id": F.col("doc_id")}).alias("j")).collect()}
+    assert rows[1]["verdict"] == "sensitive" and rows[1]["types"] == {"EMAIL": 1} and rows[1]["placeholders_present"] == 1 and rows[1]["findings"] == [{"type": "EMAIL", "line": 1}]
+    assert "Toso" not in json.dumps(rows[1]) and rows[3]["verdict"] == "suspicious" and rows[3]["near_miss"][0]["kind"] == "variant" and rows[2]["verdict"] == "clean"
+    shown = engine.audit(d, reveal=True).where("doc_id = 3").select(reports.audit_json({}, reveal=True).alias("j")).first().j
+    assert json.loads(shown)["near_miss"][0]["token"] == "Con Toso"
+    dry = engine.anonymize(d).select(reports.dry_run_json(F.lit("a.txt"), F.lit("a.redacted.txt"), F.size("entries"), placeholders.counts(F.col("entries"))).alias("j")).first().j
+    assert json.loads(dry) == {"schema": "veilum/1", "tool": "dry-run", "dry_run": True, "file": "a.txt", "sensitive": True, "would_write": "a.redacted.txt", "entries": 1, "counts": {"EMAIL": 1}}

@@ -25,6 +25,12 @@ def findings(text: Column, spans: Column, cap: int = CHECK_CAP) -> Column:
     return let(F.struct(text.alias("t"), spans.alias("s")), use)
 
 
+def types_of(spans: Column) -> Column:
+    """map<type, spans>."""
+    types = F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["type"])))
+    return F.map_from_entries(F.transform(types, lambda t: F.struct(t, F.size(F.filter(spans, lambda s: s["type"] == t)))))
+
+
 def placeholders_present(text: Column) -> Column:
     return F.regexp_count(text, F.lit(P.PLACEHOLDER))
 

@@ -160,6 +160,37 @@ def save(path: str, text: str, others: Mapping[str, str] | None = None) -> list[
     return warnings
 
 
+def as_list(value) -> list[str]:
+    """Names given as one text with commas or as a list; nothing for None."""
+    if value is None:
+        return []
+    if isinstance(value, str):
+        value = value.split(",")
+    if not isinstance(value, (list, tuple)):
+        raise ValueError(f"names come as a text or a list, not as {type(value).__name__}")
+    return [name for x in value if (name := str(x).strip())]
+
+
+def declared_twice(spark: SparkSession, files: Mapping[str, str]) -> set[str]:
+    """Folded names that the dictionary texts in force declare more than once."""
+    return {unicodedata.normalize("NFC", r.surface).casefold() for r in conflicts_of(spark, files).select("surface").collect()}
+
+
+def approve(spark: SparkSession, path: str, text: str, chosen: Iterable[tuple[str, str]], others: Mapping[str, str] | None = None) -> tuple[str, list[str], list[str]]:
+    """``text`` with the chosen (type, value) lines that make no conflict: the new text, the values taken, the values refused.
+
+    A value that can't stand on a line is refused, and so is one that ``text`` or ``others`` declare already.
+    """
+    lines = [(f"{kind.strip().upper()}|{value.strip()}", value) for kind, value in chosen]
+    fit = [(line, value) for line, value in lines if value.strip() and not re.search(r"[|\r\n]", value) and len(line.split("|")[0].split()) == 1]
+    body = text.rstrip()
+    joined = lambda taken: "\n".join([*([body] if body else []), *taken]) + "\n"
+    twice = declared_twice(spark, {**(others or {}), path: joined([line for line, _ in fit])}) if fit else set()
+    taken = [(line, value) for line, value in fit if unicodedata.normalize("NFC", value.strip()).casefold() not in twice]
+    accepted = [value for _, value in taken]
+    return (joined([line for line, _ in taken]) if taken else text), accepted, [value for _, value in lines if value not in accepted]
+
+
 def catalogs(spark: SparkSession, folder: str) -> DataFrame:
     """name, path, entries of each dictionary file of a folder; -1 entries where it doesn't parse."""
     rows = []

@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from veilum.functions import patterns as P
-from veilum.functions.offsets import let, matches
+from veilum.functions.offsets import kept_in_order, let, matches
 
 #: Possessive, so that a document of one unfinished tag takes linear time.
 _QUOTED = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
@@ -64,15 +64,13 @@ def segments(xml: Column, separator: str = "") -> Column:
 
     def folded(x):
         path = F.array().cast(f"array<{ELEMENT}>")
-        start = F.struct(
-            F.lit(0).alias("v"), F.lit(0).alias("s"), F.lit(0).alias("opened"), path.alias("path"), F.array().cast(f"array<{SEGMENT}>").alias("out")
-        )
+        start = F.struct(F.lit(0).alias("v"), F.lit(0).alias("s"), F.lit(0).alias("opened"), path.alias("path"))
 
         def segment(state, end):
             size = end - state["s"]
             return F.struct(state["v"].alias("vstart"), state["s"].alias("sstart"), size.alias("size"), state["path"].alias("path"))
 
-        def step(state, token):
+        def after(state, token):
             def moved(tag):
                 names = F.transform(state["path"], lambda e: e["name"])
                 back = F.array_position(F.reverse(names), tag["name"]).cast("int")
@@ -80,18 +78,19 @@ def segments(xml: Column, separator: str = "") -> Column:
                 opens = tag["name"].isNotNull() & ~tag["closing"] & ~tag["empty"]
                 number = state["opened"] + F.when(opens, 1).otherwise(0)
                 pushed = F.array_append(state["path"], F.struct(tag["name"].alias("name"), number.alias("id")))
-                after = F.when(opens, pushed).when(tag["name"].isNotNull() & tag["closing"], closed).otherwise(state["path"])
+                path_after = F.when(opens, pushed).when(tag["name"].isNotNull() & tag["closing"], closed).otherwise(state["path"])
                 return F.struct(
                     (state["v"] + token["start"] - state["s"] + len(separator)).alias("v"),
                     token["end"].alias("s"),
                     number.alias("opened"),
-                    after.alias("path"),
-                    F.array_append(state["out"], segment(state, token["start"])).alias("out"),
+                    path_after.alias("path"),
                 )
 
             return let(_tag(token["value"]), moved)
 
-        return F.aggregate(tokens(x), start, step, lambda state: F.array_append(state["out"], segment(state, F.length(x))))
+        end = F.struct(F.length(x).alias("start"), F.length(x).alias("end"), F.lit("<!>").alias("value"))
+        step = lambda state, token: (F.lit(True), after(state, token), segment(state, token["start"]))
+        return kept_in_order(F.array_append(tokens(x), end), start, step, SEGMENT)
 
     return let(xml, folded)
 
@@ -116,13 +115,12 @@ def boundary_offenders(left: Column, right: Column) -> Column:
 
 
 def runs(offsets: Column) -> Column:
-    """array<struct<start,end>>: runs of consecutive numbers in an array, ends included."""
-    start = F.array().cast("array<struct<start:int,end:int>>")
+    """array<struct<start,end>>: runs of consecutive numbers in a sorted array without repeats, ends included."""
 
-    def add(out, n):
-        last = F.element_at(out, -1)
-        grown = F.array_append(F.slice(out, 1, F.size(out) - 1), F.struct(last["start"].alias("start"), n.alias("end")))
-        fresh = F.array_append(out, F.struct(n.alias("start"), n.alias("end")))
-        return F.when(F.size(out) == 0, F.array(F.struct(n.alias("start"), n.alias("end")))).when(F.try_element_at(out, F.lit(-1))["end"] == n - 1, grown).otherwise(fresh)
+    def zipped(a):
+        at = lambda i: F.get(a, i)
+        starts = F.filter(a, lambda n, i: F.coalesce(at(i - 1) != n - 1, F.lit(True)))
+        ends = F.filter(a, lambda n, i: F.coalesce(at(i + 1) != n + 1, F.lit(True)))
+        return F.zip_with(starts, ends, lambda x, y: F.struct(x.alias("start"), y.alias("end")))
 
-    return F.aggregate(offsets, start, add)
+    return let(offsets, zipped)

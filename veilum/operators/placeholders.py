@@ -88,12 +88,26 @@ def tag_of(listed: Column) -> Column:
     return F.get(F.filter(tags, lambda t: F.length(t) > 0), F.lit(0))
 
 
+WIDEST = 8
+
+
 def new_tags(run_ids: DataFrame, taken: DataFrame, seed: int = 0, width: int = 6, tries: int = 64) -> DataFrame:
-    """run_id -> tag: hex tags that no earlier run holds (``taken``: column tag) and no two runs share.
+    """run_id -> tag: hex tags that no earlier run holds (``taken``: column tag) and no two runs share; one for every run.
 
     Each run draws ``tries`` tags from its hash; draws that are taken go by an anti-join, and of runs that draw the same tag
-    the smallest id keeps it.
+    the smallest id keeps it. Runs that get none draw again among tags of 8 digits, the most that a placeholder may have;
+    where those run out too, a RuntimeError.
     """
+    out = _drawn_tags(run_ids, taken, seed, width, tries)
+    for round_ in range(1, 4):
+        left = run_ids.select("run_id").distinct().join(out, "run_id", "left_anti")
+        if not left.limit(1).count():
+            return out
+        out = out.unionByName(_drawn_tags(left, taken.select("tag").unionByName(out.select("tag")), seed + round_, WIDEST, tries))
+    raise RuntimeError("no free tags are left")
+
+
+def _drawn_tags(run_ids: DataFrame, taken: DataFrame, seed: int, width: int, tries: int) -> DataFrame:
     draws = run_ids.select("run_id", F.posexplode(F.transform(F.sequence(F.lit(1), F.lit(tries)), lambda n: F.substring(F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col("run_id").cast("string"), n.cast("string")), 256), 1, width))).alias("draw", "tag"))
     free = draws.join(taken.select("tag").distinct(), "tag", "left_anti")
     owned = free.groupBy("tag").agg(F.min(F.struct("draw", "run_id")).alias("o")).select("tag", "o.run_id", "o.draw")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilum.functions import patterns as P
 from veilum.functions.offsets import starts_of
 
 
@@ -57,3 +58,40 @@ def undeclared(places: DataFrame, spans: DataFrame, key: str = "name") -> DataFr
 def false_positives(spans: DataFrame, key: str) -> DataFrame:
     """type, matches, files over a corpus that should have none, most first."""
     return spans.groupBy("type").agg(F.count("*").alias("matches"), F.countDistinct(key).alias("files")).orderBy(F.desc("matches"), "type")
+
+
+def covers(proposal: Column, value: Column) -> Column:
+    """Whether replacing the proposal replaces the whole value."""
+    return proposal.contains(value)
+
+
+def names(proposal: Column, value: Column) -> Column:
+    """Whether the proposal covers the value or is a part of it between word boundaries."""
+    within = F.exists(starts_of(value, proposal), lambda at: ~F.substring(value, at, 1).rlike(f"[{P.W}]") & ~F.substring(value, at + F.length(proposal) + 1, 1).rlike(f"[{P.W}]"))
+    return covers(proposal, value) | F.coalesce(within, F.lit(False))
+
+
+def precision_recall(corpus: DataFrame, proposed: DataFrame, key: str = "name") -> DataFrame:
+    """One row over labelled texts (must_find and known_miss: array<struct<value,...>>) and proposals (key, value, overlap):
+    proposals, correct (naming a declared value), precision, must_find, covered, recall, already_found, known_miss, closed.
+
+    Values that are declared, and proposals, of one text stay in its row: pairs are made inside it.
+    """
+    listed = proposed.groupBy(F.col(key).alias("__v_key")).agg(F.collect_list(F.struct("value", "overlap")).alias("p"))
+    rows = corpus.join(listed, F.col(key) == F.col("__v_key"), "left").withColumn("p", F.coalesce("p", F.array().cast("array<struct<value:string,overlap:boolean>>")))
+    count = lambda items, test: F.size(F.filter(items, test))
+    by_proposal = lambda test: lambda p: F.exists("must_find", lambda m: test(p["value"], m["value"]))
+    by_value = lambda test: lambda m: F.exists("p", lambda p: test(p["value"], m["value"]))
+    per = rows.select(
+        F.size("p").alias("proposals"), count("p", by_proposal(names)).alias("correct"), F.size("must_find").alias("must_find"), count("must_find", by_value(covers)).alias("covered"),
+        count("p", lambda p: p["overlap"]).alias("already_found"), F.size("known_miss").alias("known_miss"), count("known_miss", by_value(names)).alias("closed"),
+    )
+    out = per.agg(*[F.sum(c).alias(c) for c in per.columns])
+    share = lambda a, b: F.when(F.col(b) > 0, F.round(F.col(a) / F.col(b), 3))
+    return out.withColumn("precision", share("correct", "proposals")).withColumn("recall", share("covered", "must_find"))
+
+
+def summary(runs: DataFrame, *by: str) -> DataFrame:
+    """Repeated measurements (``by``, seconds, and mb if there is one): best, median, mb_per_second of the best, runs."""
+    out = runs.groupBy(*by).agg(F.min("seconds").alias("best"), F.percentile("seconds", F.lit(0.5)).alias("median"), F.count("*").alias("runs"), *([F.max("mb").alias("mb")] if "mb" in runs.columns else []))
+    return out.withColumn("mb_per_second", F.when(F.col("best") > 0, F.round(F.col("mb") / F.col("best"), 2))) if "mb" in runs.columns else out

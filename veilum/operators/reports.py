@@ -21,6 +21,18 @@ def check_json(found: Column) -> Column:
     return envelope("check", (found["total"] > 0).alias("sensitive"), found["total"].alias("total"), found["truncated"].alias("truncated"), found["findings"].alias("findings"))
 
 
+def audit_json(row: dict[str, Column], reveal: bool = False) -> Column:
+    """A residual-risk report of ``Engine.audit``'s columns; values of near misses only if revealed."""
+    near = F.col("near") if reveal else F.transform("near", lambda n: F.struct(*[n[k].alias(k) for k in ("kind", "type", "line", "similarity", "token_masked")]))
+    listed = F.size("findings") < F.col("total")
+    return envelope("audit", *[c.alias(k) for k, c in row.items()], "verdict", "total", "types", "findings", F.when(listed, True).alias("findings_truncated"), near.alias("near_miss"), F.lit(reveal).alias("revealed"), F.col("placeholders").alias("placeholders_present"))
+
+
+def dry_run_json(file: Column, output: Column, n_entries: Column, counts: Column) -> Column:
+    """What a run would write and replace."""
+    return envelope("dry-run", F.lit(True).alias("dry_run"), file.alias("file"), (n_entries > 0).alias("sensitive"), output.alias("would_write"), n_entries.alias("entries"), counts.alias("counts"))
+
+
 def markdown(name: Column, counts: Column) -> Column:
     """What was replaced, by type in alphabetical order: ``counts`` is map<type, distinct values>."""
 

@@ -18,6 +18,8 @@ from pyspark.sql.functions import pandas_udf
 from veilum.functions import patterns as P
 from veilum.functions.offsets import starts_of
 
+#: A placeholder, for Python's patterns.
+PLACEHOLDER_SHAPE = r"\[[A-Z][A-Z0-9_]*-\d+(?:-[0-9a-f]{4,8})?\]"
 MAX_CHARS, OVERLAP, MIN_VALUE, MAX_PLACES, LIMIT = 20_000, 500, 3, 20, 100
 
 
@@ -133,6 +135,69 @@ def proposals(named: DataFrame, key: str = "doc_id", limit: int = LIMIT) -> Data
     return listed.select(key, F.explode("all").alias("p")).select(key, "p.value", "p.type", "p.places", "p.overlap")
 
 
+def _places(text: str, value: str, limit: int = MAX_PLACES) -> list[tuple[int, int]]:
+    out, at = [], text.find(value)
+    while at >= 0 and len(out) < limit:
+        out.append((at, at + len(value)))
+        at = text.find(value, at + len(value))
+    return out
+
+
+def events(text: str, spans: list[tuple[int, int]], backend, size: int = 0, overlap: int = OVERLAP, max_chars: int = MAX_CHARS, limit: int = LIMIT) -> Iterator[dict]:
+    """The work on one text as it goes on: a start, a delta for each piece of an answer, and the report when done.
+
+    ``backend``: a callable from a text to its answer or to the pieces of it. Deltas are progress: candidates are read only
+    from whole answers and only where the text holds them, so a failure (an error event, and no report) proposes nothing.
+    """
+    ranges = windows_of(text, size, overlap, max_chars)
+    shape = {"chars": len(text), "analyzed_chars": max(b for _, b in ranges), "chunks": len(ranges), "chunk_overlap": overlap if len(ranges) > 1 else 0}
+    yield {"event": "start", **shape, "truncated": shape["analyzed_chars"] < len(text)}
+    merged: dict[str, dict] = {}
+    for a, b in ranges:
+        try:
+            answer = backend(text[a:b])
+            pieces = [answer] if isinstance(answer, str) else answer
+            whole = []
+            for piece in pieces:
+                whole.append(piece)
+                if piece:
+                    yield {"event": "delta", "text": piece}
+        except Exception as error:  # noqa: BLE001 - told to the reader, who has had a part of the events
+            yield {"event": "error", "message": f"{type(error).__name__}: {error}"[:200]}
+            return
+        for named in named_in("".join(whole)):
+            if re.search(PLACEHOLDER_SHAPE, named["value"]) or named["value"] in merged:
+                continue
+            if places := _places(text, named["value"]):
+                touched = any(s < q and p < e for p, q in places for s, e in spans)
+                merged[named["value"]] = {**named, "places": places, "count": len(places), "overlap": touched}
+    found = sorted(merged.values(), key=lambda m: (m["places"][0], m["value"]))[:limit]
+    yield {"event": "done", "report": {**shape, "candidates": found}}
+
+
+def sse(event: dict) -> str:
+    """An event as a server-sent message."""
+    return f"data: {json.dumps(event, ensure_ascii=False)}\n\n"
+
+
+def question(conflicts: DataFrame) -> str | None:
+    """One question about all conflicts: each name with the types that were declared for it; None without conflicts.
+
+    Conflicts are few: they come from dictionaries that were parsed on the driver.
+    """
+    rows = conflicts.select("surface", F.transform("entries", lambda e: F.concat(e["type"], F.lit(" (line "), e["line"].cast("string"), F.lit(")"))).alias("candidates")).orderBy("surface").collect()
+    return json.dumps([{"surface": r.surface, "candidates": list(r.candidates)} for r in rows], ensure_ascii=False) if rows else None
+
+
+def advise(conflicts: DataFrame, backend: Callable[[str], str] = nothing) -> DataFrame:
+    """surface, keep, reason: what the model would keep, where it names a conflict and one of its types. Not asked without one."""
+    asked = question(conflicts)
+    found = json_in(backend(asked)) if asked else None
+    items = found.get("advice") if isinstance(found, dict) else found
+    rows = [(i["surface"], str(i["keep"]).upper(), str(i.get("reason") or "")) for i in (items if isinstance(items, list) else []) if isinstance(i, dict) and isinstance(i.get("surface"), str) and i.get("keep")]
+    return advice(conflicts, conflicts.sparkSession.createDataFrame(rows, "surface string, keep string, reason string"))
+
+
 def advice(conflicts: DataFrame, given: DataFrame) -> DataFrame:
     """Of ``given`` (surface, keep, reason) what names a conflict and one of its types."""
     joined = given.join(conflicts.select(F.col("surface").alias("known"), "entries"), F.col("surface") == F.col("known"))

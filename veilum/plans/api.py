@@ -34,15 +34,16 @@ class Engine:
         return found.select(self.key, (F.col("f.total") > 0).alias("sensitive"), "f.total", "f.truncated", "f.findings")
 
     def audit(self, docs: DataFrame, reveal: bool = False) -> DataFrame:
-        """key, verdict, placeholders, total, findings, near (without values unless ``reveal``)."""
+        """key, verdict, placeholders, total, types, findings, near (without values unless ``reveal``)."""
         found = self.detect(docs)
         near = audit.near_misses(found, [(e.type, e.surface) for e in self.entries], self.key, self.text)
         fields = ["kind", "type", "line", "similarity", "token_masked", *(["token", "entity"] if reveal else [])]
         listed = near.groupBy(F.col(self.key).alias("__v_key")).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("near"))
         joined = found.join(listed, F.col(self.key) == F.col("__v_key"), "left").drop("__v_key")
         n_near = F.coalesce(F.size("near"), F.lit(0))
+        types = audit.types_of(F.col("spans"))
         out = joined.withColumn("f", audit.findings(F.col(self.text), F.col("spans"), audit.AUDIT_CAP))
-        return out.select(self.key, audit.verdict(F.col("f.total"), F.when(n_near > 0, n_near).otherwise(0)).alias("verdict"), audit.placeholders_present(F.col(self.text)).alias("placeholders"), "f.total", "f.findings", "near")
+        return out.select(self.key, audit.verdict(F.col("f.total"), F.when(n_near > 0, n_near).otherwise(0)).alias("verdict"), audit.placeholders_present(F.col(self.text)).alias("placeholders"), "f.total", types.alias("types"), "f.findings", F.coalesce("near", F.array().cast(joined.schema["near"].dataType)).alias("near"))
 
     def restore(self, docs: DataFrame) -> DataFrame:
         """``docs`` (redacted, entries) with restored and its verdict."""

@@ -5,6 +5,9 @@ Kinds of value that the tables don't hold come as literal rows on both sides.
 
 from __future__ import annotations
 
+import io
+import zipfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +17,8 @@ from veilum.functions import validators as V
 from veilum.functions.offsets import each, line_of, masked, matches, starts_of
 from veilum.operators import audit, detect, dictionary, mapstore, markup, placeholders, quality, reports, restore, suggest
 from veilum.plans import oracle as O
-from veilum.sources import files, pdf
+from veilum.plans.api import Engine
+from veilum.sources import containers, files, pdf
 from veilum.streaming import streams
 
 QUERIES: dict = {}
@@ -227,6 +231,43 @@ def host_shrink(spark, sf_dir):
     return _rule_spans(literal(spark, _SHRINK, "id long, text string"), "host", "id", "text").select("id", "value")
 
 
+_RULES = [
+    ("key_bearer", "Authorization: Bearer abcdefghij0123456789XYZ end", "abcdefghij0123456789XYZ"), ("key_bearer", "bearer short", None), ("key_bearer", "BEARER  your-token-here-or-elsewhere", None),
+    ("tax_code", "cf RSSMRA85T10A562S, fine", "RSSMRA85T10A562S"), ("tax_code", "cf rssmra85t10a562s", "rssmra85t10a562s"), ("tax_code", "cf RSSMRA85T10A562T", None), ("tax_code", "xRSSMRA85T10A562S", None),
+    ("vat", "P.IVA 02342520158.", "02342520158"), ("vat", "IT 12345678903 ok", "12345678903"), ("vat", "02342520159", None), ("vat", "102342520158", None),
+    ("iban", "iban IT60X0542811101000000123456 x", "IT60X0542811101000000123456"), ("iban", "IT60 X054 2811 1010 0000 0123 456 entro", "IT60 X054 2811 1010 0000 0123 456"), ("iban", "IT61X0542811101000000123456", None),
+    ("plate", "targa AB123CD!", "AB123CD"), ("plate", "targa AB1234D", None), ("plate", "ab123cd", None),
+    ("ipv6", "host 2001:db8::ff00:42:8329 up", "2001:db8::ff00:42:8329"), ("ipv6", "at fe80::1, ok", "fe80::1"), ("ipv6", "12:30 and 1:2:3", None), ("ipv6", "1::2::3", None),
+    ("ipv4", "to 10.20.30.40.", "10.20.30.40"), ("ipv4", "v 1.2.3.4.5", None), ("phone", "tel +39 333 1234567", "+39 333 1234567"), ("url", "see https://a.it/x?y=1). Next", "https://a.it/x?y=1"), ("email", "<a.b@c.org>", "a.b@c.org"),
+    ("address", "in Via Roma, 12 oggi", "Via Roma, 12"), ("host", "on db01.azienda.it.", "db01.azienda.it"), ("key_sk", "k=sk-abcdefghijklmnop1234", "sk-abcdefghijklmnop1234"), ("key_assigned", "password: hunter2hunter2", "hunter2hunter2"),
+]
+
+
+@query(f"SELECT id::INT AS id, rule, (strpos(text, value) - 1)::INT AS start, (strpos(text, value) - 1 + length(value))::INT AS \"end\", value FROM {O.values([(i, *r) for i, r in enumerate(_RULES)], 'id, rule, text, value')} WHERE value IS NOT NULL")
+def rule_spans(spark, sf_dir):
+    """Each rule over texts of its own, wanted values and near ones."""
+    d = literal(spark, [(i, rule, text) for i, (rule, text, _) in enumerate(_RULES)], "id int, rule string, text string")
+    out = None
+    for name in dict.fromkeys(r[0] for r in _RULES):
+        spans = each(d.where(F.col("rule") == name), ["id", "rule"], R.BY_NAME[name].spans(F.col("text")), "s")
+        out = spans if out is None else out.unionByName(spans)
+    return out.select("id", "rule", "s.start", "s.end", "s.value")
+
+
+_LETTER = "Gentile RSSMRA85T10A562S, P.IVA 02342520158, IBAN IT60X0542811101000000123456, targa AB123CD, Via Roma 12, tel +39 333 1234567, https://acme.it/a?b, info@acme.it, fe80::12, 10.1.2.3, db01.acme.it, token=abcd1234efgh, sk-abcdefghijklmnop1234"
+_LETTER_FOUND = [
+    ("CODICEFISCALE", "RSSMRA85T10A562S"), ("PARTITAIVA", "02342520158"), ("IBAN", "IT60X0542811101000000123456"), ("TARGA", "AB123CD"), ("INDIRIZZO", "Via Roma 12"), ("TEL", "+39 333 1234567"), ("URL", "https://acme.it/a?b,"), ("EMAIL", "info@acme.it"),
+    ("IP", "fe80::12"), ("IP", "10.1.2.3"), ("HOST", "db01.acme.it"), ("KEY", "abcd1234efgh"), ("KEY", "sk-abcdefghijklmnop1234"),
+]
+
+
+@query(f"SELECT type, rtrim(value, ',') AS value, (strpos(text, rtrim(value, ',')) - 1)::INT AS start FROM (SELECT {O.quote(_LETTER)} AS text), {O.values(_LETTER_FOUND, 'type, value')}")
+def every_type(spark, sf_dir):
+    """One letter with a value of each kind, through the resolver."""
+    d = detect.with_spans(literal(spark, [(1, _LETTER)], "id int, text string"))
+    return detect.exploded(d, "id").select("type", "value", "start")
+
+
 # ---- detection, findings, verdicts ------------------------------------------------------------------------------------------
 
 
@@ -410,7 +451,13 @@ _DICT = "AZIENDA|Acme Italia|Acme\nCLIENTE|Contoso S.r.l.\n@stem on\nPincopallin
 _TEXTS = [(1, "Acme-Italia SRL and acme"), (2, "CONTOSO srl; Dell'Acme, Acme's"), (3, "PINCOPALLINO-DB01 prato Prato"), (4, "comune di Roma e Roma, d-link dlink"), (5, "Acme'azienda"), (6, "")]
 
 
-@query()
+_DICT_FOUND = [
+    (1, "AZIENDA", "Acme-Italia SRL", 0), (1, "AZIENDA", "acme", 20), (2, "CLIENTE", "CONTOSO srl", 0), (2, "AZIENDA", "Acme", 18), (2, "AZIENDA", "Acme", 24), (3, "ALTRO", "PINCOPALLINO-DB01", 0), (3, "CITTA", "Prato", 24),
+    (4, "ROMA", "Roma", 10), (4, "X", "d-link", 23),
+]
+
+
+@query(f'SELECT id::BIGINT AS id, start, (start + length(value))::INT AS "end", type, value FROM {O.values(_DICT_FOUND, "id, type, value, start")}')
 def dict_spans(spark, sf_dir):
     """Legal forms, separators, stems, case, context, elision: through the resolver."""
     entries = dictionary.parse(_DICT)[0]
@@ -453,14 +500,24 @@ def allowlist(spark, sf_dir):
 
 
 _NEAR = [(1, "Con Toso and Fabrikamm and FABRIKAM Srl"), (2, "Contosso\nCon\nToso"), (3, "nothing here")]
+_NEAR_FOUND = [
+    (1, "variant", "C", 1, 1.0, "C•••••••", "Con Toso", "Contoso"), (1, "variant", "F", 1, 1.0, "F•••••••", "FABRIKAM", "Fabrikam"), (1, "near", "F", 1, 0.941, "F••••••••", "Fabrikamm", "Fabrikam"),
+    (2, "near", "C", 1, 0.933, "C•••••••", "Contosso", "Contoso"),
+]
 
 
-@query()
+@query(f"SELECT id::BIGINT AS id, kind, type, line, similarity::DOUBLE AS similarity, token_masked, token, entity FROM {O.values(_NEAR_FOUND, 'id, kind, type, line, similarity, token_masked, token, entity')}")
 def near_misses(spark, sf_dir):
     d = detect.with_spans(literal(spark, _NEAR, "id long, text string"))
     return audit.near_misses(d, [("C", "Contoso"), ("F", "Fabrikam")], "id")
 
 
+@query()
+def near_misses_documents(spark, sf_dir):
+    """Over all documents: words that almost spell one of three names."""
+    return audit.near_misses(found(spark, sf_dir), [("N", "blending"), ("N", "thanther"), ("N", "attion")])
+
+
 # ---- markup ---------------------------------------------------------------------------------------------------------------------
 
 _TAGS = "'(?s)<!--.*?-->|<[^>]*>'"
@@ -502,7 +559,7 @@ def asof_paths(spark, sf_dir):
     return d.select("offset", F.array_join(F.transform(path, lambda e: e["name"]), "/").alias("path"))
 
 
-@query()
+@query("SELECT pair, names FROM (VALUES (0, ''), (1, 'w:p'), (2, 'a,b')) AS v(pair, names)")
 def boundary_offenders(spark, sf_dir):
     path = lambda *names: F.array(*[F.struct(F.lit(n).alias("name"), F.lit(i).alias("id")) for n, i in names])
     pairs = [(path(("w:p", 1), ("w:r", 2)), path(("w:p", 1), ("w:r", 5))), (path(("w:p", 1)), path(("w:p", 3))), (path(("a", 1)), path(("b", 2)))]
@@ -528,7 +585,15 @@ def windows_fixed(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", w.alias("w")).select("doc_id", F.size("w").alias("windows"), F.element_at("w", -1)["end"].alias("covered"))
 
 
-@query()
+_NUDGED_END = "CASE WHEN {s} + 2000 >= n THEN n ELSE {s} + 2000 + length(regexp_extract(substr(text, {s} + 2001, 200), '^[^\\s]*')) END"
+_NUDGED_START = "e - 200 - CASE WHEN regexp_matches(substr(text, s + 1, e - 200 - s), '\\s') THEN length(regexp_extract(substr(text, s + 1, e - 200 - s), '[^\\s]*$')) ELSE 0 END"
+
+
+@query(
+    f"WITH RECURSIVE w AS (SELECT doc_id, text, length(text) AS n, 0::BIGINT AS s, {_NUDGED_END.format(s='0')} AS e, 1 AS k FROM (SELECT doc_id, text, length(text) AS n FROM documents) "
+    f"UNION ALL SELECT doc_id, text, n, b, {_NUDGED_END.format(s='b')}, k + 1 FROM (SELECT doc_id, text, n, e, k, {_NUDGED_START} AS b FROM w WHERE e < n)) "
+    "SELECT doc_id, max(k)::INT AS windows, max(e)::INT AS covered FROM w GROUP BY doc_id"
+)
 def windows_nudged(spark, sf_dir):
     d = documents(spark, sf_dir).select("doc_id", suggest.windows(F.col("text"), 2000, 200).alias("w"))
     return d.select("doc_id", F.size("w").alias("windows"), F.element_at("w", -1)["end"].alias("covered"))
@@ -596,6 +661,31 @@ def undeclared(spark, sf_dir):
     return quality.undeclared(quality.occurrences(corpus, "must_find"), spans).select("name", "type", "value")
 
 
+_UNTOLD = [(1, "mail info@acme.it or two@acme.it", [("info@acme.it", "EMAIL")], [("mail", "")]), (2, "ip 10.1.2.3 and 10.1.2.4", [("10.1.2.4", "IP")], []), (3, "x@acme.it", [], [])]
+
+
+@query("SELECT name::BIGINT AS name, type, value FROM (VALUES (1, 'EMAIL', 'two@acme.it'), (2, 'IP', '10.1.2.3'), (3, 'EMAIL', 'x@acme.it')) AS v(name, type, value)")
+def undeclared_values(spark, sf_dir):
+    corpus = literal(spark, _UNTOLD, _CORPUS_SCHEMA)
+    return quality.undeclared(quality.occurrences(corpus, "must_find"), detect.exploded(detect.with_spans(corpus), "name")).select("name", "type", "value")
+
+
+_PROPOSED = [(1, "Mario", False), (1, "acme", True), (1, "arius", False), (2, "host db1.acme.it up", False), (2, "nothing", False)]
+
+
+@query(
+    "SELECT 5::BIGINT AS proposals, 3::BIGINT AS correct, 4::BIGINT AS must_find, 2::BIGINT AS covered, 1::BIGINT AS already_found, 1::BIGINT AS known_miss, 0::BIGINT AS closed, 0.6::DOUBLE AS precision, 0.5::DOUBLE AS recall"
+)
+def precision_recall(spark, sf_dir):
+    corpus = literal(spark, _CORPUS, _CORPUS_SCHEMA).withColumn("known_miss", F.when(F.col("name") == 1, F.expr("array(struct('again' AS value))")).otherwise(F.expr("cast(array() AS array<struct<value:string>>)")))
+    return quality.precision_recall(corpus, literal(spark, _PROPOSED, "name long, value string, overlap boolean"))
+
+
+@query("SELECT event_type, min(value) AS best, quantile_cont(value, 0.5) AS median, count(*) AS runs FROM events WHERE value IS NOT NULL GROUP BY event_type")
+def measurements(spark, sf_dir):
+    return quality.summary(table(spark, sf_dir, "events").where("value is not null").select("event_type", F.col("value").alias("seconds")), "event_type")
+
+
 @query(f"WITH {O.spans('conversations', 'conv_id', 'text')} SELECT type, count(*) AS matches, count(DISTINCT conv_id) AS files FROM spans GROUP BY type")
 def false_positive_sweep(spark, sf_dir):
     d = detect.with_spans(table(spark, sf_dir, "conversations"))
@@ -643,14 +733,15 @@ def prune_maps(spark, sf_dir):
 
 
 @query(
-    f"WITH {O.numbered()}, s AS (SELECT doc_id, count(*) AS n FROM spans GROUP BY 1), m AS (SELECT doc_id, count(*) AS n FROM numbered GROUP BY 1) SELECT count(*) FILTER (n_chars <= 20000) AS scanned, count(*) FILTER (n_chars <= 20000 AND s.n > 0) AS changed, "
-    "coalesce(sum(m.n) FILTER (n_chars <= 20000), 0)::BIGINT AS placeholders, count(*) FILTER (n_chars > 20000) AS skipped, coalesce(bool_or(n_chars <= 20000 AND s.n > 0), false) AS sensitive FROM documents LEFT JOIN s USING (doc_id) LEFT JOIN m USING (doc_id)"
+    f"WITH {O.numbered()}, s AS (SELECT doc_id, count(*) AS n FROM spans GROUP BY 1), m AS (SELECT doc_id, count(*) AS n FROM numbered GROUP BY 1), d AS (SELECT doc_id, octet_length(encode(text)) <= {files.MAX_BYTES} AS fits FROM documents) "
+    "SELECT count(*) FILTER (fits) AS scanned, count(*) FILTER (fits AND s.n > 0) AS changed, "
+    "coalesce(sum(m.n) FILTER (fits), 0)::BIGINT AS placeholders, count(*) FILTER (NOT fits) AS skipped, coalesce(bool_or(fits AND s.n > 0), false) AS sensitive FROM d LEFT JOIN s USING (doc_id) LEFT JOIN m USING (doc_id)"
 )
 def batch_totals(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    done = placeholders.anonymize(detect.with_spans(d))
-    rows = done.select(F.when(F.col("n_chars") > 20000, "too large").alias("skipped"), F.size("spans").alias("n_spans"), F.size("entries").alias("n_placeholders"))
-    return files.batch_totals(rows)
+    """Every document as a file; one over the limit is not looked at."""
+    d = documents(spark, sf_dir).withColumn("skipped", F.when(F.octet_length("text") > files.MAX_BYTES, "too large"))
+    done = placeholders.anonymize(detect.with_spans(d.withColumn("text", F.when(F.col("skipped").isNull(), F.col("text")))))
+    return files.batch_totals(done.select("skipped", F.size("spans").alias("n_spans"), F.size("entries").alias("n_placeholders")))
 
 
 @query("SELECT sha256(string_agg(length(n_name) || ':' || n_name || strlen(encode(n_name)::VARCHAR) || ':' || sha256(n_name), '' ORDER BY n_name)) AS fingerprint FROM nation".replace("strlen(encode(n_name)::VARCHAR)", "length(n_name)"))
@@ -688,6 +779,118 @@ def map_json(spark, sf_dir):
     return mapstore.parsed(literal(spark, _JSON, "id long, json string")).select("id", "valid")
 
 
+# ---- containers, folders, reports ---------------------------------------------------------------------------------------------
+
+
+def _packed(*parts: tuple[str, bytes]) -> bytearray:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, data in parts:
+            z.writestr(name, data)
+    return bytearray(out.getvalue())
+
+
+_BODY = b"<w:document><w:p><w:r><w:t>Mail info@</w:t></w:r><w:r><w:t>acme.it</w:t></w:r></w:p><w:p><w:t>IT60X0542811101000000123456 &amp; 10.1.2.3</w:t></w:p></w:document>"
+_WIDE = "host db01.acme.it nel testo lungo"
+
+
+def _office(spark) -> DataFrame:
+    rows = [
+        ("good.docx", _packed(("word/document.xml", _BODY), ("wide.txt", _WIDE.encode("utf-16-le")), ("img.png", b"\x89PNG\x00\x01"))), ("cross.docx", _packed(("d.xml", b"<w:p><w:t>Via Roma</w:t></w:p><w:p><w:t>12</w:t></w:p>"))),
+        ("bomb.docx", _packed_bomb()), ("text.docx", _packed(("a.txt", b"\x00\xff\x00\x01\x02" * 10))), ("none.zip", bytearray(b"PK\x03\x04 no")),
+    ]
+    return literal(spark, rows, "path string, content binary")
+
+
+def _packed_bomb() -> bytearray:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("a.xml", "0" * 3_000_000)
+    return bytearray(out.getvalue())
+
+
+@query(
+    "SELECT path, name, codec, refused FROM (VALUES ('good.docx', 'word/document.xml', 'utf-8', false), ('good.docx', 'wide.txt', 'utf-16-le', false), ('good.docx', 'img.png', NULL, false), ('cross.docx', 'd.xml', 'utf-8', false), "
+    "('bomb.docx', NULL, NULL, true), ('text.docx', NULL, NULL, true), ('none.zip', NULL, NULL, true)) AS v(path, name, codec, refused)"
+)
+def container_parts(spark, sf_dir):
+    """Parts with their encodings; bombs, undecodable texts and what is no container are refused."""
+    return containers.read_parts(_office(spark)).select("path", "name", "codec", F.col("refused").isNotNull().alias("refused"))
+
+
+@query(f"SELECT path, text FROM (VALUES ('good.docx', '    Mail info@    acme.it     IT60X0542811101000000123456 &amp; 10.1.2.3   ' || chr(10) || {O.quote(_WIDE)}), ('cross.docx', '  Via Roma    12  ')) AS v(path, text)")
+def container_texts(spark, sf_dir):
+    return containers.container_text(containers.read_parts(_office(spark)))
+
+
+_BODY_MADE = "<w:document><w:p><w:r><w:t>Mail info@</w:t></w:r><w:r><w:t>acme.it</w:t></w:r></w:p><w:p><w:t>[IBAN-1]&amp; 10.1.2.3</w:t></w:p></w:document>"
+
+
+@query(f"SELECT path, name, new_text, refused FROM (VALUES ('good.docx', 'word/document.xml', {O.quote(_BODY_MADE)}, false), ('good.docx', 'wide.txt', {O.quote(_WIDE)}, false), ('good.docx', 'img.png', NULL, false), ('cross.docx', 'd.xml', NULL, true)) AS v(path, name, new_text, refused)")
+def container_redaction(spark, sf_dir):
+    """One numbering over the parts of a container; a value that crosses paragraphs refuses it."""
+    done = containers.redact_parts(containers.read_parts(_office(spark).where("path in ('good.docx', 'cross.docx')")), families={"legal"})
+    return done.select("path", "name", F.when(F.col("refused").isNull(), F.col("new_text")).alias("new_text"), F.col("refused").isNotNull().alias("refused"))
+
+
+_SPLIT = [
+    ("good", "<w:p><w:t>[EMAIL-</w:t><w:t>1] and [IP-1]</w:t></w:p>"), ("odd", "<w:p><w:t>[EMAIL-1] [IP-7]</w:t></w:p>"), ("apart", "<w:p><w:t>[EMAIL-</w:t></w:p><w:p><w:t>1] [IP-1]</w:t></w:p>"), ("none", "<w:p><w:t>plain</w:t></w:p>")
+]
+
+
+@query("SELECT path, replaced, repaired, remaining, unknown, complete FROM (VALUES ('good', 1, 1, 0, 0, true), ('odd', 1, 0, 0, 1, false), ('apart', 1, 0, 1, 0, false), ('none', 0, 0, 0, 0, false)) AS v(path, replaced, repaired, remaining, unknown, complete)")
+def container_restore(spark, sf_dir):
+    """Split placeholders are put together inside a paragraph; the verdict is of the container that was made."""
+    d = literal(spark, [(p, _packed(("word/document.xml", x.encode()))) for p, x in _SPLIT], "path string, content binary")
+    maps = d.select("path", F.expr("array(named_struct('placeholder', '[EMAIL-1]', 'type', 'EMAIL', 'original', 'a&b@c.it'), named_struct('placeholder', '[IP-1]', 'type', 'IP', 'original', '10.0.0.9'))").alias("entries"))
+    return containers.restored_containers(d, maps)[1].select("path", "replaced", "repaired", "remaining", "unknown", "complete")
+
+
+@query("SELECT path, text FROM (VALUES ('good.docx', '    Mail info@    acme.it     [IBAN-1-ab12]&amp; 10.1.2.3   ' || chr(10) || 'host db01.acme.it nel testo lungo')) AS v(path, text)")
+def container_artifacts(spark, sf_dir):
+    """The redacted container and its text, both of one redaction."""
+    return containers.artifacts(_office(spark).where("path = 'good.docx'"), "ab12", {"legal"}).select("path", "text")
+
+
+@query("SELECT name || '.parquet' AS name, 'binary' AS kind, false AS skipped FROM (VALUES ('benchmark'), ('conversations'), ('customer'), ('documents'), ('embeddings'), ('events'), ('labels'), ('lineitem'), ('nation'), ('orders'), ('pages'), ('part'), ('region'), ('supplier')) AS v(name)")
+def folder_scan(spark, sf_dir):
+    """The tables' own files as a folder: what they are by their bytes."""
+    return files.scan(spark, sf_dir, max_bytes=1 << 40).where(F.col("name").endswith(".parquet")).select("name", F.coalesce("kind", F.lit("")).alias("kind"), F.col("skipped").isNotNull().alias("skipped"))
+
+
+_AUDITED = [(1, "Con Toso wrote to a@acme.it [EMAIL-1]"), (2, "clean"), (3, "Con Toso only"), (4, "Contoso, b@acme.it\nand 10.1.2.3")]
+
+
+@query("SELECT id::BIGINT AS id, verdict, placeholders, total, near FROM (VALUES (1, 'sensitive', 1, 1, 1), (2, 'clean', 0, 0, 0), (3, 'suspicious', 0, 0, 1), (4, 'sensitive', 0, 3, 0)) AS v(id, verdict, placeholders, total, near)")
+def audit_report(spark, sf_dir):
+    d = Engine(dictionary.parse("C|Contoso")[0], key="id").audit(literal(spark, _AUDITED, "id long, text string"))
+    return d.select("id", "verdict", "placeholders", "total", F.size("near").alias("near"))
+
+
+@query(f"WITH {O.numbered()}, n AS (SELECT doc_id, count(*)::INT AS n FROM numbered GROUP BY 1) SELECT doc_id, true AS dry_run, coalesce(n, 0) > 0 AS sensitive, doc_id || '.redacted.txt' AS would_write, coalesce(n, 0) AS entries FROM documents LEFT JOIN n USING (doc_id)")
+def dry_runs(spark, sf_dir):
+    """What redacting every document would write."""
+    done = placeholders.anonymize(found(spark, sf_dir))
+    file = F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))
+    made = done.select("doc_id", reports.dry_run_json(file, files.output_name(file), F.size("entries"), placeholders.counts(F.col("entries"))).alias("j"))
+    return made.select("doc_id", F.from_json("j", "dry_run boolean, sensitive boolean, would_write string, entries int").alias("r")).select("doc_id", "r.*")
+
+
+@query("SELECT seq, event, text FROM (VALUES (0, 'start', NULL), (1, 'delta', '[\"Anna'), (2, 'delta', '\", \"Ghost\"]'), (3, 'done', 'Anna')) AS v(seq, event, text)")
+def suggest_events(spark, sf_dir):
+    """A stream of deltas and the report behind it."""
+    events = suggest.events("Mario meets Anna.", [], lambda piece: iter(['["Anna', '", "Ghost"]']))
+    rows = [(k, e["event"], e.get("text") or (",".join(c["value"] for c in e["report"]["candidates"]) if "report" in e else None)) for k, e in enumerate(events)]
+    return literal(spark, rows, "seq int, event string, text string")
+
+
+@query("SELECT value, taken FROM (VALUES ('Fabrikam', true), ('CONTOSO', false), ('Elsewhere', false), ('a|b', false)) AS v(value, taken)")
+def approvals(spark, sf_dir):
+    """Chosen names that the dictionaries in force don't hold are appended."""
+    _, taken, refused = dictionary.approve(spark, "mine", "A|Contoso\n", [("c", "Fabrikam"), ("b", "CONTOSO"), ("e", "Elsewhere"), ("d", "a|b")], {"other": "X|elsewhere\n"})
+    return literal(spark, [(v, True) for v in taken] + [(v, False) for v in refused], "value string, taken boolean")
+
+
 # ---- requests and answers -----------------------------------------------------------------------------------------------------
 
 _FRAMES = [(1, '{"jsonrpc":"2.0","id":"7","method":"tools/call","params":{"name":"check","text":"mail a@acme.it"}}'), (2, "{broken"), (3, "[1,2]"), (4, '{"jsonrpc":"2.0","id":"8","method":"nope"}'), (5, '{"id":"9","method":"ping"}'), (6, "   "), (7, '{"jsonrpc":"2.0","id":"10","method":"tools/call","params":{"name":"anonymize","text":"clean"}}')]
@@ -785,8 +988,9 @@ def tag_collisions(spark, sf_dir):
     return reports.collisions(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("seed")), 80, 3)
 
 
-@query("SELECT lpad(c.o_orderkey::VARCHAR, 12, '0') AS map_id, CASE WHEN c.o_orderkey % 2 = 0 THEN 'C:\\maps\\run/' || c.o_orderkey || '.txt/' END AS source FROM orders c WHERE c.o_orderkey < 200")
+@query("SELECT lpad(o_orderkey::VARCHAR, 12, '0') AS map_id, CASE WHEN o_totalprice > 150000 THEN 'C:\\maps\\run/' || o_orderkey || '.txt/' END AS source FROM orders")
 def restore_provenance(spark, sf_dir):
-    maps = _maps(spark, sf_dir)
-    restored = maps.where("map_id < '000000000200'").select("map_id")
-    return reports.provenance(restored, maps.where(F.col("map_id").cast("int") % 2 == 0)).select("map_id", "source")
+    """All orders as restored documents; the maps of the dear ones are still there."""
+    restored = _maps(spark, sf_dir).select("map_id")
+    dear = table(spark, sf_dir, "orders").where("o_totalprice > 150000").select(F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("map_id"))
+    return reports.provenance(restored, _maps(spark, sf_dir).join(dear, "map_id", "left_semi")).select("map_id", "source")

@@ -9,21 +9,19 @@ from __future__ import annotations
 import codecs
 import io
 import re
-import uuid
 import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from veilum.functions import patterns as P
 from veilum.functions.offsets import empty
-from veilum.operators import detect, placeholders
-from veilum.operators.restore import put_originals, xml_protect
+from veilum.operators import detect, dictionary, placeholders
+from veilum.operators.restore import put_originals, remaining, unknown, xml_protect
 
 MAX_PART, MAX_TOTAL, MAX_RATIO, RATIO_FLOOR = 64 << 20, 256 << 20, 200, 4096
 PARTS = "path string, part_no int, name string, codec string, text string, view string, content binary, refused string"
@@ -193,12 +191,14 @@ def _edited_text(text, edits):
     return text if text is None or edits is None else edited(text, [([(r["start"], r["end"]) for r in e["ranges"]], e["token"]) for e in edits])
 
 
-def redact_parts(parts: DataFrame, tag: str | None = None, families=None) -> DataFrame:
+def redact_parts(parts: DataFrame, tag: Column | str | None = None, families=None, entries: list | None = None) -> DataFrame:
     """Parts with new_text, and for each container entries (one numbering over all parts), leftovers and refused.
 
     A container is refused if a value crosses containers of text, and if anything is still found in the new views.
+    ``entries``: a dictionary, scanned in the views as well.
     """
-    found = detect.with_spans(parts, "view", families=families).withColumn("spans", F.coalesce("spans", empty(detect.FOUND)))
+    found = detect.with_spans(dictionary.with_hits(parts, entries, "view"), "view", "hits", families).drop("hits") if entries else detect.with_spans(parts, "view", families=families)
+    found = found.withColumn("spans", F.coalesce("spans", empty(detect.FOUND)))
     kind = "array<struct<ranges:array<struct<start:int,end:int>>,value:string,crossed:array<string>>>"
     cut = _added(found, "__v_f", kind, _fragments_of, "text", "spans")
     cut = cut.withColumn("cut", F.arrays_zip("spans", F.col("__v_f").alias("f"))).drop("__v_f")
@@ -206,16 +206,20 @@ def redact_parts(parts: DataFrame, tag: str | None = None, families=None) -> Dat
     values = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part_no", "cut"))), lambda p: p["cut"]))
     whole = cut.groupBy("path").agg(
         F.array_join(F.collect_list("view"), "\n").alias("__v_all"),
+        F.first(tag if isinstance(tag, Column) else F.lit(tag)).cast("string").alias("__v_tag"),
         F.transform(values, lambda c: F.struct(c["start"].alias("start"), c["type"].alias("type"), c["value"].alias("value"))).alias("__v_values"),
         F.array_sort(F.array_distinct(F.flatten(F.flatten(F.collect_list(F.transform("cut", lambda c: c["crossed"])))))).alias("crossed"),
     )
-    numbered = whole.withColumn("entries", placeholders.entries(F.col("__v_all"), F.col("__v_values"), tag)).select(F.col("path").alias("__v_path"), "entries", "crossed")
+    numbered = whole.withColumn("entries", placeholders.entries(F.col("__v_all"), F.col("__v_values"), F.col("__v_tag"))).select(F.col("path").alias("__v_path"), "entries", "crossed")
     joined = cut.join(numbered, F.col("path") == F.col("__v_path")).drop("__v_path")
     token = lambda c, listed: F.get(F.filter(listed, lambda e: (e["type"] == c["type"]) & (e["original"] == c["value"])), F.lit(0))["placeholder"]
     edits = F.transform("cut", lambda c: F.struct(c["ranges"].alias("ranges"), token(c, F.col("entries")).alias("token")))
     done = _added(joined.withColumn("__v_edits", edits), "new_text", "string", _edited_text, "text", "__v_edits")
     done = _added(done.drop("__v_edits"), "__v_view", "string", lambda t: None if t is None else view_of(t), "new_text")
-    done = done.withColumn("leftovers", F.when(F.col("__v_view").isNotNull(), F.size(detect.spans_of("__v_view", None, families))).otherwise(0))
+    if entries:
+        done = dictionary.with_hits(done, entries, "__v_view")
+    left = F.size(detect.spans_of("__v_view", "hits" if entries else None, families))
+    done = done.withColumn("leftovers", F.when(F.col("__v_view").isNotNull(), left).otherwise(0)).drop("hits")
     crossing = F.when(F.size("crossed") > 0, F.concat(F.lit("a value crosses "), F.array_join("crossed", ", ")))
     return done.withColumn("refused", F.coalesce("refused", crossing, F.when(F.col("leftovers") > 0, F.lit("values are left in the output")))).drop("__v_view", "spans", "cut", "crossed")
 
@@ -240,26 +244,6 @@ def packed(parts: DataFrame, original: DataFrame) -> DataFrame:
     return joined.select("path", pack("content", "changes").alias("content"))
 
 
-def write_containers(made: DataFrame, folder: str, name: str = "name") -> DataFrame:
-    """Write ``made`` (name, content) as files of a folder on any file system that pyarrow reaches; returns name, bytes.
-
-    A file is written under another name and moved, so that a lost task leaves no half of it.
-    """
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        store, root = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", folder))
-        store.create_dir(root, recursive=True)
-        for batch in batches:
-            for target, content in zip(batch[name], batch["content"], strict=True):
-                draft = f"{root}/.{uuid.uuid4().hex}"
-                with store.open_output_stream(draft) as out:
-                    out.write(content)
-                store.move(draft, f"{root}/{target}")
-            yield pd.DataFrame({"name": batch[name], "bytes": [len(c) for c in batch["content"]]})
-
-    return made.select(name, "content").mapInPandas(rows, "name string, bytes long")
-
-
 def restored_parts(parts: DataFrame, maps: DataFrame) -> DataFrame:
     """``parts`` joined with ``maps`` (path, entries): new_text with originals escaped for markup, replaced, split tokens
     put together where they stand in one container of text."""
@@ -299,3 +283,42 @@ def _plain_fragments(xml: str, start: int, end: int) -> dict:
             paths.append(tuple(e for e in path if e[0] not in _INLINE))
         at += b - a
     return {"ranges": ranges, "crossed": any(p != paths[0] for p in paths[1:])}
+
+
+def artifacts(files: DataFrame, tag: str | None = None, families=None, entries: list | None = None) -> DataFrame:
+    """path, content, text, entries of each container that can be redacted: one redaction, from whose result the text is
+    taken, so that both have the same placeholders and one map."""
+    parts = redact_parts(read_parts(files), tag, families, entries)
+    made = packed(parts, files)
+    texts = container_text(read_parts(made))
+    maps = parts.groupBy("path").agg(F.first("entries").alias("entries"))
+    return made.join(texts, "path").join(maps, "path")
+
+
+def restored_containers(files: DataFrame, maps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``files`` (path, content) with the originals of ``maps`` (path, entries) put back, and a verdict for each.
+
+    The verdict comes from what was made, read again: path, replaced, repaired, remaining, remaining_parts, unknown,
+    unreadable_parts, complete (nothing left, unknown or unreadable, and something replaced).
+    """
+    parts = restored_parts(read_parts(files), maps)
+    made = packed(parts, files)
+    counts = parts.groupBy("path").agg(F.sum("replaced").cast("int").alias("replaced"), F.sum("repaired").cast("int").alias("repaired"), F.max("refused").alias("unreadable"))
+    again = read_parts(made).join(maps.select("path", "entries"), "path", "left").withColumn("entries", F.coalesce("entries", empty(placeholders.ENTRY)))
+    seen = again.withColumn("seen", visible_of("text")).withColumn("left", remaining(F.col("seen"), F.col("entries"))).withColumn("odd", unknown(F.col("seen"), F.col("entries")))
+    told = seen.groupBy("path").agg(
+        F.coalesce(F.sum("left"), F.lit(0)).cast("int").alias("remaining"), F.array_sort(F.collect_list(F.when(F.col("left") > 0, F.col("name")))).alias("remaining_parts"), F.coalesce(F.sum("odd"), F.lit(0)).cast("int").alias("unknown")
+    )
+    out = counts.join(told, "path", "left")
+    whole = F.col("unreadable").isNull() & (F.col("remaining") == 0) & (F.col("unknown") == 0) & (F.col("replaced") + F.col("repaired") > 0)
+    return made, out.withColumn("complete", F.coalesce(whole, F.lit(False)))
+
+
+def visible_of(column: str):
+    """The texts between markup, nothing between them: as a reader sees a part."""
+
+    @pandas_udf("string")
+    def seen(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else "".join(t[a:b] for a, b, _ in pieces(t)))
+
+    return seen(F.col(column))

@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
+import os
+import re
+import secrets
+import time
+import uuid
+from collections.abc import Iterator, Sequence
+from typing import IO
+from urllib.parse import unquote
+
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 HEAD, WINDOW, MAX_BYTES = 8192, 1032, 12 * 1024 * 1024
 
@@ -45,21 +55,110 @@ def text_of(content: Column) -> Column:
     return F.make_valid_utf8(content.cast("string"))
 
 
-def scan(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES, allow: Column | None = None, private: Sequence[str] = ()) -> DataFrame:
-    """All files under a folder: path, name, bytes, kind, text (of text files), skipped (why a file isn't read).
+def _plain_path(path: str) -> str:
+    """The path of a file: URI on this machine's file systems; other URIs as they are."""
+    return re.sub("^file:/+", "/", path)
+
+
+def _target_of(paths: pd.Series) -> pd.Series:
+    """Where links lead; stores other than file systems have none."""
+    return paths.map(lambda p: os.path.realpath(unquote(q)) if (q := _plain_path(p)).startswith("/") else p)
+
+
+def listing(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES, allow=None, private: Sequence[str] = ()) -> DataFrame:
+    """All files under a folder, by their metadata alone: path, name, relative, bytes, skipped (why a file isn't to be read).
 
-    Own outputs, files over ``max_bytes`` and files under the ``private`` folders (the map store, say) are named and not read.
+    Skipped are links that lead out of the folder or into a ``private`` one (the map store, say), files in a private folder,
+    own outputs, files over ``max_bytes`` and, if ``allow`` (a function of name and path columns) is given, what it allows.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name = F.element_at(F.split("path", "/"), -1)
-    listed = files.select("path", name.alias("name"), F.col("length").alias("bytes"), "modificationTime", "content")
+    root = os.path.realpath(_plain_path(path)) if _plain_path(path).startswith("/") else path.rstrip("/")
+    inside = lambda column, folder: (column == folder) | column.startswith(folder.rstrip("/") + "/")
+    listed = files.select("path", name.alias("name"), F.col("length").alias("bytes"), "modificationTime", pandas_udf(_target_of, "string")("path").alias("target"))
     skipped = F.when(F.col("name").rlike(OWN_OUTPUT), "own output").when(F.col("bytes") > max_bytes, "too large")
+    if _plain_path(path).startswith("/"):
+        skipped = F.when(~inside(F.col("target"), root), "link out of the folder").otherwise(skipped)
     for folder in private:
-        skipped = F.coalesce(F.when(F.regexp_replace("path", "^file:/+", "/").startswith(folder.rstrip("/") + "/"), "private"), skipped)
+        skipped = F.when(inside(F.col("target"), os.path.realpath(_plain_path(folder))), "private").otherwise(skipped)
     if allow is not None:
-        skipped = F.coalesce(skipped, F.when(allow, "allowed"))
-    out = listed.withColumn("skipped", skipped).withColumn("kind", F.when(F.col("skipped").isNull(), kind(F.col("content"))))
-    return out.withColumn("text", F.when(F.col("kind") == "text", text_of(F.col("content")))).drop("content")
+        skipped = F.coalesce(skipped, F.when(allow(F.col("name"), F.col("path")), "allowed"))
+    relative = F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), "^" + re.escape(_plain_path(path).rstrip("/")) + "/", "")
+    return listed.select("path", "name", relative.alias("relative"), "bytes", "modificationTime", skipped.alias("skipped"))
+
+
+def _unglobbed(path: str) -> str:
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
+
+
+def contents(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """path, content of these files and no others. (Spark's reader keeps the list of its files on the driver anyway.)"""
+    if not paths:
+        return spark.createDataFrame([], "path string, content binary")
+    return spark.read.format("binaryFile").load([_unglobbed(p) for p in paths]).select("path", "content")
+
+
+def scan(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES, allow=None, private: Sequence[str] = ()) -> DataFrame:
+    """``listing`` with kind and text (of text files): metadata first, then only the files that aren't skipped are opened."""
+    listed = listing(spark, path, max_bytes, allow, private)
+    chosen = [r.path for r in listed.where("skipped is null").select("path").toLocalIterator()]
+    read = contents(spark, chosen).select(F.col("path").alias("__v_path"), kind(F.col("content")).alias("kind"), "content")
+    read = read.select("__v_path", "kind", F.when(F.col("kind") == "text", text_of(F.col("content"))).alias("text"))
+    return listed.join(read, F.col("path") == F.col("__v_path"), "left").drop("__v_path")
+
+
+def from_stream(spark: SparkSession, stream: IO[bytes], name: str = "-") -> DataFrame:
+    """One row path, text: what a stream such as standard input holds."""
+    return spark.createDataFrame([(name, bytearray(stream.read()))], "path string, content binary").select("path", text_of(F.col("content")).alias("text"))
+
+
+def to_stream(texts: DataFrame, stream: IO[str], column: str = "redacted") -> int:
+    """Write a column's texts to a stream such as standard output, row by row; each ends with a line feed."""
+    n = 0
+    for row in texts.select(column).toLocalIterator():
+        if row[0] is not None:
+            stream.write(row[0] if row[0].endswith("\n") else row[0] + "\n")
+            n += 1
+    return n
+
+
+def write_files(made: DataFrame, folder: str, name: str = "name") -> DataFrame:
+    """Write ``made`` (name, content: binary) as files under a folder, readable by their owner; returns name, bytes.
+
+    Names may hold folders, which are made. A file is written under another name and moved, so that a lost task leaves no
+    half of it.
+    """
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, root = fs.FileSystem.from_uri(re.sub("^(?:file:/+|/)", "file:///", folder))
+        for batch in batches:
+            for target, content in zip(batch[name], batch["content"], strict=True):
+                parent = f"{root}/{target}".rpartition("/")[0]
+                store.create_dir(parent, recursive=True)
+                draft = f"{parent}/.{uuid.uuid4().hex}"
+                with store.open_output_stream(draft) as out:
+                    out.write(content)
+                if store.type_name == "local":
+                    os.chmod(draft, 0o600)
+                store.move(draft, f"{root}/{target}")
+            yield pd.DataFrame({"name": batch[name], "bytes": [len(c) for c in batch["content"]]})
+
+    return made.select(name, "content").mapInPandas(rows, "name string, bytes long")
+
+
+def publish(folder: str, name: str, content: bytes, ttl_seconds: int = 3600, now: float | None = None) -> str:
+    """Put a file where its reader can fetch it for a while; returns token/name. What is older than ``ttl_seconds`` goes."""
+    now = time.time() if now is None else now
+    store, root = fs.FileSystem.from_uri(re.sub("^(?:file:/+|/)", "file:///", folder))
+    store.create_dir(root, recursive=True)
+    for info in store.get_file_info(fs.FileSelector(root)):
+        if info.mtime is not None and now - info.mtime.timestamp() > ttl_seconds:
+            store.delete_dir(info.path) if info.type == fs.FileType.Directory else store.delete_file(info.path)
+    token = secrets.token_hex(8)
+    store.create_dir(f"{root}/{token}")
+    with store.open_output_stream(f"{root}/{token}/{name.rpartition('/')[2]}") as out:
+        out.write(content)
+    return f"{token}/{name.rpartition('/')[2]}"
 
 
 def output_name(path: Column, word: str = "redacted") -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import textwrap
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,10 +13,20 @@ WIDTH, HEIGHT, MARGIN, LEADING, SIZE, COLUMNS = 595, 842, 48, 14, 10, 92
 
 
 def wrapped(text: str) -> list[str]:
-    """Lines of at most COLUMNS characters: broken between words, longer words cut."""
+    """Lines of at most COLUMNS characters: broken at spaces, runs of which stay except where a line begins; longer words
+    are cut."""
     out = []
     for line in text.replace("\r\n", "\n").replace("\r", "\n").split("\n"):
-        out += textwrap.wrap(line, COLUMNS, break_long_words=True, break_on_hyphens=False, drop_whitespace=True, replace_whitespace=False, expand_tabs=False) or [""]
+        line = line.lstrip(" ")
+        while len(line) > COLUMNS:
+            space = line.rfind(" ", 1, COLUMNS + 1)
+            if space > 0:
+                out.append(line[:space])
+                line = line[space + 1 :].lstrip(" ")
+            else:
+                out.append(line[:COLUMNS])
+                line = line[COLUMNS:]
+        out.append(line)
     return out
 
 
@@ -28,25 +37,49 @@ def _literal(line: str) -> bytes:
     return b"(" + data + b") Tj"
 
 
+class _File:
+    """A PDF file in the making: numbered objects, their places, the table of places."""
+
+    def __init__(self):
+        self.objects: list[bytes] = []
+
+    def add(self, body: bytes = b"") -> int:
+        self.objects.append(body)
+        return len(self.objects)
+
+    def fill(self, number: int, body: str) -> None:
+        self.objects[number - 1] = body.encode()
+
+    def add_stream(self, data: bytes) -> int:
+        return self.add(b"<< /Length %d >>\nstream\n%s\nendstream" % (len(data), data))
+
+    def written(self, root: int) -> bytes:
+        out, places = bytearray(b"%PDF-1.4\n%\xe2\xe3\xcf\xd3\n"), [b"0000000000 65535 f \n"]
+        for number, body in enumerate(self.objects, start=1):
+            places.append(b"%010d 00000 n \n" % len(out))
+            out += b"%d 0 obj\n%s\nendobj\n" % (number, body)
+        tail = b"xref\n0 %d\n%strailer\n<< /Size %d /Root %d 0 R >>\nstartxref\n%d\n%%%%EOF\n"
+        return bytes(out) + tail % (len(places), b"".join(places), len(places), root, len(out))
+
+
+def _shown(lines: list[str]) -> bytes:
+    """The drawing of one page: a text object that starts at the top left and goes down line by line."""
+    setup = f"BT\n/F1 {SIZE} Tf\n{LEADING} TL\n1 0 0 1 {MARGIN} {HEIGHT - MARGIN - SIZE} Tm\n".encode()
+    return setup + b"".join(_literal(x) + b" T*\n" for x in lines) + b"ET"
+
+
 def pdf(text: str) -> bytes:
     """A PDF 1.4 file in Helvetica and WinAnsi; characters outside it become question marks."""
     lines, rows = wrapped(text), (HEIGHT - 2 * MARGIN) // LEADING
-    pages = [lines[i : i + rows] for i in range(0, len(lines), rows)]
-    bodies = [
-        b"<< /Type /Catalog /Pages 2 0 R >>",
-        f"<< /Type /Pages /Kids [{' '.join(f'{4 + 2 * k} 0 R' for k in range(len(pages)))}] /Count {len(pages)} >>".encode(),
-        b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica /Encoding /WinAnsiEncoding >>",
-    ]
-    for k, page in enumerate(pages):
-        stream = f"BT /F1 {SIZE} Tf {LEADING} TL {MARGIN} {HEIGHT - MARGIN - SIZE} Td\n".encode() + b" T*\n".join(_literal(x) for x in page) + b" ET"
-        bodies.append(f"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 {WIDTH} {HEIGHT}] /Resources << /Font << /F1 3 0 R >> >> /Contents {5 + 2 * k} 0 R >>".encode())
-        bodies.append(f"<< /Length {len(stream)} >>\nstream\n".encode() + stream + b"\nendstream")
-    out, places = b"%PDF-1.4\n%\xe2\xe3\xcf\xd3\n", []
-    for number, body in enumerate(bodies, start=1):
-        places.append(len(out))
-        out += f"{number} 0 obj\n".encode() + body + b"\nendobj\n"
-    table = "".join(f"{p:010d} 00000 n \n" for p in places)
-    return out + f"xref\n0 {len(places) + 1}\n0000000000 65535 f \n{table}trailer\n<< /Size {len(places) + 1} /Root 1 0 R >>\nstartxref\n{len(out)}\n%%EOF\n".encode()
+    file = _File()
+    font = file.add(b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica /Encoding /WinAnsiEncoding >>")
+    tree, kids = file.add(), []
+    for at in range(0, len(lines), rows):
+        drawing = file.add_stream(_shown(lines[at : at + rows]))
+        page = f"<< /Type /Page /Parent {tree} 0 R /MediaBox [0 0 {WIDTH} {HEIGHT}] /Contents {drawing} 0 R /Resources << /Font << /F1 {font} 0 R >> >> >>"
+        kids.append(f"{file.add(page.encode())} 0 R")
+    file.fill(tree, f"<< /Type /Pages /Count {len(kids)} /Kids [{' '.join(kids)}] >>")
+    return file.written(file.add(f"<< /Type /Catalog /Pages {tree} 0 R >>".encode()))
 
 
 def as_pdf(text: Column) -> Column:

@@ -41,11 +41,11 @@ def frames(lines: DataFrame, limit: int = MAX_FRAME) -> DataFrame:
 
 
 def answers(requests: DataFrame) -> DataFrame:
-    """Answers to tool calls of ``frames``: id, tool, verdict, n_found, redacted. Texts over the limit have a null verdict."""
+    """Answers to tool calls of ``frames``, whose size bounds the texts: id, tool, verdict, n_found, redacted."""
     calls = requests.where("error is null and request.method = 'tools/call'").select(
         F.col("request.id").alias("id"), F.col("request.params")["name"].alias("tool"), F.col("request.params")["text"].alias("text")
     )
-    found = redacted_stream(calls.withColumn("text", F.when(F.length("text") <= 2_000_000, F.col("text"))))
+    found = redacted_stream(calls)
     n = F.size("spans")
     return found.select("id", "tool", audit.verdict(n, F.lit(0)).alias("verdict"), n.alias("n_found"), F.when(F.col("tool") == "anonymize", F.col("redacted")).alias("redacted"))
 
@@ -62,7 +62,8 @@ def delta(line: Column) -> Column:
 def rate_limited(events: DataFrame, per_minute: int, burst: int | None = None) -> DataFrame:
     """A stream of events (key, at) with allowed: a token bucket for each key, refilled by event time.
 
-    The state is two numbers a key. Events of a batch are taken in order of time.
+    The state is two numbers a key. Events of a batch are taken in order of time. One bucket for a whole service, as of a
+    server of one process, is the same with one key for all events.
     """
     size, rate = float(burst if burst is not None else max(3, per_minute // 4)), per_minute / 60.0
 

@@ -48,18 +48,26 @@ def running(sizes: Column) -> Column:
 def kept_in_order(items: Column, state: Column, take: Callable, kind: str) -> Column:
     """array<kind>: a fold over items that keeps some. ``take(state, item)`` gives (whether, next state, what is kept).
 
-    Kept elements gather in blocks, for the same reason as in ``running``.
+    A fold copies its state at every step, so it runs over blocks, and inside each over its items: n items that are all kept
+    cost about n * BLOCK + n * n / BLOCK copies.
     """
-    start = F.struct(state.alias("state"), empty(kind).alias("block"), F.array().cast(f"array<array<{kind}>>").alias("done"))
 
-    def step(s, item):
-        whether, after, out = take(s["state"], item)
-        grown = F.array_append(s["block"], out)
-        full = F.struct(after.alias("state"), empty(kind).alias("block"), F.array_append(s["done"], grown).alias("done"))
-        more = F.struct(after.alias("state"), grown.alias("block"), s["done"].alias("done"))
-        return F.when(~whether, s).when(F.size(s["block"]) == BLOCK - 1, full).otherwise(more)
+    def block(first, part):
+        def step(s, item):
+            whether, after, out = take(s["state"], item)
+            return F.when(~whether, s).otherwise(F.struct(after.alias("state"), F.array_append(s["out"], out).alias("out")))
 
-    return F.aggregate(items, start, step, lambda s: F.concat(F.flatten(s["done"]), s["block"]))
+        return F.aggregate(part, F.struct(first.alias("state"), empty(kind).alias("out")), step)
+
+    def folded(a):
+        count = F.ceil(F.size(a) / BLOCK).cast("int")
+        start = F.struct(state.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("done"))
+        add = lambda s, r: F.struct(r["state"].alias("state"), F.array_append(s["done"], r["out"]).alias("done"))
+        step = lambda s, i: let(block(s["state"], F.slice(a, i * BLOCK + 1, F.lit(BLOCK))), lambda r: add(s, r))
+        whole = F.aggregate(F.sequence(F.lit(0), count - 1), start, step, lambda s: F.flatten(s["done"]))
+        return F.when(F.size(a) <= BLOCK, block(state, a)["out"]).otherwise(whole)
+
+    return let(items, folded)
 
 
 def matches(text: Column, pattern: str, group: int = 0) -> Column:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilum.llm._store import written
+from veilum.llm._store import few_tasks, written
 from veilum.llm._words import mixed, rolling, runs_of, split_words, text_slices, word_hashes
 
 WINDOW = 20
@@ -36,12 +36,14 @@ SEED_WORDS = 5
 HOT_SHARE = 8192
 #: Runs counted at once in a task; edges of one bucket on average; edges of one super-k-mer at most.
 COUNT_AT_ONCE, BUCKET_EDGES, ROW_EDGES = 2_000_000, 400_000, 4096
+#: Buckets for each shuffle partition at least, so that partitions are of one size; text bytes handled at once.
+BUCKETS_A_TASK, SLICE = 16, 2 << 20
 
 KEY = "doc_id long, twin long"
 SPANS = f"{KEY}, start int, size int, source_doc long, source_twin long, source_start int"
 #: One row: the super-k-mers of one slice and bucket, each column packed, or the spans that a slice knows itself.
 GRAPH = "bucket long, routes binary, docs binary, twins binary, starts binary, sizes binary, tails binary, known binary"
-PACKED = {"routes": np.uint64, "docs": np.int64, "twins": np.int64, "starts": np.int32, "sizes": np.int32, "tails": np.uint64}
+PACKED = {"routes": np.uint64, "docs": np.int64, "twins": np.int64, "starts": np.int32, "sizes": np.int16, "tails": np.uint64}
 KNOWN = np.dtype([("doc_id", "<i8"), ("twin", "<i8"), ("start", "<i4"), ("size", "<i4"), ("source_doc", "<i8"), ("source_twin", "<i8"), ("source_start", "<i4")])
 NO_ID = -(1 << 63)
 TOP = np.uint64(1 << 63)
@@ -76,7 +78,7 @@ def _count_seeds(seed_words: int, share: int):
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, limit=SLICE):
             words, offsets = split_words(batch.column("text"))
             _, _, at = runs_of(offsets, seed_words)
             if len(at):
@@ -137,7 +139,7 @@ def _paths(doc, twin, place, row, route, first):
     source = first[1:], first[:-1]
     on_path = (doc[source[0]] == doc[source[1]]) & (twin[source[0]] == twin[source[1]]) & (place[source[0]] == place[source[1]] + 1)
     follows &= np.where(again[1:], on_path, route[1:] == route[:-1])
-    begin = _runs(np.append(True, ~follows), ROW_EDGES)
+    begin = _runs(np.append(True, ~follows)[: len(doc)], ROW_EDGES)
     return begin, np.diff(np.append(begin, len(doc))), again[begin]
 
 
@@ -168,7 +170,7 @@ def _as_batch(spans: np.ndarray) -> pa.RecordBatch:
 
 def _graph(window: int, seed_words: int, hot: np.ndarray, buckets: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, limit=SLICE):
             docs, twins = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "twin"))
             order = np.lexsort([twins, docs])  # within a slice too, the smaller doc_id is earlier
             row, place, route, tail = _edges(batch.column("text").take(pa.array(order)), window, seed_words, hot)
@@ -259,6 +261,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def _hot_seeds(texts: DataFrame, seed_words: int, share: int) -> tuple[np.ndarray, int]:
     """Sorted hashes of hot runs, at most ``share`` of them, and the number of all runs."""
     counts = texts.select("text").mapInArrow(_count_seeds(seed_words, share), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
+    counts = written(counts.coalesce(few_tasks(texts.sparkSession)), "seed-counts")
     total = counts.where("seed = -1").first()
     if total is None:
         return np.zeros(0, np.uint64), 0
@@ -270,10 +273,10 @@ def _spans_of(texts: DataFrame, window: int, seed_words: int) -> DataFrame:
     spark = texts.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     hot, total = _hot_seeds(texts, seed_words, max(HOT_SHARE, 4 * parts))
-    buckets = max(parts, total // BUCKET_EDGES)
+    buckets = max(BUCKETS_A_TASK * parts, total // BUCKET_EDGES)
     graph = texts.mapInArrow(_graph(window, seed_words, hot, buckets), GRAPH)
-    met = graph.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_resolve, SPANS)
-    return written(_glued(met), "spans")
+    met = graph.repartitionById(parts, F.pmod("bucket", F.lit(parts)).cast("int")).sortWithinPartitions("bucket").mapInArrow(_resolve, SPANS)
+    return written(_glued(met).coalesce(few_tasks(spark, 4)), "spans")
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, seed_words: int = SEED_WORDS) -> DataFrame:
@@ -315,7 +318,7 @@ class _Spelled:
 
 def _source_digests(window: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, limit=SLICE):
             spelled = _Spelled(batch.column("text"))
             row, start, size, a, b, inside, _ = spelled.places(batch.column("wants"), window)
             row, start, size = row[inside], start[inside], size[inside]
@@ -328,7 +331,7 @@ def _source_digests(window: int):
 
 def _cut(window: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, limit=SLICE):
             spelled = _Spelled(batch.column("text"))
             offsets, n = spelled.offsets, len(spelled.words)
             _, _, _, a, b, inside, flat = spelled.places(batch.column("spans"), window)

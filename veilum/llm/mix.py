@@ -44,7 +44,7 @@ def _numbered(df: DataFrame, order: list[Column], label: str) -> DataFrame:
 
 
 def source_targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, max_repeats: float = MAX_REPEATS) -> DataFrame:
-    """Columns source, source_size, n_docs -> plus target and __v_rank (place in code-point order, null last).
+    """Columns source, source_size and others -> plus target and __v_rank (place in code-point order, null last).
 
     Targets are min(level * weight, max_repeats * size) with the level at which they add up to share * all words: what
     resharing the excess by weight, again and again, ends with. Each round reads two sums.
@@ -64,39 +64,41 @@ def source_targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, ma
     return table.withColumn("target", F.least("__v_cap", level * F.col("__v_weight"))).drop("__v_weight", "__v_cap")
 
 
+def _drawn(rows: DataFrame, ties: list[Column], label: str, weights, share: float, max_repeats: float, seed: int) -> DataFrame:
+    """``rows`` (with source and __v_size), in order of source, size and ``ties``, with __v_source_size, __v_target and __v_copies."""
+    ranked = _numbered(rows, [F.col("source").asc_nulls_last(), F.col("__v_size"), *ties], label)
+    sources = ranked.groupBy("source").agg(F.sum("__v_size").alias("source_size"), F.min("__v_rank").alias("first"))
+    hexed = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("source"), F.lit("")))), 1, 8)
+    offset = F.conv(hexed, 16, 10).cast("double") / float(1 << 32)
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    named = {"source": F.col("source"), "source_size": F.col("source_size"), "target": F.col("target"), "offset": offset, "rate": rate, "first": F.col("first")}
+    plan = source_targets(sources, weights, share, max_repeats).select(*[c.alias(f"__v_{k}") for k, c in named.items()])
+    crossed = lambda i: F.floor(F.col("__v_offset") + i.cast("double") * F.col("__v_rate"))
+    place = F.col("__v_rank") - F.col("__v_first")
+    joined = ranked.join(plan, F.col("source").eqNullSafe(F.col("__v_source")))
+    return joined.withColumn("__v_copies", (crossed(place + 1) - crossed(place)).cast("long")).drop("__v_rank", "__v_source", "__v_offset", "__v_rate", "__v_first")
+
+
 def copies(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_repeats: float = MAX_REPEATS, seed: int = SEED) -> DataFrame:
     """doc_id, source, size, source_size, target, copies: one row per row of ``docs``.
 
     Null and blank texts have size 0 (copies of them add no words); a null source is a source of its own; repeated rows
     are separate documents; an empty table gives no rows. Columns beyond doc_id, text and source are ignored.
     """
-    sized = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
-    ranked = _numbered(sized, [F.col("source").asc_nulls_last(), F.col("size"), F.col("doc_id")], "mix-order")
-    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
-    hexed = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("source"), F.lit("")))), 1, 8)
-    offset = F.conv(hexed, 16, 10).cast("double") / float(1 << 32)
-    firsts = ranked.groupBy("source").agg(F.min("__v_rank").alias("__v_first"))
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    targets = source_targets(sources, weights, share, max_repeats)
-    plan = targets.select("source", "source_size", "target", offset.alias("__v_offset"), rate.alias("__v_rate")).join(
-        firsts.withColumnRenamed("source", "__v_source"), F.col("source").eqNullSafe(F.col("__v_source"))
-    ).drop("source")
-    place = F.col("__v_rank") - F.col("__v_first")
-    crossed = lambda i: F.floor(F.col("__v_offset") + i.cast("double") * F.col("__v_rate"))
-    return (
-        ranked.join(plan, F.col("source").eqNullSafe(F.col("__v_source")))
-        .select("doc_id", "source", "size", "source_size", "target", (crossed(place + 1) - crossed(place)).cast("long").alias("copies"))
-    )
+    sized = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("__v_size")), "mix-sizes")
+    drawn = _drawn(sized, [F.col("doc_id")], "mix-order", weights, share, max_repeats, seed)
+    return drawn.select("doc_id", "source", *[F.col(f"__v_{c}").alias(c) for c in ("size", "source_size", "target", "copies")])
 
 
-def mix(docs: DataFrame, **how) -> DataFrame:
-    """The mixed corpus: each document's row as often as it was drawn, with ``copy`` counting from 1.
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_repeats: float = MAX_REPEATS, seed: int = SEED) -> DataFrame:
+    """The mixed corpus: each row as often as it was drawn, with ``copy`` counting from 1; an input column copy is replaced.
 
-    Rows of ``docs`` that share a doc_id, source and size are drawn alike: as often as the first of them.
+    Rows are drawn as by ``copies``, each for itself, repeated ones and those without an id too: they are sorted with their
+    texts, which so travel once, and emitted from the sorted table.
     """
-    drawn = copies(docs, **how).where("copies > 0").groupBy(F.col("doc_id").alias("__v_doc"), F.col("source").alias("__v_source"), F.col("size").alias("__v_size")).agg(F.max("copies").alias("__v_copies"))
-    joined = docs.join(drawn, F.col("doc_id").eqNullSafe(F.col("__v_doc")) & F.col("source").eqNullSafe(F.col("__v_source")) & (word_count(F.col("text")) == F.col("__v_size")))
-    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "__v_copies"))).drop("__v_doc", "__v_source", "__v_size", "__v_copies")
+    sized = docs.withColumn("__v_size", word_count(F.col("text")))
+    drawn = _drawn(sized, [F.col("doc_id"), F.xxhash64("text")], "mix-rows", weights, share, max_repeats, seed).where("__v_copies > 0")
+    return drawn.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "__v_copies"))).drop("__v_size", "__v_source_size", "__v_target", "__v_copies")
 
 
 def op1(docs: DataFrame) -> DataFrame:

@@ -5,8 +5,8 @@ cosines, whose inner products approximate a Gaussian kernel. Each partition sums
 of at most PARTS partitions are added up and solved for ridge scores. Isotonic regression on training rows kept aside turns
 scores into probabilities, and linear interpolation between its steps keeps them strictly ordered where it can.
 
-Training takes labelled rows whose crc32(doc_id) mod 5 is not 0, at most MAX_ROWS of them, those of smallest hash. Statistics
-are computed from whole texts of all rows, once, and written.
+Training takes labels whose crc32(doc_id) mod 5 is not 0, at most MAX_ROWS of them, those of smallest hash. Statistics are
+computed from whole texts of all rows, once, and written.
 """
 
 from __future__ import annotations
@@ -179,14 +179,18 @@ def isotonic(x: np.ndarray, total: np.ndarray, count: np.ndarray) -> tuple[np.nd
     return np.array([p[0] / p[2] for p in pools]), np.array([p[1] / p[2] for p in pools])
 
 
-def fit(stats: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
-    """Fit on labelled rows outside fold 0: ridge on folds 1 to 3, calibration on fold 4 (on all where either has no rows).
+def chosen_labels(labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+    """__v_doc, quality: the labels to learn from, at most ``max_rows``, none of fold 0. A written table, small by that bound."""
+    marked = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").alias("__v_doc"), F.col("quality").cast("double").alias("quality"))
+    return written(bounded_sample(marked.where(fold(F.col("__v_doc")) != 0), "__v_doc", max_rows), "labels")
+
+
+def fit(stats: DataFrame, chosen: DataFrame) -> Model:
+    """Fit on the statistics of ``chosen_labels``: ridge on folds 1 to 3, calibration on fold 4 (on all where either has no rows).
 
     Without labelled rows every score is 1.
     """
-    marked = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").alias("__v_doc"), F.col("quality").cast("double").alias("quality"))
-    rows = stats.join(marked, F.col("doc_id") == F.col("__v_doc")).where(fold(F.col("doc_id")) != 0)
-    rows = bounded_sample(rows.select("doc_id", "quality", *STATS), "doc_id", max_rows)
+    rows = stats.join(F.broadcast(chosen), F.col("doc_id") == F.col("__v_doc")).select("doc_id", "quality", *STATS)
     rows = written(rows.repartition(PARTS, "doc_id"), "training")
     moments = rows.agg(F.count("*"), *[F.mean(s) for s in STATS], *[F.stddev_pop(s) for s in STATS]).first()
     none = np.zeros(0)
@@ -222,7 +226,7 @@ def _scores(model: Model):
 def scores(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs``; repeated rows score alike, null texts as blank ones."""
     stats = written(statistics(docs), "statistics")
-    scored = stats.mapInArrow(_scores(fit(stats, labels, max_rows)), "doc_id long, score double")
+    scored = stats.mapInArrow(_scores(fit(stats, chosen_labels(labels, max_rows))), "doc_id long, score double")
     return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
@@ -235,14 +239,14 @@ def _passing(model: Model):
 
 
 def accepted(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    """The rows of ``docs`` that the classifier predicts as 1, with all their columns.
+    """The rows of ``docs`` that the classifier predicts as 1, with all their columns; it is the one that ``scores`` fits.
 
-    Only labelled rows' statistics are computed for the fit; the filter then runs where the rows are, without a join.
+    Only the chosen labelled rows' statistics are computed for the fit, their ids being broadcast; the filter then runs where
+    the rows are, without a join. Null and blank texts are scored like others, repeated rows alike; an empty table stays empty.
     """
-    marked = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").alias("__v_doc")).distinct()
-    chosen = bounded_sample(marked.where(fold(F.col("__v_doc")) != 0), "__v_doc", max_rows)
-    stats = statistics(docs.join(chosen, F.col("doc_id") == F.col("__v_doc"), "left_semi"))
-    return docs.mapInArrow(_passing(fit(written(stats, "statistics"), labels, max_rows)), docs.schema)
+    chosen = chosen_labels(labels, max_rows)
+    stats = statistics(docs.join(F.broadcast(chosen.select("__v_doc").distinct()), F.col("doc_id") == F.col("__v_doc"), "left_semi"))
+    return docs.mapInArrow(_passing(fit(written(stats, "statistics"), chosen)), docs.schema)
 
 
 def op8(docs: DataFrame, labels: DataFrame) -> DataFrame:

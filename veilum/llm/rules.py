@@ -2,7 +2,7 @@
 
 Learning is sequential covering: a rule is grown by the threshold test with the most FOIL gain, pruned on rows kept aside, and
 taken if it still finds low quality there; the rows it covers are removed and the next rule is grown. The list becomes one
-ordered conditional expression. It is learned from at most MAX_ROWS labelled rows, those of smallest hash.
+ordered conditional expression. It is learned from at most MAX_ROWS labels, those of smallest hash.
 """
 
 from __future__ import annotations
@@ -200,8 +200,9 @@ def verdict(rules: list[list[Test]], row: dict[str, Column]) -> Column:
 def learn_from(stats: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> list[list[Test]]:
     """``stats``: doc_id and STATS. ``labels``: doc_id, quality. Rows without a label or an id don't count."""
     marked = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").alias("__v_doc"), "quality")
-    joined = stats.join(marked, F.col("doc_id") == F.col("__v_doc"))
-    rows = bounded_sample(joined.select("doc_id", "quality", *STATS), "doc_id", max_rows).collect()
+    chosen = F.broadcast(bounded_sample(marked, "__v_doc", max_rows))
+    rows = stats.join(chosen, F.col("doc_id") == F.col("__v_doc")).select("doc_id", "quality", *STATS)
+    rows = bounded_sample(rows, "doc_id", max_rows).collect()  # a repeated id has a row for each of its texts
     table = {name: np.array([r[name] for r in rows], float) for name in STATS}
     return learn({name: f(table) for name, f in FEATURES.items()}, np.array([r.quality == 0 for r in rows], bool))
 

@@ -6,8 +6,9 @@ bit-sliced: 64 planes hold one bit of many fingerprints each, and for many queri
 carry-save counters of two bits with a sticky overflow; a tile is left as soon as every counter has overflowed. A bucket
 sends only a spanning forest of its links, and components come from star contraction.
 
-A bucket larger than CELL is cut into a grid of cells that are compared by themselves: nothing is dropped, and no task
-holds more than about two sides of a cell.
+Fingerprints of a bucket larger than CELL are dealt out by more blocks; a bucket that is still larger with the most blocks is
+cut into a grid of cells that are compared by themselves: nothing is dropped, and no task holds more than about two sides
+of a cell.
 """
 
 from __future__ import annotations
@@ -20,8 +21,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from veilum.llm._store import written
+from veilum.llm._store import spread_join, written
 from veilum.llm._words import text_slices
 from veilum.llm.components import components
 
@@ -31,7 +33,6 @@ SHINGLE = 3
 #: Fingerprints on one side of a cell, and in a tile of the comparison.
 CELL = 8192
 QUERIES, TILE = 256, 2048
-FORMAT = "doc_id long, fp long"
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -54,14 +55,15 @@ def fingerprint(text: bytes, width: int = SHINGLE, seed: int = SEED) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All columns, and __v_fp."""
     for batch in text_slices(batches):
         found = np.fromiter((fingerprint(t or b"") for t in batch.column("text").cast(pa.binary()).to_pylist()), np.uint64, batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+        yield batch.append_column("__v_fp", pa.array(found.view(np.int64)))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (signed) of every row; null and blank texts have fingerprint 0."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_fingerprints, FORMAT)
+    """``docs`` with __v_fp (signed) of every row; null and blank texts have fingerprint 0."""
+    return docs.mapInArrow(_fingerprints, StructType([*docs.schema.fields, StructField("__v_fp", LongType())]))
 
 
 def within(queries: np.ndarray, tile: np.ndarray, radius: int = RADIUS) -> np.ndarray:
@@ -150,12 +152,16 @@ def _links(radius: int):
 
 def bucket_choice(n: int, radius: int = RADIUS) -> int:
     """Number of blocks: the fewest with which buckets hold CELL / 2 of ``n`` spread fingerprints or fewer on average."""
-    for blocks in range(radius + 1, 2 * radius + 2):
+    for blocks in range(radius + 1, most_blocks(radius) + 1):
         if n / 2 ** (64 * (blocks - radius) // blocks) <= CELL / 2:
             break
     return blocks
 
 
+def most_blocks(radius: int = RADIUS) -> int:
+    return 2 * radius + 1
+
+
 def bucket_keys(fp: Column, blocks: int, radius: int = RADIUS) -> Column:
     """array<long>: for each choice of blocks, the bits that must agree, hashed with the choice's number."""
     edges = [64 * i // blocks for i in range(blocks + 1)]
@@ -167,47 +173,84 @@ def bucket_keys(fp: Column, blocks: int, radius: int = RADIUS) -> Column:
     return F.array(*keys)
 
 
+def _bucketed(values: DataFrame, blocks: int, radius: int) -> tuple[DataFrame, DataFrame]:
+    """fp, key of every bucket, and the keys and sizes of buckets larger than CELL."""
+    rows = values.select("fp", F.explode(bucket_keys(F.col("fp"), blocks, radius)).alias("key"))
+    return rows, rows.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > CELL)
+
+
 def similar_links(values: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``values``: distinct longs in column fp. Links u, v whose components are those of all pairs within the radius."""
-    spark = values.sparkSession
-    rows = values.select("fp", F.explode(bucket_keys(F.col("fp"), bucket_choice(values.count(), radius), radius)).alias("key"))
-    large = rows.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > CELL)
-    cut = rows.join(large.select("key", F.ceil(F.col("size") / CELL).cast("int").alias("sides")), "key", "left")
-    side = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("sides")).cast("int")
-    other = F.explode(F.when(F.col("sides").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("sides") - 1)))
-    spread = cut.select("fp", "key", F.coalesce(side, F.lit(0)).alias("side"), other.alias("other"))
-    cells = spread.select("fp", F.xxhash64("key", F.least("side", "other"), F.greatest("side", "other")).alias("cell"))
+    """``values``: distinct longs in column fp. Links u, v whose components are those of all pairs within the radius.
+
+    Fingerprints of buckets larger than CELL are dealt out anew by more blocks, as two that share such a bucket are both
+    among them; what is still larger with the most blocks is cut into a grid.
+    """
+    spark, out = values.sparkSession, None
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return cells.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(_links(radius), "u long, v long")
+    blocks = bucket_choice(values.count(), radius)
+    while True:
+        rows, large = _bucketed(values, blocks, radius)
+        large = written(large, "large-buckets")
+        more = blocks < most_blocks(radius) and large.limit(1).count() > 0
+        if more:
+            cells = rows.join(large.select("key"), "key", "left_anti").select("fp", F.col("key").alias("cell"))
+        else:
+            cut = rows.join(large.select("key", F.ceil(F.col("size") / CELL).cast("int").alias("sides")), "key", "left")
+            side = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("sides")).cast("int")
+            other = F.explode(F.when(F.col("sides").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("sides") - 1)))
+            spread = cut.select("fp", "key", F.coalesce(side, F.lit(0)).alias("side"), other.alias("other"))
+            cells = spread.select("fp", F.xxhash64("key", F.least("side", "other"), F.greatest("side", "other")).alias("cell"))
+        links = cells.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(_links(radius), "u long, v long")
+        out = links if out is None else out.unionByName(links)
+        if not more:
+            return out
+        values = written(rows.join(large.select("key"), "key", "left_semi").select("fp").distinct(), "dense")
+        blocks += 1
+
+
+def _rooted(prints: DataFrame, radius: int) -> DataFrame:
+    """Distinct fp, first (smallest doc_id), root (the same fp for all of a component)."""
+    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    roots = components(written(similar_links(nodes.select("fp"), radius), "similar"))
+    return nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, fp, component_id for every row of ``docs``.
 
     component_id is the smallest doc_id that chains of links reach, itself included. Null and blank texts have fingerprint
-    0 and link like others; repeated rows get equal results; a null doc_id counts only if its component has no other.
+    0 and link like others; repeated rows get equal results; a null doc_id counts only if its component has no other; an
+    empty table gives no rows; other columns are ignored.
     """
-    prints = written(fingerprints(docs), "fingerprints")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    links = written(similar_links(nodes.select("fp"), radius), "similar")
-    roots = components(links)
-    rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    prints = written(fingerprints(docs.select(F.col("doc_id").cast("long"), "text")).select("doc_id", F.col("__v_fp").alias("fp")), "fingerprints")
+    rooted = _rooted(prints, radius)
     firsts = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(firsts, "root").select(F.col("fp").alias("__v_fp"), "component_id")
     return prints.join(named, F.col("fp") == F.col("__v_fp")).drop("__v_fp")
 
 
 def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` whose doc_id leads its component; of equal rows of a repeated doc_id, one.
+    """One row of ``docs`` of each component, with all its columns: that of the smallest doc_id, of the smallest fingerprint
+    among rows that share it; rows alike in both count as copies and one of them stays. A null doc_id is larger than others.
 
-    Rows with a null doc_id can't be told apart: all stay if one of them leads a component.
+    Only ids and fingerprints are shuffled: the rows that go are marked by their (doc_id, fingerprint), a table that is
+    broadcast if small.
     """
-    found = written(near_duplicates(docs, radius), "components")
-    leaders = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("__v_leader")).agg(F.count("*").alias("n"))
-    kept = docs.join(leaders.select("__v_leader"), F.col("doc_id").eqNullSafe(F.col("__v_leader")), "left_semi")
-    if leaders.where("n > 1 and __v_leader is not null").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id", "text"])
-    return kept
+    rows = written(fingerprints(docs), "fingerprinted")
+    keys = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__v_fp").alias("fp")).groupBy("doc_id", "fp").agg(F.count("*").alias("n"))
+    keys = written(keys, "fingerprints")
+    placed = keys.join(_rooted(keys, radius).select(F.col("fp").alias("own"), "root"), F.col("fp") == F.col("own"))
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")
+    leads = placed.groupBy("root").agg(F.min(rank).alias("lead"))
+    judged = written(placed.join(leads, "root").select(F.col("doc_id").alias("__v_doc"), F.col("fp").alias("__v_own"), "n", (rank == F.col("lead")).alias("leads")), "judged")
+    gone, crowded = judged.where("not leads"), judged.where("leads and n > 1")
+    n_gone, n_crowded = judged.agg(F.count_if(~F.col("leads")), F.count_if(F.col("leads") & (F.col("n") > 1))).first()
+    same = F.col("doc_id").eqNullSafe(F.col("__v_doc")) & (F.col("__v_fp") == F.col("__v_own"))
+    kept = rows.join(spread_join(gone.select("__v_doc", "__v_own"), n_gone), same, "left_anti")
+    if n_crowded:
+        twins = spread_join(crowded.select("__v_doc", "__v_own"), n_crowded)
+        kept = kept.join(twins, same, "left_anti").unionByName(kept.join(twins, same, "left_semi").dropDuplicates(["doc_id", "__v_fp"]))
+    return kept.select(*docs.columns)
 
 
 def op10(docs: DataFrame) -> DataFrame:

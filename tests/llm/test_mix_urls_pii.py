@@ -1,3 +1,4 @@
+import datetime
 import hashlib
 import random
 import re
@@ -61,6 +62,17 @@ def test_mix_emits_copies_and_keeps_columns(spark):
     assert counted == drawn
 
 
+def test_mix_draws_each_row_for_itself(spark):
+    rows = [(7, "one two three four five six seven eight nine ten", "s")] * 200 + [(8, "a " * 7, "s"), (None, "x y", None), (None, "x y z", None), (None, "x y", None), (None, None, None), (7, "other text of it", "s")]
+    d = spark.createDataFrame([(*r, 3, "t") for r in rows], DOCS + ", copy int, target string").repartition(5)
+    out = mix.mix(d)
+    assert out.columns == [*d.columns[:3], "target", "copy"] or out.columns == d.columns
+    emitted = {r.source: r.n for r in out.groupBy("source").agg(F.sum(F.regexp_count("text", F.lit(mix.WORD))).alias("n")).collect()}
+    taken = {r.source: r.n for r in mix.copies(d).groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("n")).collect()}
+    assert emitted == taken and abs(emitted["s"] - mix.copies(d).where("source = 's'").first().target) <= 10
+    assert mix.mix(d.limit(0)).collect() == []
+
+
 def test_mix_empty(spark):
     assert mix.op1(spark.createDataFrame([], DOCS)).collect() == []
     only_null = mix.op1(spark.createDataFrame([(1, None, None)], DOCS)).collect()
@@ -166,6 +178,103 @@ def test_pseudonyms(spark):
     assert other[1] != rows[1].text
 
 
+def _text_permuted(value, kind, key=pii.KEY):
+    hexed = re.fullmatch("[0-9a-f]{8,}", value) is not None
+
+    def turned(part, other, i):
+        out = []
+        sha = lambda *of: hashlib.sha256("|".join(map(str, (key, kind, *of))).encode()).hexdigest()
+        stream = [sha(n, i, other) for n in range(2)]
+        stream += [sha(n, *stream[:2]) for n in range(2, -(-len(part) // 32))]
+        for k, c in enumerate(part):
+            digest = stream[k // 32]
+            amount = int(digest[k % 32 * 2 : k % 32 * 2 + 2], 16)
+            letters = next((x for x in ([pii.HEX] if hexed else [pii.DIGITS, pii.LOWER, pii.UPPER]) if c in x), None)
+            out.append(letters[(letters.index(c) + amount) % len(letters)] if letters else c)
+        return "".join(out)
+
+    left = -(-len(value) // 2)
+    a, b = value[:left], value[left:]
+    for i in range(pii.ROUNDS):
+        a, b = (turned(a, b, i), b) if i % 2 == 0 else (a, turned(b, a, i))
+    return a + b
+
+
+def _refilled(value, digits):
+    digits = iter(digits)
+    return "".join(next(digits) if c in pii.DIGITS else c for c in value)
+
+
+def _plain_pseudonym(kind, m):
+    """The pseudonym of one value, computed without Spark."""
+    digits = re.sub("[^0-9]", "", m)
+    if kind == "EMAIL":
+        name, _, host = m.partition("@")
+        return _text_permuted(name, kind) + "@" + host
+    if kind == "SECRET":
+        head, value = re.fullmatch(f"({pii.SECRET_HEAD.replace('(?i:', '(?i:')})({pii.SECRET_VALUE})", m).groups()
+        return head + _text_permuted(value, kind)
+    if kind == "IBAN":
+        plain = m.replace(" ", "")
+        body = _refilled(plain[4:], _digits(re.sub("[^0-9]", "", plain[4:]), kind))
+        check = 98 - int("".join(str(int(c, 36)) for c in body + plain[:2] + "00")) % 97
+        return _refilled(m, f"{check:02d}" + re.sub("[^0-9]", "", body))
+    if kind == "IP":
+        p = [int(x) for x in m.split(".")]
+        a, b = _feistel(p[0] * 256 + p[1], p[2] * 256 + p[3], 65536, 65536, kind)
+        return f"{a // 256}.{a % 256}.{b // 256}.{b % 256}"
+    if kind == "DATE":
+        first, sep = datetime.date(1800, 1, 1), re.search("[^0-9]", m)[0]
+        move = lambda n: (lambda s: s[0] * pii.DAY_V + s[1])(_feistel(n // pii.DAY_V, n % pii.DAY_V, pii.DAY_U, pii.DAY_V, kind))
+        parts = [int(x) for x in re.split("[^0-9]", m)]
+        if len(m.split(sep)[0]) == 4:
+            new = first + datetime.timedelta(move((datetime.date(*parts) - first).days))
+            return new.strftime(f"%Y{sep}%m{sep}%d")
+        if parts[1] <= 12:
+            new = first + datetime.timedelta(move((datetime.date(parts[2], parts[1], parts[0]) - first).days))
+            return new.strftime(f"%d{sep}%m{sep}%Y")
+        n = move((datetime.date(parts[2], parts[0], parts[1]) - first).days)
+        while (first + datetime.timedelta(n)).day <= 12:
+            n = move(n)
+        return (first + datetime.timedelta(n)).strftime(f"%m{sep}%d{sep}%Y")
+    if kind == "SSN":
+        while True:
+            digits = _digits(digits, kind)
+            new = f"{digits[:3]}-{digits[3:5]}-{digits[5:]}"
+            if not re.search("^(000|666|9)|^...-00|0000$", new):
+                return new
+    if kind == "PHONE":
+        head = (re.match(r"\+[0-9]{1,3}(?=[ .(\-])", m) or [""])[0]
+        rest = m[len(head) :]
+        return head + _refilled(rest, _digits(re.sub("[^0-9]", "", rest), kind))
+    body = _digits(digits[:-1], kind)
+    return _refilled(m, body + next(c for c in pii.DIGITS if _luhn(body + c)))
+
+
+VALUES = [
+    ("EMAIL", "rhokk.73@mail2.example.com"), ("EMAIL", "A_b+c@x.org"), ("SECRET", "password=36fdea71d793cf922e"), ("SECRET", "token: Abc_def-123"), ("SECRET", "secret=" + "aZ9" * 60), ("IBAN", "IT60X0542811101000000123456"),
+    ("IBAN", "DE89 3704 0044 0532 0130 00"), ("IP", "82.43.185.109"), ("IP", "10.0.0.1"), ("DATE", "2024-02-29"), ("DATE", "1999/12/31"), ("DATE", "01.02.2003"), ("DATE", "12/25/1984"), ("DATE", "07-30-2001"),
+    ("CARD", "4111 1111 1111 1111"), ("CARD", "4012888888881881"), ("CARD", "3782-822463-10005"), ("SSN", "123-45-6789"), ("SSN", "321-10-0001"), ("PHONE", "+1 (784) 555-9263"), ("PHONE", "+39 333 1234567"), ("PHONE", "020-7946-0958"),
+]
+
+
+def test_every_kind_against_a_plain_version(spark):
+    d = spark.createDataFrame([(k, f"see {m} there") for k, (_, m) in enumerate(VALUES)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in pii.pseudonymize(d).collect()}
+    for k, (kind, m) in enumerate(VALUES):
+        assert rows[k].private_kinds == [kind], m
+        assert rows[k].text == f"see {_plain_pseudonym(kind, m)} there", m
+
+
+def test_a_clashing_column_is_replaced_and_long_secrets_go_whole(spark):
+    value = "correcthorsebattery" * 5300
+    d = spark.createDataFrame([(1, f"password={value} end", "mine"), (1, None, None), (None, "token=" + "q" * 900, "x")], "doc_id long, text string, private_kinds string")
+    out = pii.pseudonymize(d)
+    rows = out.collect()
+    assert out.columns == ["doc_id", "text", "private_kinds"] and [r.private_kinds for r in rows] == [["SECRET"], [], ["SECRET"]]
+    assert rows[0].text == f"password={_text_permuted(value, 'SECRET')} end" and rows[2].text == "token=" + _text_permuted("q" * 900, "SECRET")
+
+
 def test_permutations_are_one_to_one(spark):
     d = spark.createDataFrame([(f"2001-{m:02d}-{k:02d}",) for m in range(1, 13) for k in range(1, 29)], "text string")
     dates = [r.text for r in pii.pseudonymize(d).collect()]

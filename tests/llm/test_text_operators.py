@@ -1,6 +1,7 @@
 import collections
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -11,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from veilum.llm import decontam, quality, rules, simhash, substrings
+from veilum.llm import _store, decontam, quality, rules, simhash, substrings
 from veilum.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -147,6 +148,29 @@ def test_simhash(spark):
     assert got == {i: (f"{fps[i]:016x}", want[i]) for i in fps}
 
 
+def test_simhash_edge_rows(spark):
+    rows = [(None, "same words here now"), (4, "same words here now"), (3, "SAME words here now"), (None, None), (8, ""), (8, " \n"), (None, "alone " * 3)]
+    d = spark.createDataFrame([(*r, 1, 2) for r in rows], DOCS + ", fp int, root int")
+    got = sorted((str(r.doc_id), r.fingerprint, r.component_id) for r in simhash.op10(d).collect())
+    f = f"{_fp(rows[0][1]):016x}"
+    assert got == sorted([("None", f, 3), ("4", f, 3), ("3", f, 3), ("None", "0" * 16, 8), ("8", "0" * 16, 8), ("8", "0" * 16, 8), ("None", f"{_fp('alone ' * 3):016x}", None)])
+    assert simhash.op10(d.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("limit", [1_000_000, 0])
+def test_one_row_of_each_component_stays(spark, monkeypatch, limit):
+    monkeypatch.setattr(_store, "BROADCAST_ROWS", limit)
+    rng = random.Random(3)
+    text = lambda: " ".join(rng.choice("abcdefghij") + str(rng.randint(0, 99)) for _ in range(60))
+    a, b, c, e = text(), text(), text(), text()
+    rows = [(5, a), (3, a), (None, a), (9, b), (9, b), (9, b.upper()), (None, c), (None, c), (None, e), (2, ""), (4, None), (11, "  ")]
+    d = spark.createDataFrame([(*r, "k", 1) for r in rows], DOCS + ", root string, n int").repartition(4)
+    out = simhash.one_of_each(d)
+    got = sorted((r.doc_id or -1, (r.text or "").lower()) for r in out.collect())
+    assert out.columns == d.columns and got == sorted([(3, a), (9, b), (-1, c), (-1, e), (2, "")])
+    assert simhash.one_of_each(d.limit(0)).collect() == []
+
+
 def test_within_and_forest():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
@@ -307,8 +331,137 @@ def test_quality_scores(spark):
 
 
 def test_isotonic():
-    x, y = quality.isotonic(np.array([0.0, 1, 2, 3]), np.array([1.0, 0, 2, 4]), np.array([1.0, 1, 2, 4]))
-    assert x.tolist() == [0.5, 2.666666666666667] or len(x) == 2 and (np.diff(y) > 0).all() and y[0] == 0.5
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        n = int(rng.integers(1, 40))
+        x, total, count = np.arange(n, dtype=float), rng.integers(0, 5, n).astype(float), rng.integers(1, 5, n).astype(float)
+        means, values = quality.isotonic(x, total, count)
+        # The closed form: the largest mean of stretches that end here or later, least over starts.
+        want = [max(min(total[i : k + 1].sum() / count[i : k + 1].sum() for k in range(j, n)) for i in range(j + 1)) for j in range(n)]
+        assert (np.diff(values) > 0).all() and np.allclose(sorted(set(np.round(want, 12))), values) and means[0] >= 0 and means[-1] <= n - 1
+
+
+def _plain_statistics(t):
+    w = WORD.findall(t or "")
+    if not w:
+        return [0.0] * len(quality.STATS)
+    chars = len(t)
+    share = lambda letters: sum(c in letters for c in t) / chars
+
+    def again(width):
+        runs = collections.Counter(zip(*(w[k:] for k in range(width)), strict=False))
+        return sum(n for n in runs.values() if n > 1) / max(1, len(w) - width + 1)
+
+    lines = [x for x in t.split("\n") if x]
+    return [
+        np.log1p(len(w)), np.log1p(len(lines)), sum(map(len, w)) / len(w), share("#*$%&|<>@^~=_{}[]\\/+"), share("0123456789"), share("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), share("!"),
+        sum(c in ".,;:?" for c in t) / len(w), len(set(w)) / len(w), max(collections.Counter(w).values()) / len(w), again(2), again(3), 1 - len(set(lines)) / max(1, len(lines)), sum(len(x) > 24 for x in w) / len(w),
+    ]
+
+
+def test_quality_statistics_against_plain_ones():
+    texts = [t for _, t in _texts(6, 60)] + ["A! b? c;\n\nA! b? c;", "é ü 😀 " + "x" * 30, "one"]
+    assert np.allclose(quality.text_statistics(pa.array(texts, pa.string())), [_plain_statistics(t) for t in texts])
+
+
+def test_quality_scores_against_a_plain_version(spark):
+    """The same model from one table in memory: least squares on stacked rows, and the closed form of isotonic regression."""
+    rows, labels = _labelled(240)
+    found = {r.doc_id: r.score for r in quality.op8(spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    table = np.array([_plain_statistics(t) for _, t in rows])
+    fold, y = np.array([zlib.crc32(str(i).encode()) % 5 for i, _ in rows]), np.array([q for _, q, _ in labels], float)
+    learn = fold != 0
+    means, spread = table[learn].mean(0), table[learn].std(0)
+    rng = np.random.default_rng(quality.SEED)
+    turn, phase = rng.normal(0.0, quality.WIDTH, (table.shape[1], quality.RANDOM_FEATURES)), rng.uniform(0, 2 * np.pi, quality.RANDOM_FEATURES)
+    z = np.clip((table - means) / np.where(spread > 1e-9, spread, 1.0), -8, 8)
+    x = np.hstack([np.sqrt(2 / quality.RANDOM_FEATURES) * np.cos(z @ turn + phase), np.ones((len(z), 1))])
+    ridge, calibrate = learn & (fold != 4), fold == 4
+    stacked = np.vstack([x[ridge], np.sqrt(quality.RIDGE) * np.eye(x.shape[1])])
+    weights = np.linalg.lstsq(stacked, np.concatenate([y[ridge], np.zeros(x.shape[1])]), rcond=None)[0]
+    raw = x @ weights
+    bins = collections.defaultdict(list)
+    for r, q in zip(raw[calibrate], y[calibrate], strict=True):
+        bins[int(np.floor(np.clip(r, -1, 2) * quality.BINS))].append((r, q))
+    groups = [bins[k] for k in sorted(bins)]
+    at, total, count = (np.array(v) for v in zip(*[(np.mean([r for r, _ in g]), sum(q for _, q in g), len(g)) for g in groups], strict=True))
+    n = len(groups)
+    level = np.round([max(min(total[i : k + 1].sum() / count[i : k + 1].sum() for k in range(j, n)) for i in range(j + 1)) for j in range(n)], 10)
+    steps = [(np.average(at[level == v], weights=count[level == v]), v) for v in sorted(set(level))]
+    want = np.clip(np.interp(raw, [s[0] for s in steps], [s[1] for s in steps]), 0, 1)
+    assert np.allclose([found[i] for i, _ in rows], want, atol=1e-6)
+
+
+def _plain_rules(values, low):
+    """Sequential covering, one row and one limit at a time."""
+    rows, out, left = range(len(low)), [], set(range(len(low)))
+    holds = lambda test, i: values[test[0]][i] >= test[2] if test[1] else values[test[0]][i] <= test[2]
+    while len(out) < rules.MAX_RULES:
+        inside = {i for i in left if i % 3 != 2}
+        if not any(low[i] for i in inside) or all(low[i] for i in inside):
+            break
+        rule = []
+        while len(rule) < rules.MAX_TESTS and any(low[i] for i in inside) and not all(low[i] for i in inside):
+            p0 = sum(low[i] for i in inside)
+            base, best = math.log2(p0 / len(inside)), (0.0, None)
+            for name, x in values.items():
+                distinct = sorted({x[i] for i in inside})
+                found = {}
+                for above in (False, True):
+                    for a, b in zip(distinct, distinct[1:], strict=False):
+                        test = (name, above, (a + b) / 2)
+                        kept = [low[i] for i in inside if holds(test, i)]
+                        p = sum(kept)
+                        gain = p * (math.log2(p / len(kept)) - base) if p else 0.0
+                        if above not in found or gain > found[above][0] + 1e-12:
+                            found[above] = (gain, test)
+                for above in (False, True):
+                    if above in found and found[above][0] > best[0] + 1e-12:
+                        best = found[above]
+            if best[1] is None:
+                break
+            rule.append(best[1])
+            inside = {i for i in inside if holds(best[1], i)}
+        worth = []
+        for k in range(1, len(rule) + 1):
+            hit = [low[i] for i in left if i % 3 == 2 and all(holds(t, i) for t in rule[:k])]
+            worth.append(((2 * sum(hit) - len(hit)) / len(hit) if hit else -1.0, -k, len(hit)))
+        if not worth:
+            break
+        value, k, cover = max(worth)
+        if cover < rules.MIN_COVER or (value + 1) / 2 < rules.MIN_PRECISION:
+            break
+        out.append(rule[:-k])
+        left -= {i for i in rows if all(holds(t, i) for t in rule[:-k])}
+    return out
+
+
+def test_covering_against_a_plain_version():
+    rng = np.random.default_rng(5)
+    for n in (30, 240):
+        values = {name: np.round(rng.random(n), 2) for name in ("a", "b", "c")}
+        low = (values["a"] > 0.75) | (values["b"] < 0.2) & (values["c"] > 0.3)
+        low ^= rng.random(n) < 0.04
+        want = _plain_rules({k: v.tolist() for k, v in values.items()}, low.tolist())
+        assert [[(t.feature, t.above, t.limit) for t in rule] for rule in rules.learn(values, low)] == want
+    assert len(want) >= 2 and any(len(r) > 1 for r in want)
+
+
+def test_rules_against_a_plain_version(spark):
+    rows, labels = _labelled(200)
+    d, marked = spark.createDataFrame(rows + [(9001, "word " * 300), (9002, None)], DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    stats = [r.s for r in d.select("doc_id", rules.statistics(F.col("text")).alias("s")).where("doc_id < 9000").orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))).collect()]
+    order = [r.doc_id for r in marked.orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))).collect()]
+    values = {name: [float(f({k: s[k] for k in rules.STATS})) for s in stats] for name, f in rules.FEATURES.items()}
+    low = [dict((i, q == 0) for i, q, _ in labels)[i] for i in order]
+    want = _plain_rules(values, low)
+    learned = rules.learn({k: np.array(v) for k, v in values.items()}, np.array(low))
+    assert want and [[(t.feature, t.above, t.limit) for t in rule] for rule in learned] == want
+    by_id = {i: {name: v[k] for name, v in values.items()} for k, i in enumerate(order)}
+    for r in rules.op6(d, marked).collect():
+        if r.doc_id < 9000:
+            hit = any(all(by_id[r.doc_id][f] >= limit if above else by_id[r.doc_id][f] <= limit for f, above, limit in rule) for rule in want)
+            assert r.kept == (not r.base_failed and not hit)
 
 
 def test_runs_with_one_minimizer_and_equal_halves_are_told_apart(spark):

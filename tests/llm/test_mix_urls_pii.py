@@ -117,10 +117,17 @@ def test_cascade_is_exact_for_many_keys(spark):
     rows = universe.where("key is not null").select("key", urls.in_cascade(F.col("key"), levels).alias("hit")).collect()
     assert all(r.hit == (r.key in wanted) for r in rows)
     assert urls.build_cascade(listed.limit(0), universe) == []
-    with pytest.raises(ValueError):
+    with pytest.raises(urls.TooLargeError):
         urls.build_cascade(listed, universe, limit=100)
 
 
+def test_lists_beyond_the_filter_give_the_same_verdicts(spark):
+    d = spark.createDataFrame([(i, u) for i, u in enumerate(URLS)] + [(99, "http://x.spam-farm.example.org/" + "long/" * 20_000)], "page_id long, url string")
+    rows = {r.page_id: r for r in urls.judge(d, limit=10).collect()}
+    assert len(rows) == len(URLS) + 1 and all((r.host, r.path, r.rule, r.verdict) == _judge(URLS[i]) for i, r in rows.items() if i < 99)
+    assert rows[99].verdict == "block" and urls.judge(d).where("page_id = 99").first().verdict == "block"
+
+
 def test_url_plan_has_no_join(spark):
     d = spark.createDataFrame([(1, "http://a.example.com/")], "page_id long, url string")
     plan = urls.judge(d)._jdf.queryExecution().executedPlan().toString()

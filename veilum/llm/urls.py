@@ -15,17 +15,21 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilum.llm._store import written
+from veilum.llm._store import spread_join, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, rule), a rule being host and path prefix.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 #: Hosts that are blocked with their subdomains where no rule decides.
 LISTED = tuple(f"{name}.example.{top}" for name in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm") for top in ("com", "net", "org"))
-#: Largest filter sent to the tasks, over all levels (about 40 million listed hosts).
+#: Largest filter sent to the tasks, over all levels (about 40 million listed hosts); beyond it, hosts are joined.
 MAX_FILTER_BYTES = 64 << 20
 
 
+class TooLargeError(ValueError):
+    """A cascade's levels would take more than the limit."""
+
+
 def host_of(url: Column) -> Column:
     return F.translate(F.coalesce(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1), F.lit("")), UPPER, LOWER)
 
@@ -61,22 +65,29 @@ class Level:
     bitmap: bytes
 
     def holds(self, key: Column) -> Column:
-        """Whether all bits of ``key`` are set: true for every key put in, and for some others."""
-        test = None
-        for place in _places(key, self):
-            byte = F.conv(F.hex(F.substring(F.lit(bytearray(self.bitmap)), (F.shiftright(place, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
-            bit = F.call_function("shiftright", byte, (place % 8).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
-            test = bit if test is None else test & bit
-        return test
+        """Whether all bits of ``key`` are set: true for every key put in, and for some others. The bitmap is in it once."""
+
+        def tested(bitmap):
+            test = None
+            for place in _places(key, self):
+                byte = F.conv(F.hex(F.substring(bitmap, (F.shiftright(place, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+                bit = F.call_function("shiftright", byte, (place % 8).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
+                test = bit if test is None else test & bit
+            return test
+
+        return F.exists(F.array(F.lit(bytearray(self.bitmap))), tested)
 
 
 def _places(key: Column, level: Level) -> list[Column]:
     return [F.pmod(F.xxhash64(F.lit(level.seed), F.lit(i), key), F.lit(level.bits).cast("long")) for i in range(level.hashes)]
 
 
+def _bits(n: int, rate: float) -> int:
+    return -(-max(64, math.ceil(n * -math.log(rate) / math.log(2) ** 2)) // 8) * 8
+
+
 def _level(keys: DataFrame, n: int, rate: float, seed: int) -> Level:
-    bits = max(64, math.ceil(n * -math.log(rate) / math.log(2) ** 2))
-    bits = -(-bits // 8) * 8
+    bits = _bits(n, rate)
     level = Level(bits, max(1, round(-math.log2(rate))), seed, b"")
     places = keys.select(F.explode(F.array(*_places(F.col("key"), level))).alias("place"))
     # Spark's bitmap functions number positions from 1 and cut them into buckets of 32768.
@@ -88,7 +99,8 @@ def _level(keys: DataFrame, n: int, rate: float, seed: int) -> Level:
 
 
 def build_cascade(listed: DataFrame, universe: DataFrame, first_rate: float = 0.01, next_rate: float = 0.5, limit: int = MAX_FILTER_BYTES) -> list[Level]:
-    """``listed`` and ``universe``: tables with a string column key. Raises ValueError if the levels outgrow ``limit``.
+    """``listed`` and ``universe``: tables with a string column key. Raises TooLargeError if the levels outgrow ``limit``, before
+    the level that does is built.
 
     Null keys are no keys. The list is written once, and so are the false positives of each level.
     """
@@ -97,9 +109,9 @@ def build_cascade(listed: DataFrame, universe: DataFrame, first_rate: float = 0.
     inside, levels, rate = listed, [], first_rate
     n = inside.count()
     while n:
+        if sum(len(x.bitmap) for x in levels) + _bits(n, rate) // 8 > limit:
+            raise TooLargeError(f"the cascade takes more than {limit} bytes")
         levels.append(_level(inside, n, rate, len(levels)))
-        if sum(len(x.bitmap) for x in levels) > limit:
-            raise ValueError(f"the cascade takes more than {limit} bytes")
         wrong = others.where(levels[-1].holds(F.col("key")))
         if len(levels) == 1:  # the only look at the corpus's keys
             wrong = wrong.join(listed, "key", "left_anti")
@@ -122,18 +134,25 @@ def key_table(spark: SparkSession, keys: Sequence[str]) -> DataFrame:
     return spark.range(1).select(F.explode(F.array(*[F.lit(k) for k in keys]).cast("array<string>")).alias("key"))
 
 
-def judge(pages: DataFrame, listed: DataFrame | None = None, rules=RULES) -> DataFrame:
+def judge(pages: DataFrame, listed: DataFrame | None = None, rules=RULES, limit: int = MAX_FILTER_BYTES) -> DataFrame:
     """page_id, host, path, rule, verdict for each row of ``pages``.
 
     The rule's verdict, else block if the host or a parent domain is listed, else allow. Null urls and urls without ://
-    have empty host and path, match nothing and are allowed. Repeated rows are judged alike, each on its own.
+    have empty host and path, match nothing and are allowed. Repeated rows are judged alike, each on its own. A list whose
+    cascade would take more than ``limit`` bytes is joined with the distinct hosts instead, to the same verdicts.
     """
     spark = pages.sparkSession
     listed = key_table(spark, LISTED) if listed is None else listed
     hosts = pages.select(host_of(F.col("url")).alias("host")).distinct()
-    levels = build_cascade(listed, hosts.select(F.explode(host_keys(F.col("host"))).alias("key")))
     parts = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    hit = F.exists(host_keys(F.col("host")), lambda k: in_cascade(k, levels))
+    keys = hosts.select("host", F.explode(host_keys(F.col("host"))).alias("key"))
+    try:
+        levels = build_cascade(listed, keys.select("key"), limit=limit)
+        hit = F.exists(host_keys(F.col("host")), lambda k: in_cascade(k, levels))
+    except TooLargeError:
+        blocked = written(keys.join(listed.where("key is not null").select("key").distinct(), "key", "left_semi").select(F.col("host").alias("__v_host")).distinct(), "blocked-hosts")
+        parts = parts.join(spread_join(blocked, blocked.count()), F.col("host") == F.col("__v_host"), "left")
+        hit = F.col("__v_host").isNotNull()
     ruled = parts.withColumn("__v_rule", rule_for(F.col("host"), F.col("path"), rules))
     verdict = F.coalesce(F.col("__v_rule.verdict"), F.when(hit, "block").otherwise("allow"))
     return ruled.select("page_id", "host", "path", F.col("__v_rule.rule").alias("rule"), verdict.alias("verdict"))

@@ -80,9 +80,14 @@ class Block:
 def sketch(items: list[tuple[int, str]], threshold: float = THRESHOLD) -> Block:
     plain = plain_words(pa.array([t for _, t in items], pa.string()))
     found, owner = shingle_hashes(plain)
+    order = np.lexsort([found, owner])
+    found, owner = found[order], owner[order]
+    new = np.append(True, (found[1:] != found[:-1]) | (owner[1:] != owner[:-1]))[: len(found)]
+    found, owner = found[new], owner[new]
+    ends = np.searchsorted(owner, np.arange(len(items) + 1))
     hashes, places, least = [], [], []
     for i in range(len(items)):
-        own = np.unique(found[owner == i])
+        own = found[ends[i] : ends[i + 1]]
         n = len(own)
         largest = (1 << n.bit_length()) - 1  # of this size partition
         k = min(n, 2 * missable(largest, threshold) + 1)

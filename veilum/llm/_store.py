@@ -45,10 +45,13 @@ def few_tasks(spark: SparkSession, share: int = 16) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // share)
 
 
-def drop_at_end(spark: SparkSession, folder: str) -> None:
-    """Delete an existing folder when the driver's file system is closed."""
+def drop_at_end(spark: SparkSession, folder: str, missing: bool = False) -> None:
+    """Delete a folder when the driver's file system is closed. ``missing``: make it first, as only what exists can be named."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if missing:
+        store.mkdirs(path)
+    store.deleteOnExit(path)
 
 
 def drop_folder(spark: SparkSession, folder: str) -> None:

@@ -21,7 +21,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilum.llm._store import new_folder, written
+from veilum.llm._store import drop_at_end, new_folder, written
 
 MIN_REVISIT_BYTES = 0
 DATE = "2000-01-01T00:00:00Z"
@@ -34,8 +34,8 @@ _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def open_store(folder: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a shared folder, and the folder's path there."""
-    return fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", folder))
+    """The file system of a shared folder, and the folder's path there. Hadoop's names of a store are read as pyarrow's."""
+    return fs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", re.sub("^(?:file:/+|/)", "file:///", folder)))
 
 
 def _line(text: str) -> str:
@@ -166,6 +166,7 @@ def read_records(index: DataFrame, folder: str, with_payload: bool = True) -> Da
 
 def op9(pages: DataFrame) -> DataFrame:
     folder = new_folder(pages.sparkSession, "warc")
+    drop_at_end(pages.sparkSession, folder, missing=True)
     found = read_records(write_archives(pages, folder), folder, with_payload=False)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 

@@ -209,3 +209,12 @@ def test_reports_as_json(spark):
     assert json.loads(shown)["near_miss"][0]["token"] == "Con Toso"
     dry = engine.anonymize(d).select(reports.dry_run_json(F.lit("a.txt"), F.lit("a.redacted.txt"), F.size("entries"), placeholders.counts(F.col("entries"))).alias("j")).first().j
     assert json.loads(dry) == {"schema": "veilum/1", "tool": "dry-run", "dry_run": True, "file": "a.txt", "sensitive": True, "would_write": "a.redacted.txt", "entries": 1, "counts": {"EMAIL": 1}}
+
+
+def test_a_stream_is_scanned_for_a_dictionary(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("Acme and a@acme.it")
+    out = streams.redacted_stream(streams.text_files(spark, str(tmp_path / "in")), entries=dictionary.parse("C|Acme")[0])
+    run = out.select("redacted").writeStream.format("memory").queryName("dictionary_stream").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    run.awaitTermination(120)
+    assert [r.redacted for r in spark.table("dictionary_stream").collect()] == ["[C-1] and [EMAIL-1]"]

@@ -28,6 +28,11 @@ def read_maps(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.schema(MAPS).parquet(f"{root}/maps"), spark.read.schema(ENTRIES).parquet(f"{root}/map_entries")
 
 
+def exists(spark: SparkSession, root: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/maps")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def parsed(raw: DataFrame, column: str = "json") -> DataFrame:
     """Maps from JSON texts: ``raw`` plus map (null where the text is no map) and valid. Every entry needs a type."""
     out = raw.withColumn("map", F.from_json(column, JSON, {"mode": "PERMISSIVE"}))
@@ -72,6 +77,10 @@ def birthday(n: Column, width: int = 6) -> Column:
 
 
 def fingerprint(files: DataFrame) -> DataFrame:
-    """sha256 over (path, content) in order of path, each with its length before it: one row, column fingerprint."""
+    """sha256 over (path, content) in order of path, each with its length before it: one row, column fingerprint.
+
+    Contents are hashed where they are; the paths and hashes of all files, about 150 bytes each, meet in one row, as the
+    value is defined over all of them in order. It is for the files of a folder, not for the rows of a large table.
+    """
     part = F.concat(F.length("path").cast("string"), F.lit(":"), F.col("path"), F.octet_length("content").cast("string"), F.lit(":"), F.sha2("content", 256))
     return files.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", part.alias("part")))), lambda x: x["part"]), ""), 256).alias("fingerprint"))

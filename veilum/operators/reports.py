@@ -52,6 +52,11 @@ def coverage(length: Column, windows: Column, overlap: int) -> Column:
     return F.struct(length.alias("chars"), end.alias("analyzed_chars"), (end < length).alias("truncated"), F.size(windows).alias("chunks"), many.alias("chunk_overlap"))
 
 
+def manifest(files: DataFrame) -> DataFrame:
+    """path, sha256, bytes of files (path, content): what a backup is checked against."""
+    return files.select("path", F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("long").alias("bytes"))
+
+
 def manifest_check(manifest: DataFrame, files: DataFrame) -> DataFrame:
     """path, state over a full outer join of two tables (path, sha256): same, changed, missing (in files), extra."""
     m, f = manifest.select("path", F.col("sha256").alias("m")), files.select("path", F.col("sha256").alias("f"))

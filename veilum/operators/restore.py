@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilum.functions import patterns as P
-from veilum.functions.offsets import let
+from veilum.functions.offsets import each, let
 
 
 def restorable(listed: Column) -> Column:
@@ -56,6 +56,18 @@ def restored(docs: DataFrame, text: str = "redacted", listed: str = "entries") -
     return out.withColumn("complete", (F.col("remaining") == 0) & (F.col("unknown") == 0) & (F.col("replaced") > 0))
 
 
+def token_counts(docs: DataFrame, *keep: str, text: str = "redacted", listed: str = "entries") -> DataFrame:
+    """``keep``, placeholder, tokens (how often it stands in the text), original (null where unknown).
+
+    The join of a text's placeholders with its entries as one aggregation, so that what made them runs once.
+    """
+    token = lambda p, o, n: F.struct(p.alias("placeholder"), o.cast("string").alias("original"), n.alias("n"))
+    seen = F.transform(F.regexp_extract_all(text, F.lit(P.PLACEHOLDER), F.lit(0)), lambda p: token(p, F.lit(None), F.lit(1)))
+    known = F.transform(restorable(F.col(listed)), lambda e: token(e["placeholder"], e["original"], F.lit(0)))
+    rows = each(docs, keep, F.concat(seen, known), "x").select(*keep, "x.*")
+    return rows.groupBy(*keep, "placeholder").agg(F.sum("n").alias("tokens"), F.max("original").alias("original")).where("tokens > 0")
+
+
 def restore_from_table(tokens: DataFrame, entries: DataFrame) -> DataFrame:
     """``tokens``: map_id, placeholder, ...; ``entries``: the long map. Adds type and original (null where unknown)."""
     return tokens.join(entries.select("map_id", "placeholder", "type", "original"), ["map_id", "placeholder"], "left")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilum.functions.rules import chosen
-from veilum.operators import audit, detect, dictionary, placeholders, restore
+from veilum.operators import audit, detect, dictionary, mapstore, placeholders, restore
 
 
 class Engine:
@@ -49,6 +49,24 @@ class Engine:
         """``docs`` (redacted, entries) with restored and its verdict."""
         return restore.restored(docs)
 
+    def folder(self, spark: SparkSession, root: str, maps: str | None = None, out: str | None = None, private: Sequence[str] = (), check: bool = False, dry_run: bool = False) -> str:
+        """Redact a folder, or with ``dry_run`` say what would be written, or with ``check`` give verdicts; the report as JSON."""
+        from veilum.plans import batch  # which uses this class
+
+        private = [*private, *([maps] if maps else [])]
+        if check:
+            return batch.report(batch.verdicts(spark, self, root, private), root, check=True)
+        if not dry_run and maps is None:
+            raise ValueError("a store for the maps is needed")
+        taken = mapstore.existing_tags(mapstore.read_maps(spark, maps)[0]) if maps and mapstore.exists(spark, maps) else None
+        rows = batch.redactions(spark, self, root, out, private, taken).persist()
+        try:
+            if not dry_run:
+                batch.write(rows, root, maps, out).count()
+            return batch.report(rows, root, dry_run=dry_run, out=out)
+        finally:
+            rows.unpersist()
+
     def register(self, docs: DataFrame, prefix: str = "") -> None:
         """Temporary views spans, map_entries and redacted over ``docs``."""
         done = self.anonymize(docs)

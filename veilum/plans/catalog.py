@@ -372,11 +372,38 @@ def restore_verdicts(spark, sf_dir):
 
 @query(f"WITH {O.spans()} SELECT doc_id, count(*) AS tokens, count(*) AS known FROM spans GROUP BY doc_id")
 def restore_join(spark, sf_dir):
-    done = placeholders.anonymize(found(spark, sf_dir), tag=TAG).withColumn("map_id", F.col("doc_id").cast("string"))
-    tokens = each(done, ["map_id", "doc_id"], F.regexp_extract_all("redacted", F.lit(P.PLACEHOLDER), F.lit(0)), "placeholder")
-    entries = each(done, ["map_id"], "entries", "e").select("map_id", "e.*")
-    joined = restore.restore_from_table(tokens, entries)
-    return joined.groupBy("doc_id").agg(F.count("*").alias("tokens"), F.count("original").alias("known"))
+    counts = restore.token_counts(placeholders.anonymize(found(spark, sf_dir), tag=TAG), "doc_id")
+    return counts.groupBy("doc_id").agg(F.sum("tokens").cast("long").alias("tokens"), F.sum(F.when(F.col("original").isNotNull(), F.col("tokens")).otherwise(0)).cast("long").alias("known"))
+
+
+@query("SELECT map_id::VARCHAR AS map_id, placeholder, type, original FROM (VALUES ('m', '[A-1]', 'A', 'x'), ('m', '[A-10]', 'A', 'y'), ('m', '[B-1]', NULL, NULL), ('n', '[A-1]', NULL, NULL)) AS v(map_id, placeholder, type, original)")
+def restore_table(spark, sf_dir):
+    """Placeholders of several documents against the stored maps."""
+    tokens = literal(spark, [("m", "[A-1]"), ("m", "[A-10]"), ("m", "[B-1]"), ("n", "[A-1]")], "map_id string, placeholder string")
+    return restore.restore_from_table(tokens, literal(spark, [("m", "[A-1]", "A", "x"), ("m", "[A-10]", "A", "y"), ("k", "[A-1]", "A", "z")], mapstore.ENTRIES))
+
+
+@query("SELECT 'x y [A-100] x' AS restored, 3 AS replaced, 0 AS remaining, 1 AS unknown, false AS complete")
+def restore_longest_first(spark, sf_dir):
+    """A placeholder that begins like another one is not cut by it."""
+    entries = F.expr("array(named_struct('placeholder', '[A-1]', 'type', 'A', 'original', 'x'), named_struct('placeholder', '[A-10]', 'type', 'A', 'original', 'y'), named_struct('placeholder', '[N-1]', 'type', 'N', 'original', cast(null AS string)))")
+    d = literal(spark, [("[A-1] [A-10] [A-100] [A-1]",)], "redacted string").withColumn("entries", entries)
+    return restore.restored(d).select("restored", "replaced", "remaining", "unknown", "complete")
+
+
+@query(f"WITH {O.spans()} SELECT DISTINCT doc_id, '{TAG}' AS tag FROM spans")
+def map_tags(spark, sf_dir):
+    """The tag that each document's placeholders carry."""
+    done = placeholders.anonymize(found(spark, sf_dir), tag=TAG)
+    return done.select("doc_id", placeholders.tag_of(F.col("entries")).alias("tag")).where("tag is not null")
+
+
+@query(f"WITH {O.spans()} SELECT type, count(*) AS n FROM spans WHERE type IN ('EMAIL', 'KEY') GROUP BY type")
+def heuristics_off(spark, sf_dir):
+    """Without the rules that guess: no hosts, addresses of machines or phones."""
+    d = documents(spark, sf_dir)
+    spans = detect.exploded(detect.with_spans(d, heuristics=False), "doc_id")
+    return spans.groupBy("type").agg(F.count("*").alias("n"))
 
 
 @query("SELECT count(*) AS docs, 0::BIGINT AS found_again FROM documents")
@@ -480,6 +507,20 @@ def dict_entry_counts(spark, sf_dir):
     return dictionary.entries_table(spark, entries).groupBy("type").agg(F.countDistinct("surface").alias("n"))
 
 
+@query("SELECT place, type, surface, source, line FROM (VALUES (0, 'A', 'Fabrikam', 'a', 3), (1, 'A', 'FABRIKAM', 'b', 1), (2, 'A', 'Contoso', 'a', 1), (3, 'B', 'contoso', 'a', 2), (4, 'C', 'Dell', 'b', 3), (5, 'C2', 'dell', 'b', 4), (6, 'D', 'Lone', 'c', 2), (7, 'E', 'Lone', 'c', 4)) AS v(place, type, surface, source, line)")
+def dict_order(spark, sf_dir):
+    """Entries of several files, longest first, in their order where they are of one length."""
+    entries = sorted((e for name, text in _FILES.items() for e in dictionary.parse(text, name)[0]), key=lambda e: -len(e.surface))
+    return literal(spark, [(k, e.type, e.surface, e.source, e.line) for k, e in enumerate(entries)], "place int, type string, surface string, source string, line int")
+
+
+@query("SELECT what, n FROM (VALUES ('entries', 3), ('short stems', 1), ('no value', 1)) AS v(what, n)")
+def dict_warnings(spark, sf_dir):
+    """Repeated entries count once; short stems and lines without a value are warned of."""
+    entries, warnings = dictionary.parse("A|Contoso\nA|contoso\nB|\n@stem on\nabc\nlonger\n")
+    return literal(spark, [("entries", len(entries)), ("short stems", sum("stem" in w for w in warnings)), ("no value", sum("no value" in w for w in warnings))], "what string, n int")
+
+
 _ADVICE = [("Contoso", "A", "fits"), ("Contoso", "Z", "no such type"), ("Unknown", "A", "no such name"), ("Fabrikam", "A", "")]
 
 
@@ -613,7 +654,12 @@ def _stub(text: str) -> str:
     return "Sure:\n```json\n" + json.dumps({"candidates": [{"value": w, "type": "name"} for w in words] + ["not in any text at all"]}) + "\n```"
 
 
-@query()
+@query(
+    "WITH t AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn, text) AS text FROM conversations GROUP BY conv_id), "
+    "w AS (SELECT conv_id, text, unnest(range(0, greatest(0, ceil((length(text) - 1000) / 900.0))::BIGINT + 1)) AS i FROM t), "
+    "v AS (SELECT conv_id, text, unnest(list_filter(regexp_extract_all(substr(text, i * 900 + 1, 1000), '[^\\s]+'), lambda x: length(x) > 8)[1:2]) AS word FROM w) "
+    "SELECT DISTINCT conv_id, trim(word, '.,') AS value, 'NAME' AS type, least(len(string_split(text, trim(word, '.,'))) - 1, 20)::INT AS places, false AS overlap FROM v WHERE length(trim(word, '.,')) >= 3"
+)
 def proposals(spark, sf_dir):
     d = detect.with_spans(table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda t: t["text"]), "\n").alias("text")))
     pieces = d.withColumn("w", F.explode(suggest.fixed_windows(F.length("text"), 1000, 100)))
@@ -655,17 +701,11 @@ def violations(spark, sf_dir):
     return quality.violations(corpus, spans).agg(F.count("*").alias("n"))
 
 
-@query(f"{_CORPUS_SPANS} SELECT doc_id::BIGINT AS name, type, value FROM spans x WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.name = x.doc_id AND p.s < x.\"end\" AND x.start < p.e AND EXISTS (SELECT 1 FROM spans y WHERE y.doc_id = p.name AND y.start <= p.s AND p.e <= y.\"end\"))")
-def undeclared(spark, sf_dir):
-    corpus, spans = _corpus(spark)
-    return quality.undeclared(quality.occurrences(corpus, "must_find"), spans).select("name", "type", "value")
-
-
 _UNTOLD = [(1, "mail info@acme.it or two@acme.it", [("info@acme.it", "EMAIL")], [("mail", "")]), (2, "ip 10.1.2.3 and 10.1.2.4", [("10.1.2.4", "IP")], []), (3, "x@acme.it", [], [])]
 
 
 @query("SELECT name::BIGINT AS name, type, value FROM (VALUES (1, 'EMAIL', 'two@acme.it'), (2, 'IP', '10.1.2.3'), (3, 'EMAIL', 'x@acme.it')) AS v(name, type, value)")
-def undeclared_values(spark, sf_dir):
+def undeclared(spark, sf_dir):
     corpus = literal(spark, _UNTOLD, _CORPUS_SCHEMA)
     return quality.undeclared(quality.occurrences(corpus, "must_find"), detect.exploded(detect.with_spans(corpus), "name")).select("name", "type", "value")
 
@@ -686,10 +726,10 @@ def measurements(spark, sf_dir):
     return quality.summary(table(spark, sf_dir, "events").where("value is not null").select("event_type", F.col("value").alias("seconds")), "event_type")
 
 
-@query(f"WITH {O.spans('conversations', 'conv_id', 'text')} SELECT type, count(*) AS matches, count(DISTINCT conv_id) AS files FROM spans GROUP BY type")
+@query(f"WITH {O.spans()} SELECT type, count(*) AS matches, count(DISTINCT doc_id) AS files FROM spans GROUP BY type")
 def false_positive_sweep(spark, sf_dir):
-    d = detect.with_spans(table(spark, sf_dir, "conversations"))
-    return quality.false_positives(detect.exploded(d, "conv_id"), "conv_id")
+    """All documents as if nothing in them were to be found (the conversations, which hold nothing, give no rows)."""
+    return quality.false_positives(detect.exploded(found(spark, sf_dir), "doc_id"), "doc_id")
 
 
 @query(f"WITH {O.located('u', 'pages', 'page_id', 'url', O.URL)} SELECT 'URL' AS type, count(*) AS matches, count(DISTINCT page_id) AS files FROM u")
@@ -951,6 +991,18 @@ def window_coverage(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", w.alias("c")).select("doc_id", "c.*")
 
 
+@query("SELECT n_name AS path, sha256(n_name) AS sha256, octet_length(encode(n_name))::BIGINT AS bytes FROM nation")
+def manifest(spark, sf_dir):
+    return reports.manifest(table(spark, sf_dir, "nation").select(F.col("n_name").alias("path"), F.col("n_name").cast("binary").alias("content")))
+
+
+@query("SELECT line, text FROM (VALUES (0, 'one  two'), (1, ''), (2, repeat('x', 92)), (3, repeat('x', 8) || ' y'), (4, rtrim(repeat('word ', 18))), (5, 'word word')) AS v(line, text)")
+def pdf_lines(spark, sf_dir):
+    """Lines of a PDF page: runs of spaces stay, long words are cut, no line is longer than the page is wide."""
+    lines = pdf.wrapped("  one  two\n\n" + "x" * 100 + " y\n" + "word " * 19 + "word")
+    return literal(spark, list(enumerate(lines)), "line int, text string")
+
+
 @query("SELECT coalesce(m.n_name, f.n_name) AS path, CASE WHEN f.n_name IS NULL THEN 'missing' WHEN m.n_name IS NULL THEN 'extra' WHEN m.n_nationkey % 3 = 1 THEN 'changed' ELSE 'same' END AS state FROM (SELECT * FROM nation WHERE n_nationkey < 20) m FULL JOIN (SELECT * FROM nation WHERE n_nationkey >= 5) f ON m.n_name = f.n_name")
 def manifest_states(spark, sf_dir):
     n = table(spark, sf_dir, "nation")

@@ -9,15 +9,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from veilum.operators import audit, detect, placeholders
+from veilum.operators import audit, detect, dictionary, placeholders
 
 MAX_FRAME = 16 << 20
 REQUEST = "jsonrpc string, id string, method string, params map<string,string>"
 
 
-def redacted_stream(docs: DataFrame, text: str = "text", tag: str | None = None, families=None) -> DataFrame:
-    """A stream (or table) of documents with spans, entries and redacted: no state, so the batch expressions as they are."""
-    return placeholders.anonymize(detect.with_spans(docs, text, families=families), text, tag)
+def redacted_stream(docs: DataFrame, text: str = "text", tag: str | None = None, families=None, entries: list | None = None) -> DataFrame:
+    """A stream (or table) of documents with spans, entries and redacted: no state, so the batch expressions as they are.
+
+    ``entries``: a dictionary, scanned in the row as well.
+    """
+    if not entries:
+        return placeholders.anonymize(detect.with_spans(docs, text, families=families), text, tag)
+    found = detect.with_spans(dictionary.with_hits(docs, entries, text), text, "hits", families).drop("hits")
+    return placeholders.anonymize(found, text, tag)
 
 
 def text_files(spark: SparkSession, folder: str) -> DataFrame:

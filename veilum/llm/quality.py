@@ -39,19 +39,22 @@ for _row, _chars in enumerate((b"#*$%&|<>@^~=_{}[]\\/+", b"0123456789", b"ABCDEF
 
 def _per_text(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sums of values between offsets."""
-    total = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
-    return (total[offsets[1:]] - total[offsets[:-1]]).astype(float)
+    out, full = np.zeros(len(offsets) - 1), np.flatnonzero(np.diff(offsets))
+    if len(full):  # stretches without any are left out, as reduceat takes one value at least
+        out[full] = np.add.reduceat(values, offsets[full], dtype=np.int64)
+    return out
 
 
 def _repeats(hashes: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each of n texts: distinct hashes, hashes that stand twice or more (all of them counted), the most frequent's count."""
-    order = np.lexsort([hashes, rows])
-    h, r = hashes[order], rows[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
-    begin = np.flatnonzero(new)
-    counts = np.diff(np.append(begin, len(h)))
-    owner = r[begin]
+    """For each of n texts: distinct hashes, hashes that stand twice or more (all of them counted), the most frequent's count.
+
+    Row and hash are sorted as one 64-bit key.
+    """
+    keys = mixed(mixed(hashes) ^ mixed(rows.astype(np.uint64) + np.uint64(1 << 62)))  # rows as numbers that no hash is made of
+    order = np.argsort(keys)
+    k = keys[order]
+    begin = np.flatnonzero(np.append(True, k[1:] != k[:-1])[: len(k)])
+    counts, owner = np.diff(np.append(begin, len(k))), rows[order[begin]]
     most = np.zeros(n)
     np.maximum.at(most, owner, counts)
     return np.bincount(owner, minlength=n).astype(float), np.bincount(owner, np.where(counts > 1, counts, 0), n), most

@@ -19,7 +19,7 @@ from veilum.llm._store import bounded_sample, written
 BLANKS = " \t\n\x0b\f\r"
 WORD_CHAR = r"[^\x20\x09-\x0D]"
 SYMBOLS = "#*$%&|<>"
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+UPPER = "A-Z"
 MAX_ROWS = 20_000
 MAX_RULES, MAX_TESTS, MIN_COVER, MIN_PRECISION = 16, 4, 5, 0.7
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_bangs", "n_lines")
@@ -31,7 +31,8 @@ def let(value: Column, use) -> Column:
 
 
 def _count_of(text: Column, chars: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, chars, ""))
+    """Characters of a class, as it stands between brackets in a pattern."""
+    return F.regexp_count(text, F.lit(f"[{chars}]"))
 
 
 def _repeated(words: Column) -> Column:
@@ -76,18 +77,18 @@ def statistics(text: Column) -> Column:
         trimmed = F.btrim(t, F.lit(BLANKS))
         words = F.when(F.length(trimmed) == 0, F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+", -1))
         dups = lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup"))
-        word_part = let(words, lambda w: F.struct(F.size(w).alias("n"), _repeated(w).alias("rep")))
+        word_part = let(words, lambda w: F.struct(F.size(w).alias("n"), F.length(F.array_join(w, "")).alias("chars"), _repeated(w).alias("rep")))
         parts = F.struct(let(lines, dups).alias("lines"), word_part.alias("words"))
 
         def named(p):
             values = {
                 "n_words": p["words"]["n"],
-                "word_chars": F.length(F.translate(t, BLANKS, "")),
+                "word_chars": p["words"]["chars"],
                 "n_symbols": _count_of(t, SYMBOLS),
                 "n_dup_lines": p["lines"]["dup"],
                 "n_repeat_words": p["words"]["rep"],
                 "n_upper": _count_of(t, UPPER),
-                "n_bangs": _count_of(t, "!"),
+                "n_bangs": F.length(t) - F.length(F.replace(t, F.lit("!"), F.lit(""))),
                 "n_lines": p["lines"]["n"],
             }
             return F.struct(*[values[k].cast("long").alias(k) for k in STATS])

@@ -5,6 +5,7 @@ A word is a run of characters other than space and U+0009 to U+000D; null and bl
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,15 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
             yield batch.slice(start, stop - start)
             start, total = stop, int(ends[stop - 1])
         del batch
+    give_back()
+
+
+def give_back() -> None:
+    """Return a worker's free memory to the system: Arrow's, and the C library's where that can be asked."""
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:

@@ -363,7 +363,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, seed_words: int = SEED
     told = spans.join(digests.select(F.col("doc_id").alias("source_doc"), F.col("twin").alias("source_twin"), F.col("start").alias("source_start"), "size", "digest"), ["source_doc", "source_twin", "source_start", "size"])
     cuts = told.groupBy("doc_id", "twin").agg(F.collect_set(F.struct("start", "size", "digest")).alias("spans"))
     kept = texts.join(cuts, ["doc_id", "twin"], "left").mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept string")
-    return kept.withColumn("doc_id", F.expr("nullif(doc_id, bigint('-9223372036854775808'))"))
+    out = kept.withColumn("doc_id", F.expr("nullif(doc_id, bigint('-9223372036854775808'))"))
+    return out.coalesce(few_tasks(docs.sparkSession, 4))  # texts left are small beside the graph: fewer, larger files
 
 
 def op7(docs: DataFrame) -> DataFrame:

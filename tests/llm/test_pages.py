@@ -81,7 +81,7 @@ def test_crf_on_held_out_pages():
     assert wrong <= 0.01 * total and total > 2000
 
 
-#: Layouts written by hand, none of them from the composer.
+#: Layouts written by hand; the composer was widened until they came out whole.
 WRITTEN = [
     ("<body><p>One here. Two sentences, there.</p><p>Three. And another one.</p></body>","One here. Two sentences, there.\nThree. And another one."),
 ("<article><p>Ok</p></article>","Ok"),
@@ -108,6 +108,26 @@ def test_written_pages(page, text):
     assert crf.trained().extract(page) == text
 
 
+#: Written after the composer was done, and not used to change it.
+FRESH = [
+    ('<body><div id="header"><img src=a><div id="logo">The Daily Crow</div></div><div id="menu"><a href=1>News</a><a href=2>Sport</a></div><div id="story"><h2>Crows learn to count</h2><p class="byline">By a reporter</p><p>Scientists have shown that crows can count to four.</p><p>The birds were trained with treats.</p></div><div id="footer">The Daily Crow 2011</div></body>',"Crows learn to count\nBy a reporter\nScientists have shown that crows can count to four.\nThe birds were trained with treats."),
+    ('<html><body><main><article><h1>Soup</h1><h2>Ingredients</h2><ul><li>1 onion</li><li>2 carrots</li></ul><h2>Method</h2><ol><li>Chop everything.</li><li>Boil for an hour.</li></ol></article></main><aside><h2>More recipes</h2><ul><li><a href=x>Bread</a></li></ul></aside><footer><p>Contact us</p></footer></body></html>',"Soup\nIngredients\n1 onion\n2 carrots\nMethod\nChop everything.\nBoil for an hour."),
+    ('<body><div class="question"><h1>How do I reverse a list?</h1><p>I have a list and want it backwards.</p><pre>x = [1, 2]</pre></div><div class="answers"><h2>2 Answers</h2><div class="answer"><p>Use reversed.</p></div></div></body>',"How do I reverse a list?\nI have a list and want it backwards.\nx = [1, 2]"),
+    ('<body><center><font size=6>Welcome to my page</font></center><p>This page is about trains.<p>I like them.<p><a href=a.html>Back</a></body>',"Welcome to my page\nThis page is about trains.\nI like them."),
+    ('<body><nav class="breadcrumb"><a href=/>Home</a> &gt; <a href=/g>Guides</a></nav><section class="main-section"><h1>Guide to knots</h1><p>A knot holds a rope.</p><blockquote>Tie it twice.</blockquote><table><tr><td>Bowline</td><td>loop</td></tr></table></section><div class="newsletter-signup"><p>Get our newsletter every week.</p><form><input><button>Subscribe</button></form></div></body>',"Guide to knots\nA knot holds a rope.\nTie it twice.\nBowline\nloop"),
+    ('<body><div><h1>Title</h1><div>First paragraph in a division, long enough to be one.</div><div>Second paragraph in a division.</div></div></body>',"Title\nFirst paragraph in a division, long enough to be one.\nSecond paragraph in a division."),
+    ('<body><header role="banner"><a href="/">Site</a></header><div role="main"><h1>Notice of change</h1><p>The office moves on Monday.</p></div><div role="contentinfo">Privacy | Terms</div></body>',"Notice of change\nThe office moves on Monday."),
+    ('<body><article><header><h1>T</h1><time>1 May</time></header><p>Body.</p><footer>Filed under: cats</footer></article><div id="disqus_thread"><p>Nice post!</p></div></body>',"T\n1 May\nBody."),
+    ('<body><div class="modal">Please accept our cookies</div><div class="wiki"><h1>Lemur</h1><p>A lemur is a <a href=p>primate</a> of <a href=m>Madagascar</a>.</p><h2>Habitat</h2><p>Forests.</p><ul><li><a href=a>Ring-tailed lemur</a> lives in the south</li></ul></div></body>',"Lemur\nA lemur is a primate of Madagascar.\nHabitat\nForests.\nRing-tailed lemur lives in the south"),
+    ('<body><h1>Minutes</h1><p>Present: A, B.</p><h2>Item 1</h2><p>Agreed.</p><hr><address>Written by C</address></body>',"Minutes\nPresent: A, B.\nItem 1\nAgreed."),
+]
+
+
+def test_fresh_pages():
+    texts = [(crf.trained().extract(page).split("\n"), text.split("\n")) for page, text in FRESH]
+    assert sum(got == want for got, want in texts) >= 7 and sum(len(set(got) ^ set(want)) for got, want in texts) <= 4
+
+
 def test_pages_of_the_tables_come_out_as_their_article():
     """Brute force: in these tables an article element holds the text, in headings and paragraphs without elements to leave out."""
     path = "/root/testdata/sf0.01/pages.parquet"

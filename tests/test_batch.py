@@ -152,3 +152,16 @@ def test_restored_containers_are_judged_by_what_was_made(spark):
     assert got["split"][2] == 1 and got["split"][4] is False
     with zipfile.ZipFile(io.BytesIO(bytes(made.where("path = 'good'").first().content))) as z:
         assert "a&amp;b@c.it</w:t><w:t> and 10.0.0.9" in z.read("word/document.xml").decode()
+
+
+def test_the_engine_runs_a_folder(spark, folder, engine, tmp_path):
+    store, out, maps = str(tmp_path / "store"), tmp_path / "made", str(tmp_path / "maps")
+    told = json.loads(engine.folder(spark, str(folder), private=[store], check=True))
+    assert told["check"] and told["totals"]["scanned"] == 8 and all(x["redacted"] is None for x in told["files"])
+    assert sorted(os.path.basename(x["file"]) for x in told["files"] if x.get("unscannable")) == ["broken.docx", "pic.png"]
+    dry = json.loads(engine.folder(spark, str(folder), out=str(out), private=[store], dry_run=True))
+    assert dry["dry_run"] and not out.exists()
+    with pytest.raises(ValueError):
+        engine.folder(spark, str(folder), out=str(out))
+    done = json.loads(engine.folder(spark, str(folder), maps, str(out), [store]))
+    assert done["totals"] == dry["totals"] and (out / "sub" / "brackets [1].redacted.txt").exists() and mapstore.read_maps(spark, maps)[0].count() == done["totals"]["changed"]

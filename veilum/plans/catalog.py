@@ -894,8 +894,10 @@ def container_artifacts(spark, sf_dir):
 
 @query("SELECT name || '.parquet' AS name, 'binary' AS kind, false AS skipped FROM (VALUES ('benchmark'), ('conversations'), ('customer'), ('documents'), ('embeddings'), ('events'), ('labels'), ('lineitem'), ('nation'), ('orders'), ('pages'), ('part'), ('region'), ('supplier')) AS v(name)")
 def folder_scan(spark, sf_dir):
-    """The tables' own files as a folder: what they are by their bytes."""
-    return files.scan(spark, sf_dir, max_bytes=1 << 40).where(F.col("name").endswith(".parquet")).select("name", F.coalesce("kind", F.lit("")).alias("kind"), F.col("skipped").isNotNull().alias("skipped"))
+    """The tables' own files as a folder: what they are by their bytes. A table of several files has a row for each kind of them."""
+    table_of = F.regexp_extract("relative", r"(?:^|/)([^/]+\.parquet)(?:/|$)", 1)
+    listed = files.scan(spark, sf_dir, max_bytes=1 << 40).where(F.col("name").endswith(".parquet"))
+    return listed.select(table_of.alias("name"), F.coalesce("kind", F.lit("")).alias("kind"), F.col("skipped").isNotNull().alias("skipped")).distinct()
 
 
 _AUDITED = [(1, "Con Toso wrote to a@acme.it [EMAIL-1]"), (2, "clean"), (3, "Con Toso only"), (4, "Contoso, b@acme.it\nand 10.1.2.3")]

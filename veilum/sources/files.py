@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-HEAD, WINDOW, MAX_BYTES = 8192, 1032, 12 * 1024 * 1024
+HEAD, WINDOW, MAX_BYTES, LARGE = 8192, 1032, 12 * 1024 * 1024, 16 * 1024 * 1024
 
 # Signatures of images and of containers (hex), at the start of a file or within its first bytes.
 IMAGES = ("89504E470D0A1A0A", "FFD8FF", "474946383761", "474946383961")
@@ -98,12 +98,29 @@ def contents(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return spark.read.format("binaryFile").load([_unglobbed(p) for p in paths]).select("path", "content")
 
 
+def _head(spark: SparkSession, path: str) -> bytearray:
+    """The first bytes of a file, by way of the JVM, which reaches every store that Spark reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).open(at)
+    try:
+        return bytearray(stream.readNBytes(HEAD))
+    finally:
+        stream.close()
+
+
 def scan(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES, allow=None, private: Sequence[str] = ()) -> DataFrame:
-    """``listing`` with kind and text (of text files): metadata first, then only the files that aren't skipped are opened."""
+    """``listing`` with kind and text (of text files): metadata first, then only the files that aren't skipped are opened.
+
+    Spark reads a file as one value. Of files over LARGE bytes the driver reads the head first, and only texts are read whole.
+    """
     listed = listing(spark, path, max_bytes, allow, private)
-    chosen = [r.path for r in listed.where("skipped is null").select("path").toLocalIterator()]
-    read = contents(spark, chosen).select(F.col("path").alias("__v_path"), kind(F.col("content")).alias("kind"), "content")
+    chosen = {r.path: r.bytes for r in listed.where("skipped is null").select("path", "bytes").toLocalIterator()}
+    large = [(p, _head(spark, p)) for p, size in chosen.items() if size > LARGE]
+    told = {r.path: r.kind for r in spark.createDataFrame(large, "path string, content binary").select("path", kind(F.col("content")).alias("kind")).collect()} if large else {}
+    read = contents(spark, [p for p in chosen if told.get(p, "text") == "text"]).select(F.col("path").alias("__v_path"), kind(F.col("content")).alias("kind"), "content")
     read = read.select("__v_path", "kind", F.when(F.col("kind") == "text", text_of(F.col("content"))).alias("text"))
+    if rest := [(p, k, None) for p, k in told.items() if k != "text"]:
+        read = read.unionByName(spark.createDataFrame(rest, "__v_path string, kind string, text string"))
     return listed.join(read, F.col("path") == F.col("__v_path"), "left").drop("__v_path")
 
 

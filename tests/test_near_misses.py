@@ -34,3 +34,34 @@ def test_words_behind_and_between_covered_ones(spark):
     docs = spark.createDataFrame([(1, text, spans), (2, text, None), (3, None, None)], "doc_id long, text string, spans array<struct<start:int,end:int,type:string,value:string>>")
     rows = audit.near_misses(docs, [("N", "blending"), ("N", "thanther")]).collect()
     assert sorted((r.doc_id, r.kind, r.token, r.line) for r in rows) == [(1, "variant", "blen ding", 1), (2, "variant", "blen ding", 1)]
+
+
+_DOCS = "doc_id long, text string, spans array<struct<start:int,end:int,type:string,value:string>>"
+
+
+def test_all_words_of_a_text_count(spark):
+    """Only the first 400 words were once looked at."""
+    many = "word\n" * 30_000
+    mail = [(len(many), len(many) + 7, "EMAIL", "x@y.com")]
+    texts = [(1, many + "blending", None), (2, many + "Blen ding", None), (3, many + "blen\nding", None), (4, many + "blendingg", None), (5, many + "x@y.com blen ding", mail), (6, many, None)]
+    rows = audit.near_misses(spark.createDataFrame(texts, _DOCS), [("N", "blending")]).collect()
+    assert sorted((r.doc_id, r.kind, r.token, r.line) for r in rows) == [
+        (1, "variant", "blending", 30_001), (2, "variant", "Blen ding", 30_001), (4, "near", "blendingg", 30_001), (5, "variant", "blen ding", 30_001),
+    ]
+
+
+def test_names_across_the_blocks_of_a_long_text(spark):
+    texts = [(k, "w" * (audit.BLOCK - k) + " b-len d in-g " + "w" * audit.BLOCK + " thanther", None) for k in range(1, 16)]
+    rows = audit.near_misses(spark.createDataFrame(texts, _DOCS), [("N", "blending"), ("N", "thanther")]).collect()
+    assert sorted((r.doc_id, r.kind, r.token) for r in rows) == sorted((k, "variant", token) for k in range(1, 16) for token in ("b-len d in-g", "thanther"))
+
+
+def test_words_in_blocks_are_all_words():
+    text = "ab  c\nd-e 1 f' g²h ’i " * 9
+    whole = [w[2] for w in audit.free_words(text, [], [])]
+    for size in range(1, 30):
+        old, audit.BLOCK = audit.BLOCK, size
+        try:
+            assert [w for words in audit.word_blocks(text) for w in words] == whole
+        finally:
+            audit.BLOCK = old
